@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -178,8 +177,8 @@ def stratified_patches(
     rows = corners.join(quota.select(*cube, F.col(code).alias("code"), F.col("n_patches").alias("quota")), [*cube, "code"])
     allowed = patch * patch * max_overlap if max_overlap is not None else None
 
-    def walk(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["code", "h"], kind="stable")
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["code", "h"], kind="stable")
         chosen: list[tuple[int, int]] = []
         out, taken = [], {}
         for code_, quota_, top, left in zip(pdf["code"], pdf["quota"], pdf["top"], pdf["left"]):
@@ -195,7 +194,7 @@ def stratified_patches(
                 chosen.append((top, left))
                 taken[code_] = taken.get(code_, 0) + 1
                 out.append((*key, int(code_), int(top), int(left), len(chosen)))
-        yield pd.DataFrame(out, columns=[*cube, "code", "top", "left", "patch_no"])
+        return pd.DataFrame(out, columns=[*cube, "code", "top", "left", "patch_no"])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in cube) + ", code int, top int, left int, patch_no int"
