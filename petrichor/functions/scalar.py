@@ -41,6 +41,10 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def count_true(condition: Column) -> Column:
     return F.count_if(condition)
 

@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from petrichor.functions.scalar import flag, reasons
+from petrichor.functions.scalar import flag, n_rows, reasons
 from petrichor.operators.order_stats import numbered
 
-N = F.count(F.lit(1))
 
 
 def train_test(df: DataFrame, *, unique: str, test_share: float = 0.15, seed: int = 42) -> DataFrame:
@@ -39,7 +38,7 @@ def unit_folds(df: DataFrame, *, unit: str, k: int | Column, seed: int = 42, str
     kk = k if isinstance(k, Column) else F.lit(k)
     single = F.when(F.col("_pos") < F.ceil(F.col("_n") * test_share), 0)
     if strata:  # one row per class
-        sizes = units.groupBy(strata).agg(N.alias("_c"))
+        sizes = units.groupBy(strata).agg(n_rows().alias("_c"))
         before = Window.orderBy(strata).rowsBetween(Window.unboundedPreceding, -1)
         starts = sizes.select(strata, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
         units = units.join(starts, strata)
@@ -85,7 +84,7 @@ def balanced_group_folds(df: DataFrame, *, group: list[str], k: int) -> DataFram
     """
     label = F.concat_ws("_", *[F.col(c).cast("string") for c in group])
     tagged = df.withColumn("cv_group", label)
-    sizes = tagged.groupBy("cv_group").agg(N.alias("n"))
+    sizes = tagged.groupBy("cv_group").agg(n_rows().alias("n"))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loads = [0] * k
@@ -119,7 +118,7 @@ def _roles(df: DataFrame, chosen_space: DataFrame, chosen_time: DataFrame, *, sp
 def _draw_units(df: DataFrame, *, unit: str, divisor: int, folds: int, tries: int, seed: int) -> DataFrame:
     """(fold, draw, unit): max(1, units // divisor) distinct units per draw, those with its smallest hashes."""
     units = df.select(unit).distinct()
-    take = F.greatest(F.lit(1), F.floor(units.agg(N.alias("n")).select("n").scalar() / divisor))
+    take = F.greatest(F.lit(1), F.floor(units.agg(n_rows().alias("n")).select("n").scalar() / divisor))
     copies = units.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn(
         "draw", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))
     )
@@ -137,8 +136,8 @@ def random_strict_folds(
     """
     locs = _draw_units(df, unit=space, divisor=4, folds=k, tries=tries, seed=seed)
     seas = _draw_units(df, unit=time, divisor=3, folds=k, tries=tries, seed=seed)
-    grid = df.groupBy(space, time).agg(N.alias("_c"))
-    total = df.agg(N.alias("n")).select("n").scalar()
+    grid = df.groupBy(space, time).agg(n_rows().alias("_c"))
+    total = df.agg(n_rows().alias("n")).select("n").scalar()
     by_loc = grid.groupBy(space).agg(F.sum("_c").alias("_c"))
     by_sea = grid.groupBy(time).agg(F.sum("_c").alias("_c"))
     # train = total - chosen locations - chosen seasons + their intersection (= validation)
@@ -181,7 +180,7 @@ def shared_groups(membership: DataFrame, *, group: str) -> DataFrame:
 
 def strict_fold_check(membership: DataFrame, *, k: int, space: str, time: str) -> DataFrame:
     """Per fold: found, sizes, and no location or season on both sides."""
-    by = lambda c: shared_groups(membership, group=c).groupBy("fold").agg(N.alias(f"shared_{c}"))
+    by = lambda c: shared_groups(membership, group=c).groupBy("fold").agg(n_rows().alias(f"shared_{c}"))
     sizes = membership.groupBy("fold").agg(*[F.count_if(F.col("subset") == s).alias(f"n_{s}") for s in ("train", "val", "excluded")])
     folds = membership.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
     out = folds.join(sizes, "fold", "left").join(by(space), "fold", "left").join(by(time), "fold", "left")
@@ -224,7 +223,7 @@ def summarise_folds(membership: DataFrame, *, climate: str) -> DataFrame:
 def subset_shares(membership: DataFrame, *, group: list[str] = ()) -> DataFrame:
     """train / validation / excluded counts and percent per fold (and group)."""
     out = membership.groupBy("fold", *group).agg(
-        N.alias("n_total"), *[F.count_if(F.col("subset") == s).alias(f"n_{s}") for s in ("train", "val", "excluded")]
+        n_rows().alias("n_total"), *[F.count_if(F.col("subset") == s).alias(f"n_{s}") for s in ("train", "val", "excluded")]
     )
     return out.withColumns({f"pct_{s}": F.col(f"n_{s}") * 100.0 / F.col("n_total") for s in ("train", "val", "excluded")})
 

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions import labels as L
-from petrichor.functions.scalar import count_true, direction, flag, null_if_nan, reasons, safe_ratio
+from petrichor.functions.scalar import count_true, direction, flag, n_rows, null_if_nan, reasons, safe_ratio
 
-N = F.count(F.lit(1))
 TINY = 1e-12
 
 
@@ -36,7 +35,7 @@ def step_moments(df: DataFrame, keys: list[str], valid: Column) -> DataFrame:
     obs, fct = F.col("_t") - F.col("_b"), F.col("_p") - F.col("_b")
     return rows.groupBy(*keys).agg(
         count_true(F.col("_ok")).alias("n_valid"),
-        N.alias("n_cells"),
+        n_rows().alias("n_cells"),
         F.avg(on(err * err)).alias("mse"),
         F.avg(on(F.abs(err))).alias("mae"),
         F.avg(on(err)).alias("bias"),
@@ -106,7 +105,7 @@ def cube_metrics(
     agg = _pooled(steps, cube).groupBy(*cube).agg(
         total.alias("n_valid_target_pixel_times"),
         F.sum("n_cells").alias("_cells"),
-        N.alias("_steps"),
+        n_rows().alias("_steps"),
         *[F.try_divide(F.sum(n * F.col(c)), total).alias(c) for c in _ERRORS],
         F.sum("_ss").alias("target_sst"),
         F.avg(traj("observed_response")).alias("observed_response_auc"),
@@ -164,7 +163,7 @@ def landcover_metrics(
     for name, codes in L.LANDCOVER_GROUPS.items():
         group = F.when(F.col(code).isin(codes), name).otherwise(group)
     grouped = landcover.select(*cube, *pixel, group.alias("landcover_group")).filter(F.col("landcover_group").isNotNull())
-    sizes = grouped.groupBy(*cube, "landcover_group").agg(N.alias("n_eligible")).filter(F.col("n_eligible") >= min_pixels)
+    sizes = grouped.groupBy(*cube, "landcover_group").agg(n_rows().alias("n_eligible")).filter(F.col("n_eligible") >= min_pixels)
     rows = df.join(grouped, [*cube, *pixel]).join(sizes.drop("n_eligible"), [*cube, "landcover_group"], "left_semi")
     keys = [*cube, "landcover_group"]
     steps = step_metrics(rows, cube=keys, step=step)
@@ -278,7 +277,7 @@ def evaluator_steps(df: DataFrame, *, cube: list[str], step: str = "step") -> Da
         "d_pred_mean": F.avg(on(dp)), "d_pred_std": F.stddev_pop(on(dp)),
     }
     return rows.groupBy(*cube, step).agg(
-        count_true(F.col("_ok")).alias("num_valid"), N.alias("n_cells"),
+        count_true(F.col("_ok")).alias("num_valid"), n_rows().alias("n_cells"),
         *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in named.items()],
     )
 
@@ -385,19 +384,19 @@ def change_histogram(df: DataFrame, *, cube: list[str], pixel: list[str], step:
         F.struct(F.lit("true").alias("series"), F.col("d_true").alias("v")), F.struct(F.lit("pred").alias("series"), F.col("d_pred").alias("v"))
     )
     bucket = F.width_bucket("v", F.lit(low), F.lit(high), F.lit(bins))
-    return d.select(step, F.inline(pair)).filter(F.col("v").isNotNull()).groupBy(step, "series", bucket.alias("bucket")).agg(N.alias("n"))
+    return d.select(step, F.inline(pair)).filter(F.col("v").isNotNull()).groupBy(step, "series", bucket.alias("bucket")).agg(n_rows().alias("n"))
 
 
 # ---- identity across configurations ----------------------------------------------------------------
 def data_signature(df: DataFrame, *, cube: list[str], keys: list[str], values=("true", "mask", "base")) -> DataFrame:
     """Order-free fingerprint of a cube's data, equal when the rows are equal."""
     h = F.xxhash64(*[F.col(c) for c in [*keys, *values]])
-    return df.groupBy(*cube).agg(F.bit_xor(h).alias("signature"), N.alias("n_rows"))
+    return df.groupBy(*cube).agg(F.bit_xor(h).alias("signature"), n_rows().alias("n_rows"))
 
 
 def alignment_check(cubes: DataFrame, *, cube: str = "cube_id", configuration: str = "configuration") -> DataFrame:
     """Cubes that break comparability: missing from a configuration, or several signatures or folds."""
-    n_conf = cubes.select(configuration).distinct().agg(N.alias("_n")).select("_n").scalar()
+    n_conf = cubes.select(configuration).distinct().agg(n_rows().alias("_n")).select("_n").scalar()
     fold = F.coalesce(F.col("fold").cast("string"), F.lit("<null>"))
     per = cubes.groupBy(cube).agg(
         F.count_distinct(configuration).alias("n_configurations"), F.count_distinct("data_signature").alias("n_signatures"), F.count_distinct(fold).alias("n_folds")

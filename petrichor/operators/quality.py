@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions import labels as L
-from petrichor.functions.scalar import BIN_DAYS, bin_end, count_true, first_reason, flag, hash_text
+from petrichor.functions.scalar import BIN_DAYS, bin_end, count_true, first_reason, flag, hash_text, n_rows
 from petrichor.operators.order_stats import _join_keys, group_percentiles, numbered
 from petrichor.operators.timegrid import context_target_steps
 
-N = F.count(F.lit(1))
 
 
 # ---- pixels over time ------------------------------------------------------------------------------
@@ -45,28 +44,28 @@ def permanent_gaps(df: DataFrame, *, cube: list[str], pixel: list[str], value: s
     per_pixel = df.groupBy(*cube, *pixel).agg(F.count(value).alias("_n"))
     return per_pixel.groupBy(*cube).agg(
         count_true(F.col("_n") == 0).alias("n_permanent"),
-        N.alias("n_pixels"),
-        (count_true(F.col("_n") == 0) * 100.0 / N).alias("pct_permanent"),
+        n_rows().alias("n_pixels"),
+        (count_true(F.col("_n") == 0) * 100.0 / n_rows()).alias("pct_permanent"),
     )
 
 
 def availability(before: DataFrame, after: DataFrame, *, cube: list[str], pixel: list[str], value: str) -> DataFrame:
     """Percent NULL before and after resampling, percent of pixels permanently missing."""
-    pct_null = count_true(F.col(value).isNull()) * 100.0 / N
+    pct_null = count_true(F.col(value).isNull()) * 100.0 / n_rows()
     pre = before.groupBy(*cube).agg(pct_null.alias("pct_null_before"))
-    post = after.groupBy(*cube, *pixel).agg(count_true(F.col(value).isNull()).alias("_z"), N.alias("_n")).groupBy(*cube).agg(
+    post = after.groupBy(*cube, *pixel).agg(count_true(F.col(value).isNull()).alias("_z"), n_rows().alias("_n")).groupBy(*cube).agg(
         (F.sum("_z") * 100.0 / F.sum("_n")).alias("pct_null_after"),
-        (count_true(F.col("_z") == F.col("_n")) * 100.0 / N).alias("pct_permanent"),
+        (count_true(F.col("_z") == F.col("_n")) * 100.0 / n_rows()).alias("pct_permanent"),
     )
     return pre.join(post, cube)
 
 
 def pixel_null_frequency(df: DataFrame, *, pixel: list[str], value: str) -> DataFrame:
-    return df.groupBy(*pixel).agg((count_true(F.col(value).isNull()) * 100.0 / N).alias("pct_null"))
+    return df.groupBy(*pixel).agg((count_true(F.col(value).isNull()) * 100.0 / n_rows()).alias("pct_null"))
 
 
 def step_null_share(df: DataFrame, *, cube: list[str], time: str, value: str) -> DataFrame:
-    return df.groupBy(*cube, time).agg((count_true(F.col(value).isNull()) * 100.0 / N).alias("pct_null"))
+    return df.groupBy(*cube, time).agg((count_true(F.col(value).isNull()) * 100.0 / n_rows()).alias("pct_null"))
 
 
 def mean_map(df: DataFrame, *, pixel: list[str], value: str) -> DataFrame:
@@ -108,7 +107,7 @@ def fewest_nulls_step(df: DataFrame, *, cube: list[str], time: str, value: str)
 
 
 def low_null_steps(df: DataFrame, *, cube: list[str], time: str, value: str, limit: float = 0.1) -> DataFrame:
-    share = count_true(F.col(value).isNull()) / N
+    share = count_true(F.col(value).isNull()) / n_rows()
     return df.groupBy(*cube, time).agg(share.alias("null_share")).filter(F.col("null_share") < limit)
 
 
@@ -142,7 +141,7 @@ def acquisition_bins(
     per_time = df.groupBy(*cube, sensor, time).agg(F.count(value).alias("_valid"))
     start = F.date_sub(bin_end(F.col(time), origin, days), days)
     binned = per_time.groupBy(*cube, sensor, start.alias("bin_start")).agg(
-        N.alias("n_obs"), count_true(F.col("_valid") > 0).alias("n_valid")
+        n_rows().alias("n_obs"), count_true(F.col("_valid") > 0).alias("n_valid")
     )
     w = Window.partitionBy(*cube) if cube else None
     if w is not None:
@@ -160,8 +159,8 @@ def acquisition_bins(
 def acquisition_report(bins: DataFrame, *, sensor: str, cube: list[str] = ()) -> DataFrame:
     missing, only_null = F.col("n_obs") == 0, (F.col("n_obs") > 0) & (F.col("n_valid") == 0)
     return bins.groupBy(*cube, sensor).agg(
-        N.alias("n_bins"), count_true(missing).alias("no_obs"), count_true(only_null).alias("only_null"),
-        (count_true(missing | only_null) * 100.0 / N).alias("pct_unusable"),
+        n_rows().alias("n_bins"), count_true(missing).alias("no_obs"), count_true(only_null).alias("only_null"),
+        (count_true(missing | only_null) * 100.0 / n_rows()).alias("pct_unusable"),
     )
 
 
@@ -173,13 +172,13 @@ def acquisition_window(df: DataFrame, *, sensor: str, time: str, event_end: Colu
     times = df.filter((day >= start) & (day <= F.add_months(event_end, months))).select(
         sensor, time, F.date_add(start, (index * days).cast("int")).alias("bin_start")
     ).distinct()
-    return times.groupBy(sensor, "bin_start").agg(N.alias("n_obs"))
+    return times.groupBy(sensor, "bin_start").agg(n_rows().alias("n_obs"))
 
 
 # ---- land cover ------------------------------------------------------------------------------------
 def landcover_distribution(df: DataFrame, *, cube: list[str], code: str) -> DataFrame:
     """Percent per class with its name, unknown codes spelled out; sorted by share inside a cube."""
-    counts = df.groupBy(*cube, code).agg(N.alias("_n"))
+    counts = df.groupBy(*cube, code).agg(n_rows().alias("_n"))
     total = F.sum("_n").over(Window.partitionBy(*cube))
     names = F.create_map(*[F.lit(x) for pair in L.LANDCOVER_NAMES.items() for x in pair])
     name = F.coalesce(F.try_element_at(names, F.col(code).cast("int")), F.format_string("Unmapped Code (%s)", F.col(code).cast("string")))
@@ -193,7 +192,7 @@ def accept_raw_cubes(
     """Enough clear steps up to the event, at least one in the days after it."""
     steps = df.groupBy(*cube, time, event_end.alias("_end")).agg(F.avg(mask).alias("_share"))
     valid = F.col("_share") > min_share
-    # Label slicing on a timestamp axis: the event end and end + N days are midnights.
+    # Label slicing on a timestamp axis: the event end and end + n_rows() days are midnights.
     t = F.col(time).cast("timestamp_ntz")
     end = F.col("_end").cast("timestamp_ntz")
     first, last = F.date_add("_end", 1).cast("timestamp_ntz"), F.date_add("_end", target_days).cast("timestamp_ntz")
@@ -216,7 +215,7 @@ def accept_processed_cubes(
     context_ratio: float, context_fraction: float, context_overall: float, target_ratio: float, min_target_steps: int,
 ) -> DataFrame:
     """Ordered rules of the processed-cube scan; ``reason`` is the first rule that fails, else 'ok'."""
-    steps = df.groupBy(*cube, time, event_end.alias("_end")).agg(count_true(F.col(mask) > 0).alias("_ok"), N.alias("_n"))
+    steps = df.groupBy(*cube, time, event_end.alias("_end")).agg(count_true(F.col(mask) > 0).alias("_ok"), n_rows().alias("_n"))
     tags = context_target_steps(steps, cube=cube, time=time, event_end=F.col("_end"), n_context=n_context, n_target=n_target)
     tagged = steps.join(tags, [*cube, time], "left")
     ctx, tgt = F.col("part") == "context", F.col("part") == "target"
@@ -277,7 +276,7 @@ def max_abs_difference(left: DataFrame, right: DataFrame, *, keys: list[str], cu
     """Largest |left - right| per cube over valid pixels and whether it stays within the tolerance."""
     rows = left.filter(F.col(mask) == 1) if mask else left
     joined = rows.select(*keys, F.col(value).alias("_a")).join(right.select(*keys, F.col(value).alias("_b")), keys)
-    out = joined.groupBy(*cube).agg(F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_abs_diff"), N.alias("n_compared"))
+    out = joined.groupBy(*cube).agg(F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_abs_diff"), n_rows().alias("n_compared"))
     return out.withColumn("ok", flag(F.coalesce(F.col("max_abs_diff"), F.lit(0.0)) <= tolerance))
 
 
@@ -291,11 +290,11 @@ def dataset_counts(cubes: DataFrame, excluded: DataFrame, *, cube: list[str]) ->
     """total / excluded / used, in one pass over the joined table."""
     marked = cubes.join(excluded.select(*cube).distinct().withColumn("_x", F.lit(1)), cube, "left")
     return marked.agg(
-        N.alias("n_total"), count_true(F.col("_x") == 1).alias("n_excluded"), count_true(F.col("_x").isNull()).alias("n_used")
+        n_rows().alias("n_total"), count_true(F.col("_x") == 1).alias("n_excluded"), count_true(F.col("_x").isNull()).alias("n_used")
     )
 
 
 def category_distribution(df: DataFrame, *, split: str, category: str) -> DataFrame:
     """Count and share of every category inside its split."""
-    counts = df.groupBy(split, category).agg(N.alias("n"))
+    counts = df.groupBy(split, category).agg(n_rows().alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(split)))

@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from petrichor.functions.scalar import count_true, flag, null_if_nan, reasons
+from petrichor.functions.scalar import count_true, flag, n_rows, null_if_nan, reasons
 from petrichor.operators.meta import predictor_set
 
-N = F.count(F.lit(1))
 
 
 def run_timestamp(run_dir: Column) -> Column:
@@ -31,7 +30,7 @@ def audit_runs(runs: DataFrame, folds: DataFrame, files: DataFrame, *, n_folds:
     epoch = F.coalesce(F.col("best_epoch"), F.expr("try_cast(nullif(regexp_extract(best_checkpoint, 'epoch=([0-9]+)', 1), '') AS int)"))
     score = null_if_nan(F.col("best_score").cast("double"))
     per_run = folds.withColumns({"_e": epoch, "_s": score}).groupBy("run_dir").agg(
-        N.alias("_rows"), count_true(F.col("fold").between(0, n_folds - 1)).alias("_known"), F.count_distinct("fold").alias("_distinct"),
+        n_rows().alias("_rows"), count_true(F.col("fold").between(0, n_folds - 1)).alias("_known"), F.count_distinct("fold").alias("_distinct"),
         F.avg("_s").alias("mean_score"), F.stddev_samp("_s").alias("std_score"), F.median("_e").alias("_median"),
         count_true(F.col("_s").isNull()).alias("_bad_score"),
         count_true(F.coalesce(F.col("best_checkpoint"), F.lit("")) == "").alias("_no_checkpoint"),
@@ -41,7 +40,7 @@ def audit_runs(runs: DataFrame, folds: DataFrame, files: DataFrame, *, n_folds:
     )
     val = files.filter(F.col("subset") == "val")
     split = val.groupBy("run_dir").agg(
-        F.count_distinct("fold").alias("_split_folds"), N.alias("_n_val"), F.count_distinct("file").alias("_d_val"),
+        F.count_distinct("fold").alias("_split_folds"), n_rows().alias("_n_val"), F.count_distinct("file").alias("_d_val"),
         count_true(~F.col("fold").between(0, n_folds - 1)).alias("_extra_folds"),
         # order-free signature of the validation sets
         F.bit_xor(F.xxhash64("fold", "file")).alias("split_signature"),
@@ -120,7 +119,7 @@ def final_selection(audit: DataFrame, *, expected: DataFrame | None = None) -> D
         checks.select("splits").scalar() > 1, "active runs use different validation cubes"
     )
     if expected is not None:
-        gaps = missing_grid(active, first="model_type", second="predictor_set", expected=expected).agg(N.alias("n"))
+        gaps = missing_grid(active, first="model_type", second="predictor_set", expected=expected).agg(n_rows().alias("n"))
         error = F.when(gaps.select("n").scalar() > 0, "the planned comparison is incomplete").otherwise(error)
     winner = select_best(active, score="mean_score", mode=F.col("monitor_mode"), tie=["run_dir"]).select(F.col("run_dir").alias("_w"))
     everything = accepted.unionByName(audit.filter("valid = 0").withColumn("status", F.lit("rejected")))

@@ -15,10 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from petrichor.functions.scalar import draw, null_if_nan, safe_ratio
+from petrichor.functions.scalar import draw, n_rows, null_if_nan, safe_ratio
 from petrichor.operators.order_stats import _join_keys, average_ranks, group_percentiles, numbered, ranked_percentiles
 
-N = F.count(F.lit(1))
 
 
 def percentile_interval(df: DataFrame, *, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -231,7 +230,7 @@ def _moments(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Counts, population deviations and covariances: all a standardised fit needs, mergeable."""
     pairs = list(itertools.combinations(range(len(columns)), 2))
     return df.groupBy(*keys).agg(
-        N.alias("n"),
+        n_rows().alias("n"),
         F.array(*[F.stddev_pop(c) for c in columns]).alias("sd"),
         F.array(*([F.covar_pop(columns[i], columns[j]) for i, j in pairs] or [F.lit(0.0)])).alias("cov"),
     )
