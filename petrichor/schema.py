@@ -17,7 +17,7 @@ MANIFEST = (
     "configuration string, architecture string, optical_input string, source_run_dir string, config_path string, stage string, "
     "fold int, cube_id string, tensor_path string, source_cube_path string, checkpoint_path string, cv_summary_path string"
 )
-MANIFEST_REQUIRED = ["configuration", "architecture", "optical_input", "stage", "cube_id", "tensor_path", "source_cube_path"]
+MANIFEST_REQUIRED = ["configuration", "architecture", "optical_input", "stage", "fold", "cube_id", "tensor_path"]
 EXCLUDED = "cube_id string, reason string"
 EVENTS_META = (
     "`DisNo.` string, iso string, country string, continent string, climate_class string, koppen_geiger string, "
