@@ -23,7 +23,8 @@ def _guarded_corr(a: str | Column, b: str | Column) -> Column:
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     both = F.when(a.isNotNull() & b.isNotNull(), a)
     enough = (F.count(both) >= 3) & (F.stddev_pop(a) > TINY) & (F.stddev_pop(b) > TINY)
-    return F.when(enough, F.corr(a, b))
+    # covariance over deviations: the built-in correlation fails on a constant side under ANSI rules
+    return F.when(enough, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def step_moments(df: DataFrame, keys: list[str], valid: Column) -> DataFrame:
