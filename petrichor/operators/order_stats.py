@@ -178,28 +178,38 @@ def numbered(
     return placed.drop("_h", "_b", "_off", "_g")
 
 
-def average_ranks(df: DataFrame, value: str, *, out: str = "avg_rank", keys: list[str] = ()) -> DataFrame:
-    """Average rank (ties share their mean rank) over a whole table of any size.
+def rank_table(df: DataFrame, value: str, *, keys: list[str] = ()) -> DataFrame:
+    """(keys, value, lower, count, n, avg_rank) per distinct value of a column of any size.
 
-    Ranks come from counts per distinct value; the running sum over distinct values is split into value
-    ranges by an approximate-quantile bucketing, so one task sums one range.
+    ``lower`` rows are smaller, ``n`` is the group's row count. The running sum over distinct values is split
+    into value ranges by an approximate-quantile bucketing, so one task sums one range.
     """
     keys = list(keys) or [ALL]
     if keys == [ALL]:
         df = df.withColumn(ALL, F.lit(0))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count"))
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx(value, F.array(*[F.lit(i / 256) for i in range(1, 256)]), F.lit(2000)).alias("_cuts")
     )
     bucketed = _join_keys(counts, cuts, keys).withColumn(
         "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")
-    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("count").alias("_t"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"), F.sum("_t").over(group).alias("n")
+    )
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranks = _join_keys(bucketed, offsets, keys + ["_b"]).withColumn(
-        "_lower", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
+        "lower", F.col("_off") + F.coalesce(F.sum("count").over(inside), F.lit(0))
     )
-    rank = F.col("_lower") + (F.col("_c") + 1) / F.lit(2.0)
-    return _join_keys(df, ranks.select(*keys, value, rank.alias(out)), keys + [value], "left").drop(ALL)
+    rank = F.col("lower") + (F.col("count") + 1) / F.lit(2.0)
+    return ranks.select(*[k for k in keys if k != ALL], value, "lower", "count", "n", rank.alias("avg_rank"))
+
+
+def average_ranks(df: DataFrame, value: str, *, out: str = "avg_rank", keys: list[str] = ()) -> DataFrame:
+    """Average rank per row (ties share their mean rank), NULL for a NULL value."""
+    keys = list(keys)
+    ranks = rank_table(df, value, keys=keys).select(*keys, value, F.col("avg_rank").alias(out))
+    return _join_keys(df, ranks, [*keys, value], "left")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions.scalar import draw, n_rows, null_if_nan, safe_ratio
-from petrichor.operators.order_stats import _join_keys, average_ranks, group_percentiles, numbered, ranked_percentiles
+from petrichor.operators.order_stats import _join_keys, group_percentiles, numbered, rank_table, ranked_percentiles
 
 
 
@@ -209,12 +209,21 @@ def environment_summary(
 def event_tertiles(df: DataFrame, feature: str, *, out: str | None = None) -> DataFrame:
     """low / middle / high by the tertiles of the average ranks (right-closed); fewer than 3 values: NULL."""
     out = out or f"{feature}_tertile"
-    ranked = average_ranks(df.withColumn(feature, F.col(feature).cast("double")), feature, out="_rank")
-    edges = ranked_percentiles(ranked, [], "_rank", [1 / 3, 2 / 3])
-    n = ranked.agg(F.count("_rank").alias("n")).select("n").scalar()
-    low, high = edges.select("p0").scalar(), edges.select("p1").scalar()
-    label = F.when(F.col("_rank") <= low, "low").when(F.col("_rank") <= high, "middle").when(F.col("_rank").isNotNull(), "high")
-    return ranked.withColumn(out, F.when(n >= 3, label)).drop("_rank")
+    rows = df.withColumn(feature, F.col(feature).cast("double"))
+    ranks = rank_table(rows, feature)
+
+    def edge(p: float) -> Column:
+        """Linear quantile of the sorted ranks: the ranks at the two positions around p * (n - 1)."""
+        position = p * (F.col("n") - 1)
+        at = lambda i: F.max(F.when((F.col("lower") <= i) & (i < F.col("lower") + F.col("count")), F.col("avg_rank")))
+        low, high = at(F.floor(position)), at(F.ceil(position))
+        return low + (high - low) * F.max(position - F.floor(position))
+
+    edges = ranks.agg(F.struct(edge(1 / 3).alias("low"), edge(2 / 3).alias("high"), F.max("n").alias("n")).alias("e")).select("e").scalar()
+    rank = F.col("avg_rank")
+    label = F.when(rank <= edges["low"], "low").when(rank <= edges["high"], "middle").when(rank.isNotNull(), "high")
+    labelled = ranks.select(feature, F.when(edges["n"] >= 3, label).alias(out))
+    return _join_keys(rows, labelled, [feature], "left")
 
 
 def tertile_summary(df: DataFrame, feature: str, *, metrics=("observed_r30", "mae_gain", "mse_skill"), n_boot: int = 5000, seed: int = 777) -> DataFrame:

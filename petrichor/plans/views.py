@@ -90,17 +90,17 @@ def prediction_pixels(spark: SparkSession, sf: str) -> DataFrame:
 def result_cubes(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (configuration = priority, cube = customer) with made-to-measure metrics."""
     o = table(spark, sf, "orders", "o_custkey", "o_orderpriority", "o_totalprice")
-    p = F.col("o_totalprice") / 100000.0
+    p = F.col("o_totalprice") / 123457.0
     df = o.groupBy(F.col("o_custkey").alias("ck"), F.col("o_orderpriority").alias("configuration")).agg(
-        F.avg(p).alias("mae"), F.max(p).alias("mae_base"), F.avg(p * p).alias("mse"), (F.max(p) * F.min(p)).alias("mse_base"), (F.avg(p) - F.min(p)).alias("bias"), F.sum(p).alias("total"),
+        F.avg(p).alias("mae"), F.max(p).alias("mae_base"), F.avg(p * p).alias("mse"), (F.max(p) * F.min(p) + 0.01).alias("mse_base"), (F.avg(p) - F.min(p)).alias("bias"), F.sum(p).alias("total"),
     )
     arch = F.when(F.col("configuration").isin("1-URGENT", "2-HIGH"), "alpha").when(F.col("configuration").isin("4-NOT SPECIFIED", "5-LOW"), "beta")
     inp = F.when(F.col("configuration").isin("1-URGENT", "4-NOT SPECIFIED"), "bands").when(F.col("configuration").isin("2-HIGH", "5-LOW"), "indices")
     return df.select(
         F.col("ck").cast("string").alias("cube_id"), "configuration", (F.col("ck") % 3).cast("int").alias("fold"), arch.alias("architecture"), inp.alias("optical_input"),
         "mae", "mae_base", "mse", "mse_base", "bias", (F.col("mae_base") - F.col("mae")).alias("mae_gain"), (1.0 - F.col("mse") / F.col("mse_base")).alias("mse_skill"),
-        F.when(F.col("mae") < 4.0, 1.0 / (1.0 + F.col("mae"))).alias("nnse"), F.when(F.col("mae") < 4.0, 1.0 / (2.0 + F.col("mae"))).alias("nnse_base"),
-        (F.col("mae") < 4.0).cast("int").alias("nnse_eligible"), (F.col("mse") < F.col("mse_base")).cast("double").alias("persistence_beaten"),
+        F.when(F.col("mae") < 3.2, 1.0 / (1.0 + F.col("mae"))).alias("nnse"), F.when(F.col("mae") < 3.2, 1.0 / (2.0 + F.col("mae"))).alias("nnse_base"),
+        (F.col("mae") < 3.2).cast("int").alias("nnse_eligible"), (F.col("mse") < F.col("mse_base")).cast("double").alias("persistence_beaten"),
         (F.col("bias") > 0.5).cast("double").alias("r30_direction_match"), (F.col("total") - 5.0).alias("observed_r30"),
         (F.col("mse") - F.col("mae") * F.col("mae")).alias("target_variance"), (1.0 / (1.0 + F.col("total"))).alias("spatial_valid_fraction"),
     )
