@@ -17,6 +17,8 @@ def local_session(cores: int = 8, partitions: int | None = None, **extra: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs several gateway round trips per column function
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
