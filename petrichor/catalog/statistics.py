@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from petrichor.catalog import query, rnd, rounded
-from petrichor.catalog.sql import CT, META, hash32, order_hash
+from petrichor.catalog.sql import CT, META, order_hash
 from petrichor.operators import meta, metrics, selection, stats
 from petrichor.plans import views as V
+from petrichor.session import reused
 
 B, SEED = 12, 777
 CI = ["estimate", "ci_low", "ci_high"]
@@ -23,10 +24,10 @@ def _boot_sql(src: str, groups: list[str], strata: list[str], unique: str, metri
     ks = "".join(f"{k}, " for k in keys)
     gs = "".join(f"{g}, " for g in groups)
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
-    names = [f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys] if groups else ["'1'", *[f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys]]
     ratios = ratios or {}
     pay = list(dict.fromkeys([*metrics_, *[c for nd in ratios.values() for c in nd]]))
-    pick = hash32(f"'{SEED}'", *names, "rep", "slot")
+    gid = f"dense_rank() OVER (ORDER BY {', '.join(k + ' NULLS FIRST' for k in keys)})" if keys else "1"
+    pick = f"CAST('0x' || substr(md5(concat_ws('|', '{SEED}', gid, rep // 4, slot)), 8*(rep % 4) + 1, 8) AS BIGINT)"
     same = " AND ".join([f"d.{k} IS NOT DISTINCT FROM n.{k}" for k in keys] + ["d.pick = n.slot"])
     def agg(source: str, extra: str, name: str) -> str:
         inner = ", ".join(f"avg({m}) AS {m}" for m in metrics_)
@@ -39,7 +40,7 @@ def _boot_sql(src: str, groups: list[str], strata: list[str], unique: str, metri
     melt = lambda t, v, extra="": " UNION ALL ".join(f"SELECT {gs}{extra}'{m}' AS metric, {m} AS {v} FROM {t}" for m in names_all)
     join_g = " AND ".join(["e.metric = c.metric"] + [f"e.{g} IS NOT DISTINCT FROM c.{g}" for g in groups])
     join_n = " AND ".join([f"e.{g} IS NOT DISTINCT FROM k.{g}" for g in groups]) or "true"
-    return f"""{p}_n AS (SELECT {ks}{unique}{''.join(', ' + x for x in pay if x != unique)}, row_number() OVER ({part} ORDER BY {order_hash(SEED, unique)}, {unique}) - 1 AS slot, count(*) OVER ({part}) AS n FROM {src}),
+    return f"""{p}_n AS (SELECT {gid} AS gid, {ks}{unique}{''.join(', ' + x for x in pay if x != unique)}, row_number() OVER ({part} ORDER BY {order_hash(SEED, unique)}, {unique}) - 1 AS slot, count(*) OVER ({part}) AS n FROM {src}),
  {p}_d AS (SELECT {ks}rep, {pick} % n AS pick FROM {p}_n, (SELECT CAST(unnest(range({B})) AS INTEGER) AS rep)),
  {p}_r AS (SELECT {''.join('d.' + k + ', ' for k in keys)}d.rep, {', '.join('n.' + x for x in pay)} FROM {p}_d d JOIN {p}_n n ON {same}),
  {agg(src, '', p + '_e')}, {agg(p + '_r', 'rep, ', p + '_s')}, {p}_em AS ({melt(p + '_e', 'estimate')}), {p}_sm AS ({melt(p + '_s', 'v')}),
@@ -204,7 +205,7 @@ def _(spark, sf):
 
 @query("group_medians", f"WITH {CT}, {_TERT}, m AS (SELECT grp, median(feat) AS feat_median FROM te GROUP BY 1) SELECT cube_id, te.grp AS \"group\", {rnd('feat_median')} FROM te JOIN m ON te.grp = m.grp")
 def _(spark, sf):
-    rows = stats.event_tertiles(_featured(spark, sf), "feat", out="group").select("cube_id", "group", "feat")
+    rows = reused(stats.event_tertiles(_featured(spark, sf), "feat", out="group").select("cube_id", "group", "feat"))
     return rounded(meta.join_group_medians(rows, rows, group="group", value="feat").drop("feat"), "feat_median")
 
 
@@ -219,7 +220,7 @@ def _(spark, sf):
 @query(
     "standardized_beta_simple",
     f"""WITH {CT}, ur AS (SELECT cube_id, observed_r30, mae FROM ct WHERE configuration = '1-URGENT'), n AS (SELECT *, row_number() OVER (ORDER BY {order_hash(SEED, 'cube_id')}, cube_id) - 1 AS slot, count(*) OVER () AS n FROM ur),
- d AS (SELECT rep, {hash32(f"'{SEED}'", "'1'", 'rep', 'slot')} % n AS pick FROM n, (SELECT CAST(unnest(range({B})) AS INTEGER) AS rep)), s AS (SELECT rep, corr(observed_r30, mae) AS c FROM d JOIN n ON pick = slot GROUP BY 1)
+ d AS (SELECT rep, CAST('0x' || substr(md5(concat_ws('|', '{SEED}', 1, rep // 4, slot)), 8*(rep % 4) + 1, 8) AS BIGINT) % n AS pick FROM n, (SELECT CAST(unnest(range({B})) AS INTEGER) AS rep)), s AS (SELECT rep, corr(observed_r30, mae) AS c FROM d JOIN n ON pick = slot GROUP BY 1)
  SELECT 'observed_r30' AS outcome, 'mae' AS feature, '' AS controls, {rnd('(SELECT corr(observed_r30, mae) FROM ur)', 'standardized_beta', 5)}, {rnd('quantile_cont(c, 0.025)', 'ci_low', 5)}, {rnd('quantile_cont(c, 0.975)', 'ci_high', 5)}, (SELECT count(*) FROM ur) AS n_cubes FROM s""",
 )
 def _(spark, sf):

@@ -67,10 +67,15 @@ def hash_text(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[as_text(p) for p in parts]))
 
 
+def hash_part(digest: Column, part: Column | int) -> Column:
+    """32-bit number from the part-th (0-3) group of 8 hex digits of a digest."""
+    start = (part * 8 + 1) if isinstance(part, int) else part * 8 + 1
+    return F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
+
+
 def draw(n: Column, *parts) -> Column:
     """Uniform integer in [0, n) derived from the parts."""
-    number = F.conv(F.substring(hash_text(*parts), 1, 8), 16, 10).cast("bigint")
-    return number % n
+    return hash_part(hash_text(*parts), 0) % n
 
 
 def fold_all(conditions: list[Column], how: str = "and") -> Column:

@@ -18,8 +18,12 @@ from petrichor.functions.scalar import as_text, fold_all, hash_text, null_safe_e
 ALL = "_all"
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hint: bool = False) -> DataFrame:
-    """Equi-join in which NULL keys match; the right key columns are dropped."""
+def _join_keys(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hint: bool = False, keep: str | None = None
+) -> DataFrame:
+    """Equi-join in which NULL keys match; the right key columns are dropped (``keep``: one right column)."""
+    if keep:
+        right = right.select(*keys, keep)
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = fold_all([F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     joined = left.join(F.broadcast(renamed) if hint else renamed, cond, how)
@@ -93,6 +97,36 @@ def ranked_percentiles(
     return wide.drop(ALL)
 
 
+def _sorted_percentiles(df: DataFrame, keys: list[str], values: list[str], probs: list[float], extra: list[Column]) -> DataFrame:
+    """Percentiles of groups that fit a task: one shuffle on the keys.
+
+    One value is ranked by a window (sorting spills and beats the percentile aggregate's per-group map about
+    threefold when groups are many and small); several values share the shuffle as sorted arrays.
+    """
+    index = lambda p, n: p * (n - 1)
+    if len(values) == 1:
+        v = values[0]
+        group = Window.partitionBy(*keys)
+        ranked = df.withColumn(v, F.col(v).cast("double")).withColumn("_r", F.row_number().over(group.orderBy(F.col(v).asc_nulls_last())) - 1)
+        ranked = ranked.withColumn("_n", F.count(v).over(group))
+        cols = []
+        for i, p in enumerate(probs):
+            pos = index(p, F.col("_n"))
+            low = F.max(F.when(F.col("_r") == F.floor(pos), F.col(v)))
+            high = F.max(F.when(F.col("_r") == F.ceil(pos), F.col(v)))
+            cols.append((low + (high - low) * F.max(pos - F.floor(pos))).alias(f"{v}_p{i}"))
+        return ranked.groupBy(*keys).agg(*cols, *extra)
+    out = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.col(v).cast("double"))).alias(f"_a_{v}") for v in values], *extra)
+    cols = []
+    for v in values:
+        a, n = F.col(f"_a_{v}"), F.size(f"_a_{v}")
+        for i, p in enumerate(probs):
+            pos = index(p, n)
+            low, high = F.try_element_at(a, (F.floor(pos) + 1).cast("int")), F.try_element_at(a, (F.ceil(pos) + 1).cast("int"))
+            cols.append(F.when(n > 0, low + (high - low) * (pos - F.floor(pos))).alias(f"{v}_p{i}"))
+    return out.select(*keys, *cols, *[c for c in out.columns if c not in keys and not c.startswith("_a_")])
+
+
 def group_percentiles(
     df: DataFrame,
     keys: list[str],
@@ -103,29 +137,24 @@ def group_percentiles(
 ) -> DataFrame:
     """Exact percentiles per group: keys + ``<value>_p<i>`` (+ ``extra`` aggregates, any mergeable ones).
 
-    Groups up to ``hot_rows`` rows use the built-in aggregate; larger ones the two-step ranking. There are
-    at most rows / hot_rows hot groups, which bounds the broadcast list of their keys. With no hot group
-    the second branch is empty and adaptive execution removes it.
+    Groups around or above ``hot_rows`` rows take the two-step ranking, all others one shuffle. Hot groups are
+    found from a content-hashed thousandth of a hot group's rows: a pure function of the data, hence the same
+    on every re-execution, and both ways are exact, so the estimate only steers the work. Their number is at
+    most about rows / hot_rows, which bounds the broadcast key list; with none of them adaptive execution
+    drops the second branch.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
+    rate = max(1, hot_rows // 1000)
+    content = F.xxhash64(*[F.col(c) for c in df.columns])
+    probe = df.filter(F.pmod(content, F.lit(rate)) == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = probe.filter(F.col("_n") * rate > hot_rows).drop("_n")
     cold_rows = _join_keys(df, hot.withColumn("_hot", F.lit(True)), keys, "left", hint=True)
     cold_rows = cold_rows.filter(F.col("_hot").isNull()).drop("_hot")
-    prob_array = F.array(*[F.lit(float(p)) for p in probs])
-    cold = cold_rows.groupBy(*keys).agg(
-        *[F.percentile(F.col(v).cast("double"), prob_array).alias(f"_q_{v}") for v in values], *extra
-    )
-    cold = cold.select(
-        *keys,
-        *[F.col(f"_q_{v}")[i].alias(f"{v}_p{i}") for v in values for i in range(len(probs))],
-        *[c for c in cold.columns if c not in keys and not c.startswith("_q_")],
-    )
+    cold = _sorted_percentiles(cold_rows, keys, values, probs, list(extra))
     hot_rows_df = _join_keys(df, hot, keys, hint=True)
     melted = hot_rows_df.select(
         *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(v).alias("k"), F.col(v).cast("double").alias("x")) for v in values])
-        ).alias("_m"),
-    ).select(*keys, F.col("_m.k").alias("_k"), F.col("_m.x").alias("_x"))
+        F.inline(F.array(*[F.struct(F.lit(v).alias("_k"), F.col(v).cast("double").alias("_x")) for v in values])),
+    )
     ranked = ranked_percentiles(melted, keys + ["_k"], "_x", probs, hint=True)
     pivoted = ranked.groupBy(*keys).agg(
         *[
@@ -134,10 +163,9 @@ def group_percentiles(
             for i in range(len(probs))
         ]
     )
-    if extra:
-        pivoted = _join_keys(hot_rows_df.groupBy(*keys).agg(*extra), pivoted, keys, "left", hint=True)
-    else:  # a group whose values are all NULL has no ranked row but must stay
-        pivoted = _join_keys(hot, pivoted, keys, "left", hint=True)
+    # a group whose values are all NULL has no ranked row but must stay
+    whole = hot_rows_df.groupBy(*keys).agg(*extra) if extra else hot
+    pivoted = _join_keys(whole, pivoted, keys, "left", hint=True)
     return cold.unionByName(pivoted.select(*cold.columns))
 
 

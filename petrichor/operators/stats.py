@@ -15,7 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from petrichor.functions.scalar import draw, n_rows, null_if_nan, safe_ratio
+from petrichor.functions.scalar import hash_part, hash_text, n_rows, null_if_nan, safe_ratio
+from petrichor.session import reused
 from petrichor.operators.order_stats import _join_keys, group_percentiles, numbered, rank_table, ranked_percentiles
 
 
@@ -28,28 +29,29 @@ def percentile_interval(df: DataFrame, *, keys: list[str], value: str, level: fl
     return q.withColumnsRenamed({f"{value}_p0": "ci_low", f"{value}_p1": "ci_high"})
 
 
-def resample(df: DataFrame, *, groups: list[str], strata: list[str], unique: list[str], payload: list[str], n_boot: int, seed: int) -> DataFrame:
-    """(groups, strata, rep, payload): draws with replacement inside every (group, stratum)."""
-    keys = [*groups, *strata]
-    rows = numbered(df.select(*dict.fromkeys([*keys, *unique, *payload])), keys, unique, seed, out="_slot", size="_n")
-    names = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    slots = rows.select(*keys, "_n", "_slot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    picks = slots.select(*keys, "rep", draw(F.col("_n"), seed, *names, F.col("rep"), F.col("_slot")).alias("_slot"))
-    drawn = _join_keys(picks, rows.select(*keys, "_slot", *[F.col(p).alias(f"_v_{p}") for p in payload]), [*keys, "_slot"])
-    return drawn.select(*keys, "rep", *[F.col(f"_v_{p}").alias(p) for p in payload])
+def resample(
+    df: DataFrame, *, keys: list[str], unique: list[str], payload: list[str], n_boot: int, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """(draws, groups): draws = (gid, rep, payload) with replacement inside every key group, groups =
+    (gid, keys). Replicate -1 holds the original rows.
 
-
-def _ratio(num: str, den: str) -> Column:
-    return 1.0 - safe_ratio(F.avg(num), F.avg(den))
-
-
-def _statistics(df: DataFrame, keys: list[str], strata: list[str], metrics: list[str], ratios: dict[str, tuple[str, str]]) -> DataFrame:
-    """Mean per key, or mean of the strata means; ratios of means need no strata."""
-    aggs = [F.avg(F.col(m).cast("double")).alias(m) for m in metrics]
-    if not strata:
-        return df.groupBy(*keys).agg(*aggs, *[_ratio(*nd).alias(name) for name, nd in ratios.items()])
-    per = df.groupBy(*keys, *strata).agg(*aggs)
-    return per.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics])
+    Groups get a small number first, so the replicated rows carry integers instead of key texts. One hash
+    serves four replicates.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per group: numbering them in one place is small
+    groups = sizes.withColumn("gid", F.row_number().over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])))
+    tagged = _join_keys(df.select(*dict.fromkeys([*keys, *unique, *payload])), groups, keys, keep="gid")
+    rows = reused(numbered(tagged.join(groups.select("gid", "_n"), "gid"), ["gid"], unique, seed, out="_slot"))
+    values = [F.col(p).alias(f"_v_{p}") for p in payload]
+    blocks = rows.select("gid", "_n", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 4))).alias("_b"), "_slot")
+    hashed = blocks.select("gid", "_n", "_b", hash_text(seed, F.col("gid"), F.col("_b"), F.col("_slot")).alias("_h"))
+    four = hashed.select("gid", "_n", "_h", (F.col("_b") * 4).alias("_b4"), F.explode(F.array(*[F.lit(j) for j in range(4)])).alias("_j"))
+    picks = four.select("gid", (F.col("_b4") + F.col("_j")).alias("rep"), (hash_part(F.col("_h"), F.col("_j")) % F.col("_n")).alias("_slot")).filter(F.col("rep") < n_boot)
+    drawn = picks.join(rows.select("gid", "_slot", *values), ["gid", "_slot"]).drop("_slot")
+    original = rows.select("gid", F.lit(-1).alias("rep"), *values)
+    out = original.unionByName(drawn).withColumnsRenamed({f"_v_{p}": p for p in payload})
+    return out, groups.drop("_n")
 
 
 def _melt(df: DataFrame, keys: list[str], names: list[str], value: str) -> DataFrame:
@@ -64,23 +66,30 @@ def bootstrap(
     """(groups, metric, estimate, ci_low, ci_high, n_cubes): rows are independent units.
 
     ``strata`` resamples inside each stratum and averages strata equally; ``ratios`` adds
-    1 - mean(a) / mean(b). NULL metrics are skipped by the means, not removed from the draw.
+    1 - mean(a) / mean(b), without strata. NULL metrics are skipped by the means, not removed from the draw.
     """
     groups, strata, ratios = list(groups), list(strata), dict(ratios or {})
-    names = [*metrics, *ratios]
-    payload = list(dict.fromkeys([*metrics, *itertools.chain.from_iterable(ratios.values())]))
+    if strata and ratios:
+        raise ValueError("ratios are defined on unstratified draws")
     anchor = groups or ["_one"]
     rows = df if groups else df.withColumn("_one", F.lit(1))
-    estimate = _melt(_statistics(rows, anchor, strata, metrics, ratios), anchor, names, "estimate")
-    drawn = resample(rows, groups=anchor, strata=strata, unique=unique, payload=payload, n_boot=n_boot, seed=seed)
-    reps = _melt(_statistics(drawn, [*anchor, "rep"], strata, metrics, ratios), [*anchor], names, "v")
+    payload = list(dict.fromkeys([*metrics, *itertools.chain.from_iterable(ratios.values())]))
+    drawn, ids = resample(rows, keys=[*anchor, *strata], unique=unique, payload=payload, n_boot=n_boot, seed=seed)
+    means = [F.avg(F.col(m).cast("double")).alias(m) for m in metrics]
+    skill = [(1.0 - safe_ratio(F.avg(a), F.avg(b))).alias(name) for name, (a, b) in ratios.items()]
+    per = drawn.groupBy("gid", "rep").agg(*means, *skill).join(ids, "gid")
+    if strata:
+        per = per.groupBy(*anchor, "rep").agg(*[F.avg(m).alias(m) for m in metrics])
+    reps = _melt(per, [*anchor, "rep"], [*metrics, *ratios], "v")
     tail = (1.0 - level) / 2.0
-    # n_boot values per key: the built-in percentile holds them
-    ci = reps.groupBy(*anchor, "metric").agg(F.percentile("v", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("_q"))
-    ci = ci.select(*anchor, "metric", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+    # n_boot values per group and metric: the built-in percentile holds them
+    ci = reps.groupBy(*anchor, "metric").agg(
+        F.max(F.when(F.col("rep") == -1, F.col("v"))).alias("estimate"),
+        F.percentile(F.when(F.col("rep") >= 0, F.col("v")), F.array(F.lit(tail), F.lit(1.0 - tail))).alias("_q"),
+    )
     counts = rows.groupBy(*anchor).agg(F.count_distinct(count or unique[0]).alias("n_cubes"))
-    out = _join_keys(_join_keys(estimate, ci, [*anchor, "metric"], "left"), counts, anchor)
-    return out.drop("_one")
+    out = ci.select(*anchor, "metric", "estimate", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+    return _join_keys(out, counts, anchor).drop("_one")
 
 
 def grouped_bootstrap(df: DataFrame, *, group: str, unique: list[str], metrics: list[str], n_boot: int = 5000, seed: int = 777) -> DataFrame:
@@ -229,7 +238,7 @@ def event_tertiles(df: DataFrame, feature: str, *, out: str | None = None) -> Da
 def tertile_summary(df: DataFrame, feature: str, *, metrics=("observed_r30", "mae_gain", "mse_skill"), n_boot: int = 5000, seed: int = 777) -> DataFrame:
     from petrichor.operators.meta import join_group_medians
 
-    rows = event_tertiles(df.filter(F.col(feature).isNotNull()), feature, out="group")
+    rows = reused(event_tertiles(df.filter(F.col(feature).isNotNull()), feature, out="group"))
     summary = grouped_bootstrap(rows.filter(F.col("group").isNotNull()), group="group", unique=["cube_id"], metrics=list(metrics), n_boot=n_boot, seed=seed)
     return join_group_medians(summary, rows, group="group", value=feature)
 
@@ -253,11 +262,9 @@ def standardized_beta(df: DataFrame, *, outcome: str, feature: str, controls: li
     """
     columns = [outcome, feature, *controls]
     data = df.select(*unique, *[null_if_nan(F.col(c).cast("double")).alias(c) for c in columns]).dropna(subset=columns)
-    base = _moments(data.withColumn("_one", F.lit(1)), ["_one"], columns).withColumn("rep", F.lit(-1))
-    drawn = resample(data.withColumn("_one", F.lit(1)), groups=["_one"], strata=[], unique=unique, payload=columns, n_boot=n_boot, seed=seed)
-    reps = _moments(drawn, ["_one", "rep"], columns)
-    alive = base.select("_one", F.transform("sd", lambda s: s > 1e-12).alias("alive"), F.col("n").alias("n_rows"))
-    work = base.unionByName(reps).join(F.broadcast(alive), "_one")
+    drawn, _ = resample(data.withColumn("_one", F.lit(1)), keys=["_one"], unique=unique, payload=columns, n_boot=n_boot, seed=seed)
+    base = _moments(data, [], columns).select(F.struct(F.transform("sd", lambda s: s > 1e-12).alias("alive"), "n").alias("b")).scalar()
+    work = _moments(drawn, ["rep"], columns).withColumns({"alive": base["alive"], "n_rows": base["n"]})
     pairs = list(itertools.combinations(range(len(columns)), 2))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +26,12 @@ def local_session(cores: int = 8, partitions: int | None = None, **extra: str) -
     return builder.getOrCreate()
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """Keep a table that a plan reads several times, in memory with spill to disk; a lost block is recomputed
+    from its lineage. Nothing runs yet. ``spark.catalog.clearCache()`` after the job frees all of them."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder; a temporary one only where none is configured."""
     spark = df.sparkSession
