@@ -170,9 +170,9 @@ _INTERP = f"""r0 AS (SELECT *, bin <= {END} AS ctx, row_number() OVER (PARTITION
  intp AS (SELECT cube, px, bin, ctx, v AS v0, CASE WHEN v IS NOT NULL THEN v WHEN ctx AND pb IS NOT NULL AND nb IS NOT NULL AND rn - pr <= 1 THEN pv + (nv - pv) * (bin - pb) / CAST(nb - pb AS DOUBLE) END AS v FROM r1)"""
 
 
-def _filled(grid):
+def _filled(grid, suffix=""):
     """A gap limit of 5 days: the first NULL of every gap."""
-    return timegrid.interpolate_context(grid, pixel=["cube", "px"], time="bin", values=["v"], event_end=V.origin(), max_gap_days=5)
+    return timegrid.interpolate_context(grid, pixel=["cube", "px"], time="bin", values=["v"], event_end=V.origin(), max_gap_days=5, suffix=suffix)
 
 
 @query("interpolate_context", f"WITH {EVG}, {_INTERP} SELECT cube, px, bin, {rnd('v')} FROM intp")
@@ -185,8 +185,8 @@ _REPORT = "rep AS (SELECT cube, count(*) FILTER (ctx AND v0 IS NULL) AS ctx_null
 
 
 def _fill_report(spark, sf):
-    grid = V.event_grid(spark, sf)
-    return quality.interpolation_report(grid, _filled(grid), cube=CUBE, pixel=PX, time="bin", value="v", event_end=V.origin())
+    both = _filled(V.event_grid(spark, sf), suffix="_filled")
+    return quality.interpolation_report(both, cube=CUBE, time="bin", value="v", filled="v_filled", event_end=V.origin())
 
 
 @query("interpolation_report", f"WITH {EVG}, {_INTERP}, {_REPORT} SELECT *, {rnd(_FILL, 'fill_rate')} FROM rep")
@@ -341,10 +341,10 @@ def _(spark, sf):
 _DAY = "CAST(t AS DATE)"
 
 
-@query("good_steps", f"WITH {EVM} SELECT cube, {_DAY} AS day, {rnd('avg(mask_strict)', 'valid_share')} FROM evm GROUP BY 1, 2 HAVING avg(mask_strict) > 0.5")
+@query("good_steps", f"WITH {EVM} SELECT cube, {_DAY} AS day, {rnd('avg(mask_strict)', 'valid_share')} FROM evm GROUP BY 1, 2 HAVING avg(mask_strict) > 0.45")
 def _(spark, sf):
     df = V.event_masked(spark, sf).withColumn("day", F.to_date("t"))
-    return rounded(quality.good_steps(df, cube=CUBE, time="day", mask="mask_strict", threshold=0.5), "valid_share")
+    return rounded(quality.good_steps(df, cube=CUBE, time="day", mask="mask_strict", threshold=0.45), "valid_share")
 
 
 @query(

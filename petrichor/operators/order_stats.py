@@ -134,6 +134,7 @@ def group_percentiles(
     probs: list[float],
     extra: list[Column] = (),
     hot_rows: int = 2_000_000,
+    probe: list[str] | None = None,
 ) -> DataFrame:
     """Exact percentiles per group: keys + ``<value>_p<i>`` (+ ``extra`` aggregates, any mergeable ones).
 
@@ -141,16 +142,17 @@ def group_percentiles(
     found from a content-hashed thousandth of a hot group's rows: a pure function of the data, hence the same
     on every re-execution, and both ways are exact, so the estimate only steers the work. Their number is at
     most about rows / hot_rows, which bounds the broadcast key list; with none of them adaptive execution
-    drops the second branch.
+    drops the second branch. ``probe`` names the columns whose hash picks those rows (cheap ones that vary
+    inside a group, such as a time); only they and the keys are then read for it.
     """
     rate = max(1, hot_rows // 1000)
-    content = F.xxhash64(*[F.col(c) for c in df.columns])
-    probe = df.filter(F.pmod(content, F.lit(rate)) == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = probe.filter(F.col("_n") * rate > hot_rows).drop("_n")
-    cold_rows = _join_keys(df, hot.withColumn("_hot", F.lit(True)), keys, "left", hint=True)
-    cold_rows = cold_rows.filter(F.col("_hot").isNull()).drop("_hot")
+    content = F.xxhash64(*[F.col(c) for c in probe or df.columns])
+    picked = df.filter(F.pmod(content, F.lit(rate)) == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = picked.filter(F.col("_n") * rate > hot_rows).drop("_n")
+    # anti and semi join share one broadcast of the key list
+    cold_rows = _join_keys(df, hot, keys, "left_anti", hint=True)
     cold = _sorted_percentiles(cold_rows, keys, values, probs, list(extra))
-    hot_rows_df = _join_keys(df, hot, keys, hint=True)
+    hot_rows_df = _join_keys(df, hot, keys, "left_semi", hint=True)
     melted = hot_rows_df.select(
         *keys,
         F.inline(F.array(*[F.struct(F.lit(v).alias("_k"), F.col(v).cast("double").alias("_x")) for v in values])),

@@ -243,17 +243,17 @@ def accept_processed_cubes(
 
 
 # ---- interpolation ---------------------------------------------------------------------------------
-def interpolation_report(before: DataFrame, after: DataFrame, *, cube: list[str], pixel: list[str], time: str, value: str, event_end: Column) -> DataFrame:
-    """Per cube: context NULLs before and after filling, cells, fill rate in percent, NULLs after the event."""
-    joined = before.select(*cube, *pixel, time, event_end.alias("_end"), F.col(value).alias("_a")).join(
-        after.select(*cube, *pixel, time, F.col(value).alias("_b")), [*cube, *pixel, time]
-    )
-    ctx = F.col(time) <= F.col("_end")
-    out = joined.groupBy(*cube).agg(
-        count_true(ctx & F.col("_a").isNull()).alias("ctx_nulls_before"),
-        count_true(ctx & F.col("_b").isNull()).alias("ctx_nulls_after"),
+def interpolation_report(df: DataFrame, *, cube: list[str], time: str, value: str, filled: str, event_end: Column) -> DataFrame:
+    """Per cube: context NULLs before and after filling, cells, fill rate in percent, NULLs after the event.
+
+    ``df`` carries the original and the filled column (``interpolate_context`` with a suffix).
+    """
+    ctx, before, after = F.col(time) <= event_end, F.col(value).isNull(), F.col(filled).isNull()
+    out = df.groupBy(*cube).agg(
+        count_true(ctx & before).alias("ctx_nulls_before"),
+        count_true(ctx & after).alias("ctx_nulls_after"),
         count_true(ctx).alias("ctx_total"),
-        count_true(~ctx & F.col("_b").isNull()).alias("after_nulls"),
+        count_true(~ctx & after).alias("after_nulls"),
         count_true(~ctx).alias("after_total"),
     )
     return _fill_rate(out)

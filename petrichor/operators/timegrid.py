@@ -26,31 +26,49 @@ def resample_median(
     Only bins with observations appear; ``densify`` adds the empty ones.
     """
     cols = {v: (F.when(F.col(mask) == 1, F.col(v)) if mask else F.col(v)) for v in values}
-    rows = df.select(*cube, *pixel, bin_end(F.col(time), origin, days).alias("bin"), *[c.cast("double").alias(v) for v, c in cols.items()])
+    rows = df.select(
+        *cube, *pixel, bin_end(F.col(time), origin, days).alias("bin"), F.col(time).alias("_t"), *[c.cast("double").alias(v) for v, c in cols.items()]
+    )
     out = group_percentiles(
-        rows, [*cube, *pixel, "bin"], values, [0.5], [F.count(F.lit(1)).alias("n")], hot_rows=hot_rows
+        rows, [*cube, *pixel, "bin"], values, [0.5], [F.count(F.lit(1)).alias("n")], hot_rows=hot_rows, probe=[*pixel, "_t"]
     )
     return out.withColumnsRenamed({f"{v}_p0": v for v in values})
 
 
+def bin_span(df: DataFrame, *, cube: list[str], time: str, origin: Column, days: int = BIN_DAYS) -> DataFrame:
+    """First and last bin per cube from the raw observations: (cube, first_bin, last_bin)."""
+    span = df.groupBy(*cube).agg(F.min(time).alias("_a"), F.max(time).alias("_z"))
+    return span.select(*cube, bin_end(F.col("_a"), origin, days).alias("first_bin"), bin_end(F.col("_z"), origin, days).alias("last_bin"))
+
+
 def calendar(df: DataFrame, cube: list[str], bin_col: str = "bin", days: int = BIN_DAYS) -> DataFrame:
     """Every bin between a cube's first and last one: (cube, bin)."""
     span = df.groupBy(*cube).agg(F.min(bin_col).alias("_a"), F.max(bin_col).alias("_z"))
     return span.select(*cube, F.explode(F.sequence("_a", "_z", F.make_dt_interval(days=F.lit(days)))).alias(bin_col))
 
 
-def densify(df: DataFrame, *, cube: list[str], pixel: list[str], bin_col: str = "bin", days: int = BIN_DAYS) -> DataFrame:
+def densify(
+    df: DataFrame, *, cube: list[str], pixel: list[str], bin_col: str = "bin", days: int = BIN_DAYS, span: DataFrame | None = None
+) -> DataFrame:
     """Add NULL rows so that every pixel has every bin of its cube.
 
-    The calendar is kept as one array per cube until it is attached to the pixels, so the join is per
-    pixel (not per row) and exploding is the last step.
+    Each row emits the empty bins up to the pixel's next row, the first row also those before it: one shuffle
+    per pixel, no join with a calendar, and the result stays partitioned by pixel for the window operators
+    that follow. ``span`` (``bin_span`` of the raw observations, one row per cube) spares a second evaluation
+    of ``df``.
     """
-    span = df.groupBy(*cube).agg(F.min(bin_col).alias("_a"), F.max(bin_col).alias("_z"))
-    pixels = df.select(*cube, *pixel).distinct()
-    full = pixels.join(span, cube).select(
-        *cube, *pixel, F.explode(F.sequence("_a", "_z", F.make_dt_interval(days=F.lit(days)))).alias(bin_col)
+    if span is None:
+        span = df.groupBy(*cube).agg(F.min(bin_col).alias("first_bin"), F.max(bin_col).alias("last_bin"))
+    order = Window.partitionBy(*cube, *pixel).orderBy(bin_col)
+    step = F.make_dt_interval(days=F.lit(days))
+    rows = df.join(span, cube).withColumns({"_next": F.lead(bin_col).over(order), "_prev": F.lag(bin_col).over(order)})
+    start = F.when(F.col("_prev").isNull(), F.col("first_bin")).otherwise(F.col(bin_col))
+    stop = F.coalesce(F.date_sub("_next", days), F.col("last_bin"))
+    rows = rows.withColumn("_bin", F.explode(F.sequence(start, stop, step)))
+    values = [c for c in df.columns if c not in (*cube, *pixel, bin_col)]
+    return rows.select(
+        *cube, *pixel, F.col("_bin").alias(bin_col), *[F.when(F.col("_bin") == F.col(bin_col), F.col(v)).alias(v) for v in values]
     )
-    return full.join(df, [*cube, *pixel, bin_col], "left")
 
 
 def align_exact(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,12 +159,13 @@ def interpolate_context(
     event_end: Column,
     max_gap_days: int = 30,
     days: int = BIN_DAYS,
+    suffix: str = "",
 ) -> DataFrame:
     """Linear in time, only inside the context, only between two observations.
 
     The first ``max_gap_days // days`` NULLs of every gap are filled, later ones stay NULL. Series are
     dense and bounded by the calendar, so one pixel in one task is small; all values share one window
-    per direction.
+    per direction. ``suffix`` keeps the originals and names the filled columns.
     """
     limit = max_gap_days // days
     ctx = F.col(time) <= event_end
@@ -166,7 +185,7 @@ def interpolate_context(
         prev, nxt = F.col(f"_prev_{v}"), F.col(f"_next_{v}")
         share = F.datediff(F.col(time), prev["t"]) / F.datediff(nxt["t"], prev["t"])
         inside = F.col("_ctx") & prev.isNotNull() & nxt.isNotNull() & (F.col("_row") - prev["r"] <= limit)
-        filled[v] = F.when(F.col(v).isNotNull(), F.col(v).cast("double")).when(inside, prev["v"] + (nxt["v"] - prev["v"]) * share)
+        filled[v + suffix] = F.when(F.col(v).isNotNull(), F.col(v).cast("double")).when(inside, prev["v"] + (nxt["v"] - prev["v"]) * share)
     drop = ["_ctx", "_row", *[f"_prev_{v}" for v in values], *[f"_next_{v}" for v in values]]
     return tagged.withColumns(filled).drop(*drop)
 

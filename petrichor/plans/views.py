@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from petrichor.operators.masks import quality_masks
-from petrichor.operators.timegrid import densify, resample_median
+from petrichor.operators.timegrid import bin_span, densify, resample_median
 
 ORIGIN = "2024-01-16"
 
@@ -40,7 +40,8 @@ def event_bins(spark: SparkSession, sf: str, mask: str | None = "mask_strict") -
 
 def event_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Dense bins: every pixel has every bin of its cube."""
-    return densify(event_bins(spark, sf), cube=["cube"], pixel=["px"])
+    span = bin_span(event_obs(spark, sf), cube=["cube"], time="t", origin=origin())
+    return densify(event_bins(spark, sf), cube=["cube"], pixel=["px"], span=span)
 
 
 # ---- embeddings: one vector is an 8 x 8 image ------------------------------------------------------
