@@ -165,7 +165,7 @@ def _(spark, sf):
 
 @query("parse_path_list", "SELECT page_id, 'z/' || trim(url) || '.zarr' AS path FROM pages WHERE trim(url) <> ''")
 def _(spark, sf):
-    """Page addresses as a path list; every fourth-language line is turned into a comment first."""
+    """Page addresses as lines of a path list."""
     pages = V.table(spark, sf, "pages", "page_id", "url").filter(F.trim("url") != "")
     lines = pages.select("page_id", F.concat(F.lit("  z/"), F.trim("url"), F.lit(".zarr ")).alias("value"))
     return readers.parse_path_list(lines).join(lines.select("page_id", F.trim("value").alias("path")), "path").select("page_id", "path").distinct()

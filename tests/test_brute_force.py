@@ -181,6 +181,17 @@ def test_group_balance(cubes):
     assert dict(zip(out.cv_group, out.fold)) == want
 
 
+def test_split_documents_and_membership(spark):
+    doc = spark.createDataFrame([(0, ["a", "b"], ["c"]), (1, ["c", "b"], ["a", "b"])], "k int, tr array<string>, va array<string>")
+    files = folds.explode_splits(doc, fold="k", train="tr", val="va").withColumnRenamed("file", "cube")
+    assert files.count() == 7
+    md = spark.createDataFrame([("a", "D"), ("b", "B")], "cube string, cls string")
+    joined, report = folds.split_membership(files, md, cube="cube", climate="cls")
+    assert joined.count() == 7
+    got = {r.fold: r.problem for r in report.collect()}
+    assert got == {0: "missing_metadata", 1: "missing_metadata;train_val_overlap;climate_class_on_both_sides"}
+
+
 # ---- selection -------------------------------------------------------------------------------------
 def runs(spark, extra=()):
     bands, ind = ["B02", "B03", "B04", "B8A"], ["IRECI", "NDMI", "NIRv"]
