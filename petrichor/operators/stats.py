@@ -74,6 +74,9 @@ def bootstrap(
     anchor = groups or ["_one"]
     rows = df if groups else df.withColumn("_one", F.lit(1))
     payload = list(dict.fromkeys([*metrics, *itertools.chain.from_iterable(ratios.values())]))
+    counted = count or unique[0]
+    # sizes, numbering and counts read the input; evaluate what lies before it once
+    rows = reused(rows.select(*dict.fromkeys([*anchor, *strata, *unique, *payload, counted])))
     drawn, ids = resample(rows, keys=[*anchor, *strata], unique=unique, payload=payload, n_boot=n_boot, seed=seed)
     means = [F.avg(F.col(m).cast("double")).alias(m) for m in metrics]
     skill = [(1.0 - safe_ratio(F.avg(a), F.avg(b))).alias(name) for name, (a, b) in ratios.items()]
@@ -87,7 +90,7 @@ def bootstrap(
         F.max(F.when(F.col("rep") == -1, F.col("v"))).alias("estimate"),
         F.percentile(F.when(F.col("rep") >= 0, F.col("v")), F.array(F.lit(tail), F.lit(1.0 - tail))).alias("_q"),
     )
-    counts = rows.groupBy(*anchor).agg(F.count_distinct(count or unique[0]).alias("n_cubes"))
+    counts = rows.groupBy(*anchor).agg(F.count_distinct(counted).alias("n_cubes"))
     out = ci.select(*anchor, "metric", "estimate", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
     return _join_keys(out, counts, anchor).drop("_one")
 
@@ -218,7 +221,7 @@ def environment_summary(
 def event_tertiles(df: DataFrame, feature: str, *, out: str | None = None) -> DataFrame:
     """low / middle / high by the tertiles of the average ranks (right-closed); fewer than 3 values: NULL."""
     out = out or f"{feature}_tertile"
-    rows = df.withColumn(feature, F.col(feature).cast("double"))
+    rows = reused(df.withColumn(feature, F.col(feature).cast("double")))  # counted, ranked, labelled
     ranks = rank_table(rows, feature)
 
     def edge(p: float) -> Column:
