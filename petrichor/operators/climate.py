@@ -154,7 +154,8 @@ def robust_scale(
     """
     right = F.broadcast(stats.select(F.col(var).alias("_sv"), "p_low", "p_high"))
     if compat == "first_prefix":
-        names = df.select(var).distinct().join(right, F.col(var).startswith(F.col("_sv")))
+        prefixes = F.transform(F.sequence(F.lit(1), F.length(var)), lambda i: F.substring(F.col(var), F.lit(1), i))
+        names = df.select(var).distinct().withColumn("_sv", F.explode(prefixes)).join(right, "_sv")
         first = names.groupBy(var).agg(F.min_by(F.struct("p_low", "p_high"), "_sv").alias("_p")).select(var, "_p.*")
         joined = df.join(F.broadcast(first), var, "left")
     else:

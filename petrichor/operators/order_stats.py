@@ -39,7 +39,7 @@ def ranked_percentiles(
     """
     keys = keys or [ALL]
     if keys == [ALL]:
-        df, hint = df.withColumn(ALL, F.lit(0)), True
+        df = df.withColumn(ALL, F.lit(0))
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     eps = 3.0 / accuracy
     low_p = F.array(*[F.lit(max(0.0, p - eps)) for p in probs])
@@ -62,7 +62,11 @@ def ranked_percentiles(
             F.when(small, F.transform("_high", lambda x: F.col("_max"))).otherwise(F.col("_high")).alias("high"),
         ).alias("_b"),
     )
-    tagged = _join_keys(rows, brackets, keys, hint=hint)
+    if keys == [ALL]:  # one row of brackets: a scalar subquery, no join
+        one = brackets.select(F.struct("_n", "_b").alias("_s")).scalar()
+        tagged = rows.withColumns({"_n": one["_n"], "_b": one["_b"]})
+    else:
+        tagged = _join_keys(rows, brackets, keys, hint=hint)
     below = tagged.groupBy(*keys).agg(
         *[F.count_if(F.col("_v") < F.col("_b")[i]["low"]).alias(f"_below{i}") for i in range(len(probs))]
     ).select(*keys, F.posexplode(F.array(*[F.col(f"_below{i}") for i in range(len(probs))])).alias("_i", "_below"))
@@ -221,9 +225,11 @@ def rank_table(df: DataFrame, value: str, *, keys: list[str] = ()) -> DataFrame:
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx(value, F.array(*[F.lit(i / 256) for i in range(1, 256)]), F.lit(2000)).alias("_cuts")
     )
-    bucketed = _join_keys(counts, cuts, keys).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    if keys == [ALL]:
+        with_cuts = counts.withColumn("_cuts", cuts.select("_cuts").scalar())
+    else:
+        with_cuts = _join_keys(counts, cuts, keys)
+    bucketed = with_cuts.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     totals = bucketed.groupBy(*keys, "_b").agg(F.sum("count").alias("_t"))
     group = Window.partitionBy(*keys)
     before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -265,7 +265,8 @@ def standardized_beta(df: DataFrame, *, outcome: str, feature: str, controls: li
     """
     columns = [outcome, feature, *controls]
     data = df.select(*unique, *[null_if_nan(F.col(c).cast("double")).alias(c) for c in columns]).dropna(subset=columns)
-    drawn, _ = resample(data.withColumn("_one", F.lit(1)), keys=["_one"], unique=unique, payload=columns, n_boot=n_boot, seed=seed)
+    data = reused(data.withColumn("_one", F.lit(1)))
+    drawn, _ = resample(data, keys=["_one"], unique=unique, payload=columns, n_boot=n_boot, seed=seed)
     base = _moments(data, [], columns).select(F.struct(F.transform("sd", lambda s: s > 1e-12).alias("alive"), "n").alias("b")).scalar()
     work = _moments(drawn, ["rep"], columns).withColumns({"alive": base["alive"], "n_rows": base["n"]})
     pairs = list(itertools.combinations(range(len(columns)), 2))
