@@ -49,3 +49,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from petrichor.llm.mixing import mix
 
     return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS first_id FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', CAST(4 * strpos('0123456789abcdef', substr(x, CAST(i AS INTEGER), 1)) - 3 AS INTEGER), 4)), '') AS bits FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(0, 5), lambda j: (16 >> j) * CAST(substr(bits, CAST(5 * i + j + 1 AS INTEGER), 1) AS INTEGER))) AS INTEGER), 1)), '') AS payload_digest,
+ CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM b"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm import warc
+
+    files = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    records = warc.records_of(warc.read_chunks(files)).withColumnRenamed("record_id", "page_id")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_token_sequences")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from petrichor.llm import sequences
+
+    manifest = sequences.write_token_files(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
+    return sequences.read_documents(manifest)
