@@ -74,3 +74,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = sequences.write_token_files(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
     return sequences.read_documents(manifest)
+
+
+@query("op7_minhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=2)
