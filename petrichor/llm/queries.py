@@ -81,3 +81,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from petrichor.llm.minhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=2)
+
+
+OP4_SQL = r"""WITH n AS (SELECT item_id AS id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+i AS (SELECT id, w, len(w) AS n, least(len(w), 5) AS k FROM n WHERE w <> ['']),
+ish AS (SELECT id, n, k, o, array_to_string(w[o + 1 : o + k], ' ') AS g FROM (SELECT *, unnest(range(0, n - k + 1)) AS o FROM i)),
+d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+dsh AS (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM ish))),
+wn AS (SELECT DISTINCT doc_id, greatest(p - o, 0) AS a, least(p - o + n, len(w)) AS z FROM dsh JOIN ish USING (g, k) JOIN d USING (doc_id)),
+wsh AS (SELECT doc_id, a, z, k, array_to_string(w[p + 1 : p + k], ' ') AS g FROM (SELECT wn.*, w, k, unnest(range(a, z - k + 1)) AS p FROM wn JOIN d USING (doc_id), (SELECT DISTINCT k FROM ish))),
+wc AS (SELECT doc_id, a, z, k, g, count(*) AS c FROM wsh GROUP BY ALL), ws AS (SELECT doc_id, a, z, k, sum(c) AS size FROM wc GROUP BY ALL),
+ic AS (SELECT id, k, g, count(*) AS c FROM ish GROUP BY ALL), isz AS (SELECT id, sum(c) AS size FROM ic GROUP BY 1),
+m AS (SELECT doc_id, id, a, z, k, sum(least(wc.c, ic.c)) AS same FROM wc JOIN ic USING (k, g) GROUP BY ALL),
+s AS (SELECT doc_id, id, CAST(same AS DOUBLE) / CAST(ws.size + isz.size - same AS DOUBLE) AS sim FROM m JOIN ws USING (doc_id, a, z, k) JOIN isz USING (id)),
+f AS (SELECT doc_id, list_sort(list(DISTINCT id)) AS item_ids, max(sim) AS similarity FROM s WHERE sim >= 0.8 GROUP BY 1)
+SELECT doc_id, item_ids IS NOT NULL AS contaminated, CAST(coalesce(len(item_ids), 0) AS BIGINT) AS n_items, coalesce(item_ids, []) AS item_ids, similarity FROM documents LEFT JOIN f USING (doc_id)"""
+
+
+@query("op4_decontamination", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm.decontamination import contamination
+
+    return contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
