@@ -103,3 +103,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from petrichor.llm.decontamination import contamination
 
     return contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP3_SQL = r"""WITH l0 AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l0),
+u AS (SELECT w, len(w) AS n, min(doc_id * 1000000 + line_no) AS spot FROM l WHERE len(w) > 0 GROUP BY 1),
+v AS (SELECT w, n, spot, i, array_to_string(w[1 : i] || w[i + 2 : n], ' ') AS rest FROM (SELECT *, unnest(range(0, n)) AS i FROM u WHERE n >= 7)),
+near AS (
+ SELECT w, min(m) AS lead_at FROM (SELECT w, spot, n, min(spot) OVER (PARTITION BY rest, n, i) AS m FROM v WHERE n >= 8) WHERE m < spot GROUP BY 1
+ UNION ALL SELECT v.w, min(u.spot) FROM v JOIN u ON u.n = v.n - 1 AND array_to_string(u.w, ' ') = v.rest WHERE v.n >= 8 AND u.spot < v.spot GROUP BY 1
+ UNION ALL SELECT u.w, min(v.spot) FROM v JOIN u ON u.n = v.n - 1 AND array_to_string(u.w, ' ') = v.rest WHERE v.n >= 8 AND v.spot < u.spot GROUP BY 1),
+k AS (SELECT l.*, len(l.w) > 0 AND (l.doc_id * 1000000 + l.line_no <> u.spot OR l.w IN (SELECT w FROM near)) AS gone FROM l LEFT JOIN u USING (w))
+SELECT d.doc_id, count(k.line_no) AS n_lines, count(*) FILTER (gone) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(k.line, chr(10) ORDER BY k.line_no) FILTER (NOT gone), '') END AS text
+FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.text"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm.line_dedup import line_dedup
+
+    return line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
