@@ -123,3 +123,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from petrichor.llm.line_dedup import line_dedup
 
     return line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm import language_id
+
+    docs = documents(spark, sf_dir)
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.learn(docs.filter(~out), text_col="text", lang_col="lang")
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "languages", "shares")
