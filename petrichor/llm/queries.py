@@ -133,3 +133,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.held_out(F.col("doc_id"))
     model = language_id.learn(docs.filter(~out), text_col="text", lang_col="lang")
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm import quality_rules
+    from petrichor.llm.common import written
+    from petrichor.llm.language_id import held_out
+
+    stats = quality_rules.statistics(F.col("text"))
+    rows = written(documents(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in stats.items()]), "statistics")
+    out = held_out(F.col("doc_id"), 3, 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(~out)
+    model = quality_rules.fit(quality_rules.training_rows(rows, labels, id_col="doc_id", label="quality"), list(stats))
+    scored = rows.select("doc_id", out.alias("held_out"), model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
