@@ -148,3 +148,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_rules.fit(quality_rules.training_rows(rows, labels, id_col="doc_id", label="quality"), list(stats))
     scored = rows.select("doc_id", out.alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op1_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm.site_style import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
