@@ -33,12 +33,13 @@ def slices(batch: pa.RecordBatch, text: str = "text", text_bytes: int = 2 << 20)
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word, words per text). A-Z in lower case; words end at the ASCII white space
     \\x20 \\x09-\\x0D; NULL is empty."""
-    flat = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), r"[\x09-\x0D]", " ")
+    flat = pc.replace_substring_regex(pc.fill_null(texts, "").cast(pa.large_string()), r"[\x09-\x0D]", " ")
     parts = pc.split_pattern(flat, " ")
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.list_flatten(parts).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    # the lower case of bytes is that of A-Z alone
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in words), np.uint64, len(words))
     real = np.fromiter(map(bool, words), bool, len(words))
     codes = coded.indices.to_numpy()
     if not len(codes):
