@@ -1,6 +1,6 @@
 """Result-table statistics on ``orders``: configuration = priority, cube = customer, fold = customer mod 3.
 
-Replicate counts are small here so that the oracle stays quick; every replicate draws from all rows.
+All intervals come from the operators' default of 5000 replicates, each drawn from all rows.
 """
 
 from __future__ import annotations
@@ -13,11 +13,23 @@ from petrichor.operators import meta, metrics, selection, stats
 from petrichor.plans import views as V
 from petrichor.session import reused
 
-B, SEED = 12, 777
+B, SEED = 5000, 777
 CI = ["estimate", "ci_low", "ci_high"]
 OUT = ", ".join(rnd(c, digits=5) for c in CI)
 
 
+def _start(keys: list[str]) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{SEED}'{''.join(', ' + k for k in keys)})), 1, 8) AS BIGINT)"
+
+
+def _picks(source: str, keep: str) -> str:
+    """(keep, rep, pick) for every draw of rows (keep, start, slot, n): 32 hashed bits scaled to the group's size."""
+    x = f"SELECT {keep}rep, n, (start + rep * 2654435761::BIGINT + slot * 2246822507::BIGINT) % 4294967296 AS x FROM {source}, (SELECT CAST(unnest(range({B})) AS BIGINT) AS rep)"
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x5BD1E995)):
+        x = f"SELECT {keep}rep, n, (xor(x, x >> {shift}) * {factor}::BIGINT) % 4294967296 AS x FROM ({x})"
+    return f"SELECT {keep}rep, (xor(x, x >> 16) * n) >> 32 AS pick FROM ({x})"
+
+
 def _boot_sql(src: str, groups: list[str], strata: list[str], unique: str, metrics_: list[str], ratios: dict[str, tuple[str, str]] | None = None, prefix: str = "b") -> str:
     """Same draws as the Spark side: numbered rows, hashed picks, means per replicate. Ends with ``<prefix>_out``."""
     keys = [*groups, *strata]
@@ -26,8 +38,6 @@ def _boot_sql(src: str, groups: list[str], strata: list[str], unique: str, metri
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     ratios = ratios or {}
     pay = list(dict.fromkeys([*metrics_, *[c for nd in ratios.values() for c in nd]]))
-    gid = f"dense_rank() OVER (ORDER BY {', '.join(k + ' NULLS FIRST' for k in keys)})" if keys else "1"
-    pick = f"CAST('0x' || substr(md5(concat_ws('|', '{SEED}', gid, rep // 4, slot)), 8*(rep % 4) + 1, 8) AS BIGINT)"
     same = " AND ".join([f"d.{k} IS NOT DISTINCT FROM n.{k}" for k in keys] + ["d.pick = n.slot"])
     def agg(source: str, extra: str, name: str) -> str:
         inner = ", ".join(f"avg({m}) AS {m}" for m in metrics_)
@@ -40,8 +50,8 @@ def _boot_sql(src: str, groups: list[str], strata: list[str], unique: str, metri
     melt = lambda t, v, extra="": " UNION ALL ".join(f"SELECT {gs}{extra}'{m}' AS metric, {m} AS {v} FROM {t}" for m in names_all)
     join_g = " AND ".join(["e.metric = c.metric"] + [f"e.{g} IS NOT DISTINCT FROM c.{g}" for g in groups])
     join_n = " AND ".join([f"e.{g} IS NOT DISTINCT FROM k.{g}" for g in groups]) or "true"
-    return f"""{p}_n AS (SELECT {gid} AS gid, {ks}{unique}{''.join(', ' + x for x in pay if x != unique)}, row_number() OVER ({part} ORDER BY {order_hash(SEED, unique)}, {unique}) - 1 AS slot, count(*) OVER ({part}) AS n FROM {src}),
- {p}_d AS (SELECT {ks}rep, {pick} % n AS pick FROM {p}_n, (SELECT CAST(unnest(range({B})) AS INTEGER) AS rep)),
+    return f"""{p}_n AS (SELECT {_start([*(groups or ['1']), *strata])} AS start, {ks}{unique}{''.join(', ' + x for x in pay if x != unique)}, row_number() OVER ({part} ORDER BY {order_hash(SEED, unique)}, {unique}) - 1 AS slot, count(*) OVER ({part}) AS n FROM {src}),
+ {p}_d AS ({_picks(p + '_n', ks)}),
  {p}_r AS (SELECT {''.join('d.' + k + ', ' for k in keys)}d.rep, {', '.join('n.' + x for x in pay)} FROM {p}_d d JOIN {p}_n n ON {same}),
  {agg(src, '', p + '_e')}, {agg(p + '_r', 'rep, ', p + '_s')}, {p}_em AS ({melt(p + '_e', 'estimate')}), {p}_sm AS ({melt(p + '_s', 'v')}),
  {p}_ci AS (SELECT {gs}metric, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high FROM {p}_sm GROUP BY ALL), {p}_k AS (SELECT {gs}count(DISTINCT {unique}) AS n_cubes FROM {src} {'GROUP BY ALL' if groups else ''}),
@@ -217,26 +227,49 @@ def _(spark, sf):
     return rounded(rounded(stats.tertile_summary(_featured(spark, sf), "feat", n_boot=B, seed=SEED), *CI, digits=5), "feat_median")
 
 
-@query(
-    "standardized_beta_simple",
-    f"""WITH {CT}, ur AS (SELECT cube_id, observed_r30, mae FROM ct WHERE configuration = '1-URGENT'), n AS (SELECT *, row_number() OVER (ORDER BY {order_hash(SEED, 'cube_id')}, cube_id) - 1 AS slot, count(*) OVER () AS n FROM ur),
- d AS (SELECT rep, CAST('0x' || substr(md5(concat_ws('|', '{SEED}', 1, rep // 4, slot)), 8*(rep % 4) + 1, 8) AS BIGINT) % n AS pick FROM n, (SELECT CAST(unnest(range({B})) AS INTEGER) AS rep)), s AS (SELECT rep, corr(observed_r30, mae) AS c FROM d JOIN n ON pick = slot GROUP BY 1)
- SELECT 'observed_r30' AS outcome, 'mae' AS feature, '' AS controls, {rnd('(SELECT corr(observed_r30, mae) FROM ur)', 'standardized_beta', 5)}, {rnd('quantile_cont(c, 0.025)', 'ci_low', 5)}, {rnd('quantile_cont(c, 0.975)', 'ci_high', 5)}, (SELECT count(*) FROM ur) AS n_cubes FROM s""",
-)
+def _beta_sql(src: str, outcome: str, feature: str, controls: list[str], prefix: str) -> str:
+    """Standardised coefficient per replicate by sweeping the controls out of the covariances."""
+    cols = [feature, *controls, outcome]  # 0 is the feature, the last one the outcome
+    k, last, p = len(cols), len(cols) - 1, prefix
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    covs = ", ".join(f"covar_pop({cols[i]}, {cols[j]}) AS c{i}_{j}" for i, j in pairs)
+    c = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
+    def swept(source: str, name: str, extra: str) -> str:
+        sql = f"SELECT {extra}sqrt(c0_0 / c{last}_{last}) AS scale, * EXCLUDE ({extra.rstrip(', ') or 'c0_0'}){'' if extra else ', c0_0'} FROM (SELECT {extra}{covs} FROM {source}{' GROUP BY ALL' if extra else ''})"
+        for m in range(1, last):
+            left = [(i, j) for i, j in pairs if m not in (i, j) and not (0 < i < m) and not (0 < j < m)]
+            sql = f"SELECT {extra}scale, {', '.join(f'{c(i, j)} - {c(i, m)} * {c(m, j)} / {c(m, m)} AS {c(i, j)}' for i, j in left)} FROM ({sql})"
+        return f"{name} AS (SELECT {extra}c0_{last} / c0_0 * scale AS beta FROM ({sql}))"
+    order = order_hash(SEED, "cube_id")
+    return f"""{p}_n AS (SELECT *, row_number() OVER (ORDER BY {order}, cube_id) - 1 AS slot, count(*) OVER () AS n, {_start(['1'])} AS start FROM {src}), {p}_d AS ({_picks(p + '_n', '')}),
+ {p}_r AS (SELECT rep, {', '.join(cols)} FROM {p}_d JOIN {p}_n ON pick = slot), {swept(p + '_r', p + '_s', 'rep, ')}, {swept(src, p + '_e', '')},
+ {p}_out AS (SELECT '{outcome}' AS outcome, '{feature}' AS feature, '{';'.join(controls)}' AS controls, (SELECT beta FROM {p}_e) AS standardized_beta, quantile_cont(beta, 0.025) AS ci_low, quantile_cont(beta, 0.975) AS ci_high, (SELECT count(*) FROM {src}) AS n_cubes FROM {p}_s)"""
+
+
+_BETA = ["standardized_beta", "ci_low", "ci_high"]
+_BETA_OUT = "outcome, feature, controls, n_cubes, " + ", ".join(rnd(c, digits=5) for c in _BETA)
+_UR = "ur AS (SELECT *, abs(observed_r30) AS abs_observed_r30 FROM ct WHERE configuration = '1-URGENT')"
+_EVENT_CONTROLS = ["abs_observed_r30", "target_variance", "spatial_valid_fraction"]
+
+
+@query("standardized_beta_simple", f"WITH {CT}, {_UR}, {_beta_sql('ur', 'observed_r30', 'mae', [], 'b')} SELECT {_BETA_OUT} FROM b_out")
 def _(spark, sf):
     out = stats.standardized_beta(_urgent(spark, sf), outcome="observed_r30", feature="mae", unique=["cube_id"], n_boot=B, seed=SEED)
-    return rounded(out, "standardized_beta", "ci_low", "ci_high", digits=5)
+    return rounded(out, *_BETA, digits=5)
 
 
-@query("standardized_beta_controls")
+@query("standardized_beta_controls", f"WITH {CT}, {_UR}, {_beta_sql('ur', 'mae_gain', 'mae', ['observed_r30', 'target_variance', 'fold'], 'b')} SELECT {_BETA_OUT} FROM b_out")
 def _(spark, sf):
     out = stats.standardized_beta(_urgent(spark, sf), outcome="mae_gain", feature="mae", controls=["observed_r30", "target_variance", "fold"], unique=["cube_id"], n_boot=B, seed=SEED)
-    return rounded(out, "standardized_beta", "ci_low", "ci_high")
+    return rounded(out, *_BETA, digits=5)
 
 
-@query("event_associations")
+@query(
+    "event_associations",
+    f"WITH {CT}, {_UR}, {_beta_sql('ur', 'observed_r30', 'mae', [], 'b')}, {_beta_sql('ur', 'mae_gain', 'mae', _EVENT_CONTROLS, 'h')} SELECT {_BETA_OUT} FROM b_out UNION ALL SELECT {_BETA_OUT} FROM h_out",
+)
 def _(spark, sf):
-    return stats.event_analysis(_urgent(spark, sf), ["mae"], n_boot=B, seed=SEED)[0]
+    return rounded(stats.event_analysis(_urgent(spark, sf), ["mae"], n_boot=B, seed=SEED)[0], *_BETA, digits=5)
 
 
 # ---- small summaries -------------------------------------------------------------------------------

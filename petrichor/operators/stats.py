@@ -1,9 +1,9 @@
 """Cube bootstrap and the result tables built on it.
 
-One replicate draws as many rows as its group has. Rows get a hash-order number; every row also acts as one
-draw slot of every replicate, whose target number is a pure function of (seed, group, replicate, slot).
-Draws meet rows in an equi-join on (group, number), which spreads evenly however large one group is, and
-means are combined before they are shuffled. All metrics of a row travel together.
+A group is cut into buckets of bounded size by the hash of its rows' keys. How many of a replicate's draws fall into
+a bucket comes from a tree of binomial splits over the bucket sizes; inside a bucket the draws are a pure hash of
+(seed, group, replicate, slot). A task turns one bucket into sums per replicate, so no draw is ever shuffled: what
+moves is the rows once and one line of sums per (replicate, bucket). A group's draws depend on its own rows only.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions.scalar import hash_part, hash_text, n_rows, null_if_nan, safe_ratio
-from petrichor.session import reused
-from petrichor.operators.order_stats import _join_keys, group_percentiles, numbered, rank_table, ranked_percentiles
-
+from petrichor.session import reused, spread
+from petrichor.operators.order_stats import _join_keys, group_percentiles, rank_table, ranked_percentiles
 
 
 def percentile_interval(df: DataFrame, *, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -29,29 +28,84 @@ def percentile_interval(df: DataFrame, *, keys: list[str], value: str, level: fl
     return q.withColumnsRenamed({f"{value}_p0": "ci_low", f"{value}_p1": "ci_high"})
 
 
-def resample(
-    df: DataFrame, *, keys: list[str], unique: list[str], payload: list[str], n_boot: int, seed: int
-) -> tuple[DataFrame, DataFrame]:
-    """(draws, groups): draws = (gid, rep, payload) with replacement inside every key group, groups =
-    (gid, keys). Replicate -1 holds the original rows.
+#: Most rows of a bucket, on average; and replicates that one task computes for it.
+BUCKET_ROWS, REPLICATES = 16_384, 500
+
+
+def _drawn_counts(start: int, bucket: int, path: list, n: int, reps: np.ndarray) -> np.ndarray:
+    """Draws of each replicate that fall into the bucket: down the tree, each node splits its count binomially by
+    the sizes of its halves, from a generator seeded by (group, replicate, node)."""
+    counts = np.full(len(reps), n, np.int64)
+    for level, node in enumerate(path):
+        for i, rep in enumerate(reps):
+            rng = np.random.Generator(np.random.Philox(key=[start << 32 | int(rep), level << 32 | bucket >> (len(path) - level)]))
+            left = rng.binomial(counts[i], node["left"] / node["total"])
+            counts[i] = counts[i] - left if node["right"] else left
+    return counts
+
 
-    Groups get a small number first, so the replicated rows carry integers instead of key texts. One hash
-    serves four replicates.
+def _weights(start: int, bucket: int, counts: np.ndarray, rows: int, reps: np.ndarray) -> np.ndarray:
+    """(replicates, rows): how often each row of the bucket is drawn."""
+    slots = np.arange(counts.max(initial=0), dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        x = np.uint32((start + bucket * 0x632BE5AB) & 0xFFFFFFFF) + reps.astype(np.uint32)[:, None] * np.uint32(0x9E3779B1) + slots * np.uint32(0x85EBCA6B)
+        for shift, factor in ((16, 0x7FEB352D), (15, 0x5BD1E995)):
+            x ^= x >> np.uint32(shift)
+            x *= np.uint32(factor)
+        x ^= x >> np.uint32(16)
+    pick = ((x.astype(np.uint64) * np.uint64(rows)) >> np.uint64(32)).astype(np.int64) + np.arange(len(reps))[:, None] * rows
+    return np.bincount(pick[slots < counts[:, None]], minlength=len(reps) * rows).reshape(len(reps), rows).astype(float)
+
+
+def replicate_sums(df: DataFrame, *, keys: list[str], unique: list[str], values: list[str], n_boot: int, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(keys, rep, s_<value>, c_<value>): sum and count of every value over the rows that a replicate draws.
+
+    As many rows as the group has are drawn with replacement; replicate -1 is the group itself. ``unique`` names
+    a row inside its group; NULL values count as drawn and add nothing.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per group: numbering them in one place is small
-    groups = sizes.withColumn("gid", F.row_number().over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])))
-    tagged = _join_keys(df.select(*dict.fromkeys([*keys, *unique, *payload])), groups, keys, keep="gid")
-    rows = reused(numbered(tagged.join(groups.select("gid", "_n"), "gid"), ["gid"], unique, seed, out="_slot"))
-    values = [F.col(p).alias(f"_v_{p}") for p in payload]
-    blocks = rows.select("gid", "_n", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 4))).alias("_b"), "_slot")
-    hashed = blocks.select("gid", "_n", "_b", hash_text(seed, F.col("gid"), F.col("_b"), F.col("_slot")).alias("_h"))
-    four = hashed.select("gid", "_n", "_h", (F.col("_b") * 4).alias("_b4"), F.explode(F.array(*[F.lit(j) for j in range(4)])).alias("_j"))
-    picks = four.select("gid", (F.col("_b4") + F.col("_j")).alias("rep"), (hash_part(F.col("_h"), F.col("_j")) % F.col("_n")).alias("_slot")).filter(F.col("rep") < n_boot)
-    drawn = picks.join(rows.select("gid", "_slot", *values), ["gid", "_slot"]).drop("_slot")
-    original = rows.select("gid", F.lit(-1).alias("rep"), *values)
-    out = original.unionByName(drawn).withColumnsRenamed({f"_v_{p}": p for p in payload})
-    return out, groups.drop("_n")
+    group = F.struct(*[F.col(k) for k in keys])
+    order = hash_text(seed, *[F.col(u) for u in unique])
+    payload = F.array(*[F.col(v).cast("double") for v in values])
+    rows = df.select(group.alias("_g"), order.alias("_h"), F.concat_ws("|", *[F.col(u).cast("string") for u in unique]).alias("_u"), payload.alias("_v"))
+    sizes = rows.groupBy("_g").agg(n_rows().alias("_n"))
+    sizes = sizes.withColumn("_l", F.greatest(F.ceil(F.log2(F.col("_n") / bucket_rows)), F.lit(0)).cast("int"))
+    placed = rows.join(sizes, "_g").withColumn("_b", F.expr("shiftright(cast(conv(substring(_h, 1, 8), 16, 10) AS bigint), 32 - _l)"))
+    buckets = placed.groupBy("_g", "_n", "_l", "_b").agg(F.array_sort(F.collect_list(F.struct("_h", "_u", "_v"))).alias("_rows"))
+    tree = placed.filter("_l > 0").groupBy("_g", "_l", "_b").agg(n_rows().alias("_c")).withColumn("_d", F.explode(F.expr("sequence(0, _l - 1)")))
+    tree = tree.withColumns({"_node": F.expr("shiftright(_b, _l - _d)"), "_right": F.expr("shiftright(_b, _l - _d - 1) & 1L = 1L")})
+    halves = tree.groupBy("_g", "_d", "_node").agg(F.sum(F.when(~F.col("_right"), F.col("_c")).otherwise(0)).alias("left"), F.sum("_c").alias("total"))
+    paths = tree.join(halves, ["_g", "_d", "_node"]).groupBy("_g", "_b").agg(F.array_sort(F.collect_list(F.struct("_d", "left", "total", F.col("_right").alias("right")))).alias("_path"))
+    work = buckets.join(paths, ["_g", "_b"], "left").select(
+        *[F.col("_g")[k].alias(k) for k in keys], "_n", "_b", "_path", F.flatten(F.transform("_rows", lambda r: r["_v"])).alias("_flat"),
+        F.conv(F.substring(hash_text(seed, *[F.col("_g")[k] for k in keys]), 1, 8), 16, 10).cast("bigint").alias("_start"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(REPLICATES))).alias("_first"),
+    )
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                data = np.asarray(row["_flat"], float).reshape(-1, len(values))
+                known = ~np.isnan(data)
+                both = np.hstack([np.where(known, data, 0.0), known])
+                got, names = ([both.sum(axis=0)[None, :]], [-1]) if row["_first"] == 0 else ([], [])
+                step = max(1, 1_000_000 // len(data))
+                for at in range(row["_first"], min(row["_first"] + REPLICATES, n_boot), step):
+                    reps = np.arange(at, min(at + step, row["_first"] + REPLICATES, n_boot))
+                    path = [] if row["_path"] is None else list(row["_path"])
+                    counts = _drawn_counts(row["_start"], row["_b"], path, row["_n"], reps)
+                    got.append(_weights(row["_start"], row["_b"], counts, len(data), reps) @ both)
+                    names += reps.tolist()
+                stacked = np.concatenate(got)
+                yield pd.DataFrame({**{k: [row[k]] * len(names) for k in keys}, "rep": names, "s": list(stacked[:, : len(values)]), "c": list(stacked[:, len(values) :].round().astype(np.int64))})
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "rep int, s array<double>, c array<bigint>"])
+    parts = spread(work).mapInPandas(sums, schema)
+    return parts.groupBy(*keys, "rep").agg(*[F.sum(F.col("s")[i]).alias(f"s_{v}") for i, v in enumerate(values)], *[F.sum(F.col("c")[i]).alias(f"c_{v}") for i, v in enumerate(values)])
+
+
+def _mean(value: str) -> Column:
+    return F.when(F.col(f"c_{value}") > 0, F.col(f"s_{value}") / F.col(f"c_{value}"))
 
 
 def _melt(df: DataFrame, keys: list[str], names: list[str], value: str) -> DataFrame:
@@ -75,12 +129,9 @@ def bootstrap(
     rows = df if groups else df.withColumn("_one", F.lit(1))
     payload = list(dict.fromkeys([*metrics, *itertools.chain.from_iterable(ratios.values())]))
     counted = count or unique[0]
-    # sizes, numbering and counts read the input; evaluate what lies before it once
-    rows = reused(rows.select(*dict.fromkeys([*anchor, *strata, *unique, *payload, counted])))
-    drawn, ids = resample(rows, keys=[*anchor, *strata], unique=unique, payload=payload, n_boot=n_boot, seed=seed)
-    means = [F.avg(F.col(m).cast("double")).alias(m) for m in metrics]
-    skill = [(1.0 - safe_ratio(F.avg(a), F.avg(b))).alias(name) for name, (a, b) in ratios.items()]
-    per = drawn.groupBy("gid", "rep").agg(*means, *skill).join(ids, "gid")
+    drawn = replicate_sums(rows, keys=[*anchor, *strata], unique=unique, values=payload, n_boot=n_boot, seed=seed)
+    skill = [(1.0 - safe_ratio(_mean(a), _mean(b))).alias(name) for name, (a, b) in ratios.items()]
+    per = drawn.select(*anchor, "rep", *[_mean(m).alias(m) for m in metrics], *skill)
     if strata:
         per = per.groupBy(*anchor, "rep").agg(*[F.avg(m).alias(m) for m in metrics])
     reps = _melt(per, [*anchor, "rep"], [*metrics, *ratios], "v")
@@ -247,16 +298,6 @@ def tertile_summary(df: DataFrame, feature: str, *, metrics=("observed_r30", "ma
 
 
 # ---- association -----------------------------------------------------------------------------------
-def _moments(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Counts, population deviations and covariances: all a standardised fit needs, mergeable."""
-    pairs = list(itertools.combinations(range(len(columns)), 2))
-    return df.groupBy(*keys).agg(
-        n_rows().alias("n"),
-        F.array(*[F.stddev_pop(c) for c in columns]).alias("sd"),
-        F.array(*([F.covar_pop(columns[i], columns[j]) for i, j in pairs] or [F.lit(0.0)])).alias("cov"),
-    )
-
-
 def standardized_beta(df: DataFrame, *, outcome: str, feature: str, controls: list[str] = (), unique: list[str], n_boot: int = 5000, seed: int = 777) -> DataFrame:
     """Standardised OLS coefficient of ``feature`` with a percentile interval over cube resamples.
 
@@ -264,12 +305,20 @@ def standardized_beta(df: DataFrame, *, outcome: str, feature: str, controls: li
     Constant controls are dropped; too few rows or a constant outcome/feature give NULL.
     """
     columns = [outcome, feature, *controls]
-    data = df.select(*unique, *[null_if_nan(F.col(c).cast("double")).alias(c) for c in columns]).dropna(subset=columns)
-    data = reused(data.withColumn("_one", F.lit(1)))
-    drawn, _ = resample(data, keys=["_one"], unique=unique, payload=columns, n_boot=n_boot, seed=seed)
-    base = _moments(data, [], columns).select(F.struct(F.transform("sd", lambda s: s > 1e-12).alias("alive"), "n").alias("b")).scalar()
-    work = _moments(drawn, ["rep"], columns).withColumns({"alive": base["alive"], "n_rows": base["n"]})
+    data = df.select(*unique, *[null_if_nan(F.expr(f"try_cast(`{c}` AS double)")).alias(c) for c in columns]).dropna(subset=columns)
     pairs = list(itertools.combinations(range(len(columns)), 2))
+    centre = data.agg(F.struct(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).alias("m")).select("m").scalar()
+    centred = data.select(F.lit(1).alias("_one"), *unique, *[(F.col(c) - centre[f"m{i}"]).alias(f"x{i}") for i, c in enumerate(columns)])
+    squares = {f"x{i}x{j}": F.col(f"x{i}") * F.col(f"x{j}") for i in range(len(columns)) for j in range(i, len(columns))}
+    names = [f"x{i}" for i in range(len(columns))] + list(squares)
+    drawn = replicate_sums(centred.withColumns(squares), keys=["_one"], unique=unique, values=names, n_boot=n_boot, seed=seed)
+    spread_of = lambda i, j: F.col(f"s_x{i}x{j}") / F.col("c_x0") - F.col(f"s_x{i}") * F.col(f"s_x{j}") / F.col("c_x0") / F.col("c_x0")
+    work = drawn.select(
+        "rep", F.col("c_x0").alias("n"), F.array(*[F.sqrt(F.greatest(spread_of(i, i), F.lit(0.0))) for i in range(len(columns))]).alias("sd"),
+        F.array(*([spread_of(i, j) for i, j in pairs] or [F.lit(0.0)])).alias("cov"),
+    )
+    alive = data.agg(F.struct(F.array(*[F.stddev_pop(c) > 1e-12 for c in columns]).alias("alive"), n_rows().alias("n")).alias("b")).select("b").scalar()
+    work = work.withColumns({"alive": alive["alive"], "n_rows": alive["n"]})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -119,10 +119,24 @@ def test_bootstrap_draws_are_with_replacement_and_stratified(spark):
     df = spark.createDataFrame([(str(i), i % 2, float(i % 2)) for i in range(40)], "cube_id string, fold int, v double")
     r = stats.bootstrap(df, strata=["fold"], unique=["cube_id"], metrics=["v"], n_boot=30).first()
     assert (r.estimate, r.ci_low, r.ci_high, r.n_cubes) == (0.5, 0.5, 0.5, 40)
-    drawn, _ = stats.resample(df.withColumn("g", F.lit(1)), keys=["g"], unique=["cube_id"], payload=["cube_id"], n_boot=6, seed=2)
-    per = drawn.groupBy("rep").agg(F.count("cube_id").alias("n"), F.count_distinct("cube_id").alias("d")).collect()
-    assert {p.rep for p in per} == {-1, 0, 1, 2, 3, 4, 5} and all(p.n == 40 for p in per)
-    assert all(p.d < 40 for p in per if p.rep >= 0)
+    sums = stats.replicate_sums(df.withColumn("g", F.lit(1)), keys=["g"], unique=["cube_id"], values=["v"], n_boot=6, seed=2).collect()
+    assert {p.rep for p in sums} == {-1, 0, 1, 2, 3, 4, 5} and all(p.c_v == 40 for p in sums)
+
+
+def test_bootstrap_over_buckets(spark):
+    """A group cut into buckets draws as many rows as it has, and its means scatter as they should."""
+    n, n_boot = 2000, 400
+    df = spark.range(n).select(F.lit("a").alias("g"), F.col("id").alias("u"), (F.col("id") % 97).cast("double").alias("v"))
+    both = df.unionByName(df.limit(5).withColumn("g", F.lit(None).cast("string")))
+    got = stats.replicate_sums(both, keys=["g"], unique=["u"], values=["v"], n_boot=n_boot, seed=3, bucket_rows=100).toPandas()
+    big = got[got["g"] == "a"]
+    assert (big["c_v"] == n).all() and len(big) == n_boot + 1 and (got[got["g"].isna()]["c_v"] == 5).all()
+    means = big[big["rep"] >= 0]["s_v"] / n
+    values = np.arange(n) % 97
+    assert abs(means.mean() - values.mean()) < 4 * values.std() / np.sqrt(n * n_boot)
+    assert means.std() == pytest.approx(values.std() / np.sqrt(n), rel=0.15)
+    alone = stats.replicate_sums(df, keys=["g"], unique=["u"], values=["v"], n_boot=n_boot, seed=3, bucket_rows=100).toPandas()
+    assert alone.sort_values("rep")["s_v"].tolist() == big.sort_values("rep")["s_v"].tolist()  # other groups don't matter
 
 
 # ---- folds -----------------------------------------------------------------------------------------
