@@ -285,11 +285,11 @@ def _(spark, sf):
 
 
 # ---- radar limits ----------------------------------------------------------------------------------
-_LIMIT = "lim AS (SELECT quantile_cont(v, 0.995) AS m FROM (SELECT v, row_number() OVER (PARTITION BY cube ORDER BY md5(concat_ws('|', '0', id)), id) AS o FROM evm WHERE mask_strict = 1) WHERE o <= 500)"
+_LIMIT = "lim AS (SELECT quantile_cont(v, 0.995) AS m FROM evm WHERE mask_strict = 1)"
 
 
 def _limits(spark, sf):
-    return radar.clip_values(V.event_masked(spark, sf), cube=CUBE, row_id=["id"], bands=["v"], veg="mask_strict", per_cube=500)
+    return radar.clip_values(V.event_masked(spark, sf), bands=["v"], veg="mask_strict")
 
 
 @query("radar_clip_values", f"WITH {EVM}, {_LIMIT} SELECT {rnd('m', 'v_max')} FROM lim")
@@ -400,11 +400,11 @@ def _(spark, sf):
 
 @query(
     "sampled_step_statistics",
-    f"WITH {EVM}, s AS (SELECT cube, px FROM (SELECT cube, px, row_number() OVER (PARTITION BY cube ORDER BY md5(concat_ws('|', '0', px)), px) AS o FROM (SELECT DISTINCT cube, px FROM evm WHERE mask_strict = 1)) WHERE o <= 40) SELECT cube, {_DAY} AS day, {rnd('avg(v)', 'v_mean')}, {rnd('min(v)', 'v_min')}, {rnd('max(v)', 'v_max')} FROM evm JOIN s USING (cube, px) WHERE mask_strict = 1 GROUP BY ALL",
+    f"WITH {EVM} SELECT cube, {_DAY} AS day, {rnd('avg(v)', 'v_mean')}, {rnd('min(v)', 'v_min')}, {rnd('max(v)', 'v_max')} FROM evm WHERE mask_strict = 1 GROUP BY ALL",
 )
 def _(spark, sf):
     df = V.event_masked(spark, sf).withColumn("day", F.to_date("t"))
-    return rounded(quality.sampled_step_statistics(df, cube=CUBE, pixel=PX, time="day", value="v", veg="mask_strict", n=40), "v_mean", "v_min", "v_max")
+    return rounded(quality.step_range(df, cube=CUBE, time="day", value="v", veg="mask_strict"), "v_mean", "v_min", "v_max")
 
 
 @query(

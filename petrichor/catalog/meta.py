@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from petrichor.catalog import query, rnd, rounded
 from petrichor.catalog.sql import META, order_hash
-from petrichor.functions import labels as L
 from petrichor.operators import climate, folds, meta, quality
 from petrichor.plans import views as V
 from petrichor.sources import readers
@@ -83,11 +82,11 @@ def _(spark, sf):
 def _(spark, sf):
     q = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), (F.col("c_acctbal") / 100.0).alias("qx"), F.col("c_nationkey").cast("double").alias("qy"))
     p = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("pid"), (F.col("s_acctbal") / 100.0).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    out = meta.nearest_point(q, p, query_id=["qid"], x="qx", y="qy", px="x", py="y", payload=["pid"], cell=2.0, levels=5)
+    out = meta.nearest_point(q, p, query_id=["qid"], x="qx", y="qy", px="x", py="y", payload=["pid"])
     return rounded(out, "distance", digits=5)
 
 
-_SEASONS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in L.SEASON_NAMES.items())
+_SEASONS = "WHEN 1 THEN 'Winter' WHEN 2 THEN 'Spring' WHEN 3 THEN 'Summer' WHEN 4 THEN 'Autumn' WHEN 5 THEN 'Hotter' WHEN 6 THEN 'Cooler' WHEN 7 THEN 'Dry' WHEN 8 THEN 'Wet'"
 
 
 @query("season_of_event_month", f"SELECT o_orderkey, CASE (o_custkey + month(o_orderdate)) % 10 {_SEASONS} END AS season FROM orders")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from petrichor.catalog import query, rnd, rounded
 from petrichor.catalog.sql import PRED
-from petrichor.functions import labels as L
 from petrichor.operators import metrics, quality
 from petrichor.plans import views as V
 from petrichor.sources import readers
@@ -89,7 +88,7 @@ def _(spark, sf):
     return rounded(_cubes(spark, sf).select("cube_id", "nnse_exclusion_reason", "nse", "nnse"), "nse", "nnse")
 
 
-_GROUPS = " ".join(f"WHEN esa_lc IN ({', '.join(map(str, codes))}) THEN '{g}'" for g, codes in L.LANDCOVER_GROUPS.items())
+_GROUPS = "WHEN esa_lc IN (10, 95) THEN 'forest' WHEN esa_lc IN (20, 30) THEN 'shrub_grass' WHEN esa_lc = 40 THEN 'cropland' WHEN esa_lc IN (60, 90, 100) THEN 'other_vegetation'"
 _LCPX = f"""lp AS (SELECT *, CASE {_GROUPS} END AS landcover_group FROM px), sz AS (SELECT cube_id, landcover_group, count(*) AS n_eligible FROM (SELECT DISTINCT cube_id, y, x, landcover_group FROM lp WHERE landcover_group IS NOT NULL) GROUP BY 1, 2 HAVING count(*) >= 10),
  lq AS (SELECT lp.* FROM lp JOIN sz USING (cube_id, landcover_group)), la AS (SELECT cube_id, landcover_group FROM lq GROUP BY 1, 2 HAVING count(*) FILTER (ok) > 0), lr AS (SELECT lq.* FROM lq JOIN la USING (cube_id, landcover_group))"""
 

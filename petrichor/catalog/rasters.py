@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from petrichor.catalog import query, rnd, rounded
 from petrichor.catalog.sql import BANDS, CLEAN, IMG, INDEX, hash32
-from petrichor.functions import indices, labels as L
+from petrichor.functions import indices
 from petrichor.operators import masks, metrics, quality, radar, tiles
 from petrichor.plans import views as V
 
@@ -37,10 +37,14 @@ def _(spark, sf):
     return rounded(indices.add_indices(_clean(spark, sf)).select("cube", "t", "y", "x", *indices.INDEX_NAMES), *indices.INDEX_NAMES, digits=5)
 
 
+#: Written out again, so that a changed constant of the library fails the comparison.
+_RANGES = {"NDVI": (-1.0, 1.0), "kNDVI": (0.0, 1.0), "NDMI": (-1.0, 1.0), "NDWI": (-1.0, 1.0), "NIRv": (-1.0, 1.0), "IRECI": (-1.0, 2.0), "CIRE": (-1.0, 25.0)}
+
+
 def _range_sql(name: str) -> str:
-    lo, hi = L.INDEX_RANGES[name]
+    lo, hi = _RANGES[name]
     out = f"max(i) > {hi} OR min(i) < {lo}"
-    crit = f"WHEN ({out}) AND (max(i) > 1 OR min(i) < -1) THEN 'critical'" if name in L.CRITICAL_INDICES else ""
+    crit = f"WHEN ({out}) AND (max(i) > 1 OR min(i) < -1) THEN 'critical'" if name in ("NDVI", "kNDVI", "NDWI", "NDMI") else ""
     return f"SELECT cube, '{name}' AS index_name, {rnd('min(i)', 'v_min', 5)}, {rnd('max(i)', 'v_max', 5)}, CASE WHEN max(i) IS NULL THEN 'empty' {crit} WHEN {out} THEN 'report' ELSE 'ok' END AS status FROM (SELECT cube, {INDEX[name]} AS i FROM clean) GROUP BY 1"
 
 
@@ -65,7 +69,7 @@ def _(spark, sf):
 
 # ---- vegetation ------------------------------------------------------------------------------------
 _LC = "lc AS (SELECT cube, t, y, x, [10,20,30,40,50,60,70,80,90,95,100,0][CAST(floor(B12*11.99::DOUBLE) AS INTEGER) + 1] AS esa_lc, B12 AS q, B08, B04, B03 FROM clean)"
-_VEG = ", ".join(map(str, L.VEGETATION_CODES))
+_VEG = "10, 20, 30, 40, 60, 90, 95, 100"
 _ST0 = f"""{CLEAN}, {_LC}, l0 AS (SELECT cube, y, x, arg_min(esa_lc, t) AS esa_lc FROM lc GROUP BY 1, 2, 3),
  v0 AS (SELECT cube, t, l.y, l.x, CASE WHEN l0.esa_lc IN ({_VEG}) THEN 1 ELSE 0 END AS is_veg, l0.esa_lc, CASE WHEN q > 0.15 THEN 1 ELSE 0 END AS strict,
  {INDEX['NDVI']} AS ndvi, {INDEX['NDWI']} AS ndwi FROM lc l JOIN l0 USING (cube, y, x)),
@@ -113,7 +117,10 @@ def _(spark, sf):
     return masks.refine_vegetation(df)
 
 
-_NAMES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in L.LANDCOVER_NAMES.items())
+_NAMES = (
+    "WHEN 10 THEN 'LC_Tree' WHEN 20 THEN 'LC_Shrub' WHEN 30 THEN 'LC_Grass' WHEN 40 THEN 'LC_Crop' WHEN 50 THEN 'LC_Settlement' "
+    "WHEN 60 THEN 'LC_Sparse_Veg' WHEN 70 THEN 'LC_Snow' WHEN 80 THEN 'LC_Water' WHEN 90 THEN 'LC_Wetland' WHEN 100 THEN 'LC_Moss_Lichen'"
+)
 
 
 @query(
@@ -298,7 +305,8 @@ def _(spark, sf):
 
 
 # ---- channels --------------------------------------------------------------------------------------
-_HOT = ", ".join(f"CASE WHEN esa_lc = {v} THEN 1 ELSE 0 END AS lc_{v}" for v in L.LANDCOVER_LABELS)
+_CODES = [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100]
+_HOT = ", ".join(f"CASE WHEN esa_lc = {v} THEN 1 ELSE 0 END AS lc_{v}" for v in _CODES)
 
 
 @query("one_hot_landcover", f"WITH {CLEAN}, {_LC} SELECT cube, t, y, x, {_HOT} FROM lc")
@@ -323,7 +331,7 @@ def _(spark, sf):
 
 @query(
     "channel_vectors",
-    f"WITH {CLEAN}, {_LC}, c AS (SELECT cube, t, y, x, [kndvi, B05, B06, " + ", ".join(f"CASE WHEN esa_lc = {v} THEN 1 ELSE 0 END" for v in L.LANDCOVER_LABELS) + f", B07, B04, B08, B11, 1, 1, 1] AS ch FROM (SELECT *, {INDEX['kNDVI']} AS kndvi FROM clean) JOIN (SELECT cube, t, y, x, esa_lc FROM lc) USING (cube, t, y, x)) SELECT cube, t, y, x, CAST(len(ch) AS INTEGER) AS n_channels, " + rnd("CAST(ch[1] AS FLOAT)", "first_channel", 4) + ", " + rnd("list_sum([CAST(CAST(c AS FLOAT) AS DOUBLE) for c in ch])", "channel_sum", 4) + " FROM c",
+    f"WITH {CLEAN}, {_LC}, c AS (SELECT cube, t, y, x, [kndvi, B05, B06, " + ", ".join(f"CASE WHEN esa_lc = {v} THEN 1 ELSE 0 END" for v in _CODES) + f", B07, B04, B08, B11, 1, 1, 1] AS ch FROM (SELECT *, {INDEX['kNDVI']} AS kndvi FROM clean) JOIN (SELECT cube, t, y, x, esa_lc FROM lc) USING (cube, t, y, x)) SELECT cube, t, y, x, CAST(len(ch) AS INTEGER) AS n_channels, " + rnd("CAST(ch[1] AS FLOAT)", "first_channel", 4) + ", " + rnd("list_sum([CAST(CAST(c AS FLOAT) AS DOUBLE) for c in ch])", "channel_sum", 4) + " FROM c",
 )
 def _(spark, sf):
     """Context vectors summarised to their length, first channel and sum."""
@@ -335,7 +343,14 @@ def _(spark, sf):
     return rounded(out.select("cube", "t", "y", "x", F.size("channels").alias("n_channels"), F.col("channels")[0].alias("first_channel"), total.alias("channel_sum")), "first_channel", "channel_sum", digits=4)
 
 
-@query("data_signature")
+_SIGNED = "md5(concat_ws('|', t, y, x, coalesce(CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR), '<null>'), CASE WHEN v IS NULL THEN 0 ELSE 1 END, 0))"
+
+
+@query(
+    "data_signature",
+    f"WITH {IMG}, h AS (SELECT cube, {_SIGNED} AS h FROM img) SELECT cube, sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) || ':' || sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) || ':' || count(*) AS signature, count(*) AS n_rows FROM h GROUP BY 1",
+)
 def _(spark, sf):
-    df = V.image_pixels(spark, sf).withColumnsRenamed({"v": "true"}).withColumns({"mask": F.col("true").isNotNull().cast("int"), "base": F.lit(0.0)})
-    return metrics.data_signature(df, cube=["cube"], keys=["t", "y", "x"])
+    """Values as whole millionths: both engines write integers alike."""
+    df = V.image_pixels(spark, sf).withColumnsRenamed({"v": "true"}).withColumns({"mask": F.col("true").isNotNull().cast("int"), "base": F.lit(0)})
+    return metrics.data_signature(df.withColumn("true", F.round(F.col("true") * 1_000_000).cast("bigint")), cube=["cube"], keys=["t", "y", "x"])

@@ -52,16 +52,6 @@ def _(spark, sf):
     return rounded(climate.robust_scale(daily, climate.global_percentiles(long)).drop("value"), "scaled")
 
 
-@query(
-    "robust_scaling_first_prefix",
-    f"WITH {LI}, {_LIMITS}, {_BINS}, m AS (SELECT v.var, arg_min(lim.p_low, lim.var) AS p_low, arg_min(lim.p_high, lim.var) AS p_high FROM (SELECT DISTINCT var FROM bn) v JOIN lim ON starts_with(v.var, lim.var) GROUP BY 1) SELECT cube, bn.var, t, {rnd('greatest(-5, least(5, (v - p_low)/(p_high - p_low)))', 'scaled')} FROM bn JOIN m ON m.var = bn.var",
-)
-def _(spark, sf):
-    long = _long(spark, sf)
-    daily = long.groupBy("cube", F.concat("var", F.lit("_mean")).alias("var"), "t").agg(F.avg("value").alias("value"))
-    return rounded(climate.robust_scale(daily, climate.global_percentiles(long), compat="first_prefix").drop("value"), "scaled")
-
-
 @query("empty_series_report", f"WITH {LI} SELECT cube, CASE WHEN count(CASE WHEN v > 104000 THEN v END) = 0 THEN 1 ELSE 0 END AS v_all_null FROM li GROUP BY 1")
 def _(spark, sf):
     df = _series(spark, sf).withColumn("v", F.when(F.col("v") > 104000, F.col("v")))

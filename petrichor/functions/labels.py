@@ -24,7 +24,7 @@ LANDCOVER_GROUPS = {
     "forest": [10, 95],
     "shrub_grass": [20, 30],
     "cropland": [40],
-    "other": [60, 90, 100],
+    "other_vegetation": [60, 90, 100],
 }
 
 # Season names by label id.

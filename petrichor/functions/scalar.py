@@ -78,6 +78,14 @@ def draw(n: Column, *parts) -> Column:
     return hash_part(hash_text(*parts), 0) % n
 
 
+def rows_signature(*parts) -> Column:
+    """Aggregate: order-free fingerprint of a multiset of rows. The two halves of every row's md5 are summed, so
+    repeated rows count, and the number of rows is part of it."""
+    known = [F.coalesce(as_text(p), F.lit("<null>")) for p in parts]
+    half = lambda start: F.sum(F.conv(F.substring(hash_text(*known), start, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.concat_ws(":", half(1), half(16), n_rows().cast("string"))
+
+
 def fold_all(conditions: list[Column], how: str = "and") -> Column:
     return reduce((lambda a, b: a & b) if how == "and" else (lambda a, b: a | b), conditions)
 

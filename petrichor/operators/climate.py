@@ -143,27 +143,16 @@ def global_percentiles(df: DataFrame, *, var: str = "var", value: str = "value",
     return ranked_percentiles(df, [var], value, list(probs)).withColumnsRenamed({"p0": "p_low", "p1": "p_high"})
 
 
-def robust_scale(
-    df: DataFrame, stats: DataFrame, *, var: str = "var", value: str = "value", compat: str | None = None
-) -> DataFrame:
+def robust_scale(df: DataFrame, stats: DataFrame, *, var: str = "var", value: str = "value") -> DataFrame:
     """(v - p_low) / (p_high - p_low), clipped to [-5, 5].
 
     ``var`` may carry a statistic suffix (_mean, _min, _max): the limits belong to the base variable.
-    ``compat="first_prefix"`` takes the alphabetically first variable that is a prefix instead.
-    Limits are one row per variable name, a dictionary of bounded size.
     """
-    right = F.broadcast(stats.select(F.col(var).alias("_sv"), "p_low", "p_high"))
-    if compat == "first_prefix":
-        prefixes = F.transform(F.sequence(F.lit(1), F.length(var)), lambda i: F.substring(F.col(var), F.lit(1), i))
-        names = df.select(var).distinct().withColumn("_sv", F.explode(prefixes)).join(right, "_sv")
-        first = names.groupBy(var).agg(F.min_by(F.struct("p_low", "p_high"), "_sv").alias("_p")).select(var, "_p.*")
-        joined = df.join(F.broadcast(first), var, "left")
-    else:
-        base = F.regexp_replace(F.col(var), "_(mean|min|max)$", "")
-        joined = df.join(right, base == F.col("_sv"), "left").drop("_sv")
-    zero = F.col("p_high") - F.col("p_low")
-    zero = F.when(zero == 0, 1e-8).otherwise(zero)
-    return joined.withColumn("scaled", clip((F.col(value) - F.col("p_low")) / zero, -5.0, 5.0)).drop("p_low", "p_high")
+    right = stats.select(F.col(var).alias("_sv"), "p_low", "p_high")
+    joined = df.join(right, F.regexp_replace(F.col(var), "_(mean|min|max)$", "") == F.col("_sv"), "left").drop("_sv")
+    span = F.col("p_high") - F.col("p_low")
+    span = F.when(span == 0, 1e-8).otherwise(span)
+    return joined.withColumn("scaled", clip((F.col(value) - F.col("p_low")) / span, -5.0, 5.0)).drop("p_low", "p_high")
 
 
 def attach_series(pixels: DataFrame, series: DataFrame, *, cube: list[str], bin_col: str = "bin") -> DataFrame:

@@ -80,26 +80,31 @@ def drop_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return df.join(listed.select(key).distinct(), key, "left_anti")
 
 
-def nearest_point(
-    queries: DataFrame, points: DataFrame, *, query_id: list[str], x: str, y: str, px: str, py: str, payload: list[str],
-    cell: float = 1.0, levels: int = 8, factor: int = 4,
-) -> DataFrame:
+def nearest_point(queries: DataFrame, points: DataFrame, *, query_id: list[str], x: str, y: str, px: str, py: str, payload: list[str], factor: int = 4) -> DataFrame:
     """Exact nearest grid point per query (ties: smallest payload) without comparing all pairs.
 
-    Points are bucketed at several cell sizes (``cell * factor**level``). A query first finds the finest
-    size at which its 3 x 3 neighbourhood is occupied; a point is then no farther than the diagonal of that
-    block, so the 7 x 7 neighbourhood at this size contains the nearest one. The coarsest level must span
-    the extent of the data.
+    Points are bucketed at several cell sizes. The finest follows from the points' extent and number, the
+    coarsest spans queries and points together, so every query finds an occupied 3 x 3 neighbourhood at some
+    size. At the finest such size a point is no farther than the diagonal of that block, and the 7 x 7
+    neighbourhood contains the nearest one. A query without coordinates, or without any point, keeps its row
+    with NULLs.
     """
-    sizes = [cell * factor**i for i in range(levels)]
-    level_list = F.array(*[F.struct(F.lit(i).alias("l"), F.lit(s).alias("s")) for i, s in enumerate(sizes)])
-    at = lambda df, cx, cy: df.withColumn("_lv", F.explode(level_list)).withColumns(
-        {"_l": F.col("_lv.l"), "_cx": F.floor(F.col(cx) / F.col("_lv.s")), "_cy": F.floor(F.col(cy) / F.col("_lv.s"))}
-    ).drop("_lv")
+    box = lambda df, a, b: df.agg(F.struct(F.min(a).alias("x0"), F.max(a).alias("x1"), F.min(b).alias("y0"), F.max(b).alias("y1"), F.count(a).alias("n")).alias("e")).select("e").scalar()
+    p, q = box(points, px, py), box(queries, x, y)
+    own = F.greatest(p["x1"] - p["x0"], p["y1"] - p["y0"])
+    whole = F.greatest(*[F.greatest(p[f"{c}1"], q[f"{c}1"]) - F.least(p[f"{c}0"], q[f"{c}0"]) for c in "xy"])
+    cell = F.when(own > 0, own / F.sqrt(p["n"].cast("double")) / factor).when(whole > 0, whole).otherwise(1.0)
+    levels = F.ceil(F.log(F.greatest(whole / cell, F.lit(1.0))) / F.log(F.lit(float(factor)))).cast("int") + 1
+
+    def at(df: DataFrame, cx: str, cy: str) -> DataFrame:
+        sized = df.withColumns({"_cell": cell, "_levels": levels}).withColumn("_l", F.explode(F.expr("sequence(0, _levels)")))
+        side = F.col("_cell") * F.pow(F.lit(float(factor)), F.col("_l"))
+        return sized.withColumns({"_cx": F.floor(F.col(cx) / side), "_cy": F.floor(F.col(cy) / side)}).drop("_cell", "_levels")
+
     ring = lambda r: F.sequence(F.lit(-r), F.lit(r))
-    grid = at(points.select(px, py, *payload).distinct(), px, py)
+    grid = at(points.select(px, py, *payload).dropna(subset=[px, py]).distinct(), px, py)
     occupied = grid.select("_l", "_cx", "_cy").distinct()
-    located = at(queries.select(*query_id, F.col(x).alias("_x"), F.col(y).alias("_y")), "_x", "_y")
+    located = at(queries.select(*query_id, F.col(x).alias("_x"), F.col(y).alias("_y")).dropna(subset=["_x", "_y"]), "_x", "_y")
     # which neighbour cells are occupied, found from the small side: an occupied cell serves its 3 x 3 block
     served = occupied.withColumn("_dx", F.explode(ring(1))).withColumn("_dy", F.explode(ring(1))).select(
         "_l", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy")
@@ -112,7 +117,7 @@ def nearest_point(
     pairs = around.join(grid, ["_l", "_cx", "_cy"])
     d2 = (F.col(px) - F.col("_x")) * (F.col(px) - F.col("_x")) + (F.col(py) - F.col("_y")) * (F.col(py) - F.col("_y"))
     best = pairs.groupBy(*query_id).agg(F.min(F.struct(d2.alias("d2"), *payload)).alias("_b"))
-    return best.select(*query_id, F.sqrt("_b.d2").alias("distance"), *[F.col("_b")[p].alias(p) for p in payload])
+    return queries.select(*query_id).join(best, query_id, "left").select(*query_id, F.sqrt("_b.d2").alias("distance"), *[F.col("_b")[c].alias(c) for c in payload])
 
 
 def season_of_month(monthly: Column, when: Column) -> Column:

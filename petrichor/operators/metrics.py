@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions import labels as L
-from petrichor.functions.scalar import count_true, direction, flag, n_rows, null_if_nan, reasons, safe_ratio
+from petrichor.functions.scalar import count_true, direction, flag, n_rows, null_if_nan, reasons, rows_signature, safe_ratio
 
 TINY = 1e-12
 
@@ -391,8 +391,7 @@ def change_histogram(df: DataFrame, *, cube: list[str], pixel: list[str], step:
 # ---- identity across configurations ----------------------------------------------------------------
 def data_signature(df: DataFrame, *, cube: list[str], keys: list[str], values=("true", "mask", "base")) -> DataFrame:
     """Order-free fingerprint of a cube's data, equal when the rows are equal."""
-    h = F.xxhash64(*[F.col(c) for c in [*keys, *values]])
-    return df.groupBy(*cube).agg(F.bit_xor(h).alias("signature"), n_rows().alias("n_rows"))
+    return df.groupBy(*cube).agg(rows_signature(*[F.col(c) for c in [*keys, *values]]).alias("signature"), n_rows().alias("n_rows"))
 
 
 def alignment_check(cubes: DataFrame, *, cube: str = "cube_id", configuration: str = "configuration") -> DataFrame:

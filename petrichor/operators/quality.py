@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions import labels as L
 from petrichor.functions.scalar import BIN_DAYS, bin_end, count_true, first_reason, flag, hash_text, n_rows
-from petrichor.operators.order_stats import _join_keys, group_percentiles, numbered
+from petrichor.operators.order_stats import _join_keys, group_percentiles
 from petrichor.operators.timegrid import context_target_steps
 
 
@@ -119,16 +119,11 @@ def step_statistics(df: DataFrame, *, cube: list[str], time: str, value: str, ve
     return q.withColumnRenamed(f"{value}_p0", "v_median")
 
 
-def sampled_step_statistics(
-    df: DataFrame, *, cube: list[str], pixel: list[str], time: str, value: str, veg: str | None = None, n: int = 5000, seed: int = 0
-) -> DataFrame:
-    """mean / min / max per step over at most ``n`` hash-drawn vegetation pixels of every cube."""
+def step_range(df: DataFrame, *, cube: list[str], time: str, value: str, veg: str | None = None) -> DataFrame:
+    """mean / min / max per step over all vegetation pixels; mergeable, so no sample is needed."""
     rows = df.filter(F.col(veg) == 1) if veg else df
-    chosen = numbered(rows.select(*cube, *pixel).distinct(), cube, pixel, seed, first_n=n).drop("idx")
     v = F.col(value).cast("double")
-    return rows.join(chosen, [*cube, *pixel], "left_semi").groupBy(*cube, time).agg(
-        F.avg(v).alias("v_mean"), F.min(v).alias("v_min"), F.max(v).alias("v_max")
-    )
+    return rows.groupBy(*cube, time).agg(F.avg(v).alias("v_mean"), F.min(v).alias("v_min"), F.max(v).alias("v_max"))
 
 
 def acquisition_bins(

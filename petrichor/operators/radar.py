@@ -6,29 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions import labels as L
 from petrichor.functions.scalar import clip, flag
-from petrichor.operators.order_stats import numbered, ranked_percentiles
-
-
-def clip_values(
-    df: DataFrame,
-    *,
-    cube: list[str],
-    row_id: list[str],
-    bands: list[str],
-    veg: str = "is_veg",
-    prob: float = 0.995,
-    per_cube: int = 500_000,
-    seed: int = 0,
-) -> DataFrame:
-    """One row of global upper limits: percentile per band over at most ``per_cube`` vegetation pixels of
-    every cube with all bands valid (hash-ordered draw). The caller passes the training cubes."""
+from petrichor.operators.order_stats import ranked_percentiles
+
+
+def clip_values(df: DataFrame, *, bands: list[str], veg: str = "is_veg", prob: float = 0.995) -> DataFrame:
+    """One row of global upper limits: exact percentile per band over all vegetation pixels with all bands valid.
+    The caller passes the training cubes."""
     usable = F.col(veg) == 1
     for b in bands:
         usable = usable & F.col(b).isNotNull()
-    rows = df.filter(usable).select(*cube, *row_id, *bands)
-    sample = numbered(rows, cube, row_id, seed, first_n=per_cube)
-    melted = sample.select(F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands])))
-    limits = ranked_percentiles(melted, ["band"], "v", [prob], hint=True)
+    melted = df.filter(usable).select(F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands])))
+    limits = ranked_percentiles(melted, ["band"], "v", [prob])
     return limits.agg(*[F.max(F.when(F.col("band") == b, F.col("p0"))).alias(f"{b}_max") for b in bands])
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from petrichor.functions.scalar import count_true, flag, n_rows, null_if_nan, reasons
+from petrichor.functions.scalar import count_true, flag, n_rows, null_if_nan, reasons, rows_signature
 from petrichor.operators.meta import predictor_set
 
 
@@ -43,7 +43,7 @@ def audit_runs(runs: DataFrame, folds: DataFrame, files: DataFrame, *, n_folds:
         F.count_distinct("fold").alias("_split_folds"), n_rows().alias("_n_val"), F.count_distinct("file").alias("_d_val"),
         count_true(~F.col("fold").between(0, n_folds - 1)).alias("_extra_folds"),
         # order-free signature of the validation sets
-        F.bit_xor(F.xxhash64("fold", "file")).alias("split_signature"),
+        rows_signature(F.col("fold"), F.col("file")).alias("split_signature"),
     )
     out = runs.join(per_run, "run_dir", "left").join(split, "run_dir", "left")
     recomputed = F.abs(F.col("mean_val_score") - F.col("mean_score")) > F.greatest(1e-9 * F.greatest(F.abs("mean_val_score"), F.abs("mean_score")), F.lit(1e-12))

@@ -89,11 +89,18 @@ def test_utm_against_forward_series(spark):
 def test_nearest_point_far_and_clustered(spark, rng):
     q = pd.DataFrame({"q": range(60), "x": rng.uniform(-100, 100, 60), "y": rng.uniform(-100, 100, 60)})
     p = pd.DataFrame({"p": range(80), "px": np.r_[rng.normal(90, 0.1, 70), rng.uniform(-100, 100, 10)], "py": np.r_[rng.normal(90, 0.1, 70), rng.uniform(-100, 100, 10)]})
-    got = meta.nearest_point(spark.createDataFrame(q), spark.createDataFrame(p), query_id=["q"], x="x", y="y", px="px", py="py", payload=["p"], cell=1.0, levels=6)
+    got = meta.nearest_point(spark.createDataFrame(q), spark.createDataFrame(p), query_id=["q"], x="x", y="y", px="px", py="py", payload=["p"])
     d = (q.x.values[:, None] - p.px.values) ** 2 + (q.y.values[:, None] - p.py.values) ** 2
     assert {r.q: r.p for r in got.collect()} == dict(zip(q.q, d.argmin(1)))
 
 
+def test_nearest_point_keeps_far_queries(spark):
+    q = spark.createDataFrame([("far", 1e7, 5e6), ("near", 0.0, 0.0), ("none", None, 1.0)], "q string, x double, y double")
+    p = spark.createDataFrame([(1, 0.5, 0.5), (2, 3.0, 3.0)], "p int, px double, py double")
+    got = {r.q: r.p for r in meta.nearest_point(q, p, query_id=["q"], x="x", y="y", px="px", py="py", payload=["p"]).collect()}
+    assert got == {"far": 2, "near": 1, "none": None}
+
+
 def test_nearest_time_prefers_later_on_tie(spark):
     left = spark.createDataFrame([("c", "2024-01-02 12:00:00"), ("c", "2024-01-09 00:00:00")], "c string, s string").select("c", F.col("s").cast("timestamp_ntz").alias("t"))
     right = spark.createDataFrame([("c", "2024-01-02 06:00:00", 1), ("c", "2024-01-02 18:00:00", 2), ("c", "2024-01-10 00:00:01", 3)], "c string, s string, v int").select("c", F.col("s").cast("timestamp_ntz").alias("rt"), "v")
@@ -178,9 +185,8 @@ def test_strict_searches(cubes):
         assert folds.shared_groups(out, group="loc").count() == 0
         assert folds.shared_groups(out, group="sea").count() == 0
         assert out.filter("subset = 'val'").count() > 0
-    none = folds.random_strict_folds(cubes, space="loc", time="sea", k=2, min_val_share=0.9, tries=5)
-    check = folds.strict_fold_check(none, k=2, space="loc", time="sea").collect()
-    assert [r.found for r in check] == [0, 0]
+    with pytest.raises(Exception, match="no strict draw"):
+        folds.random_strict_folds(cubes, space="loc", time="sea", k=2, min_val_share=0.9, tries=5).collect()
 
 
 def test_group_balance(cubes):
