@@ -40,6 +40,10 @@ NOISE_NAMES = set(
 NOISE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 
+#: Containers nested deeper share the path of the one that is this deep.
+DEPTH = 256
+
+
 @dataclass
 class Node:
     tag: str
@@ -47,9 +51,10 @@ class Node:
     noise: bool
     article: bool
     main: bool
-    container: bool
     above: tuple[int, ...] = ()
+    root: int = 0
     children: list[str] = field(default_factory=list)
+    outside: list[str] | None = None  # text of the block around an inline element that isn't part of the article
 
 
 @dataclass
@@ -59,6 +64,7 @@ class Block:
     article: bool
     main: bool
     above: tuple[int, ...]  # containers as hashed paths, the outermost first
+    root: int  # so many of them lead to the article or main element, itself included
 
 
 def _hash(text: str) -> int:
@@ -84,7 +90,7 @@ def _noisy(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
 
 def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
     """(text blocks in order, children's styles per container path)."""
-    root = Node("", "", False, False, False, False)
+    root = Node("", "", False, False, False)
     stack, blocks, styles, held = [root], [], {}, []
 
     def flush() -> None:
@@ -92,7 +98,13 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
         held.clear()
         if text:
             top = stack[-1]
-            blocks.append(Block(text, top.noise, top.article, top.main, top.above))
+            blocks.append(Block(text, top.noise, top.article, top.main, top.above, top.root))
+
+    def leave(keep: int) -> None:
+        while len(stack) > keep:
+            flush()
+            if (outside := stack.pop().outside) is not None:
+                held[:] = [*outside, " "]
 
     def opened(tag: str, raw: str) -> None:
         if tag in BLOCKS:
@@ -101,25 +113,30 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
                 if stack[i].tag in CONTAINERS:
                     break
                 if stack[i].tag == "p" or stack[i].tag in ENDS.get(tag, ()):
-                    del stack[i:]
+                    leave(i)
                     break
         if tag in VOID:
             held.append(" ")
             return
         top, attributes = stack[-1], _attributes(raw)
+        noise = top.noise or _noisy(tag, attributes, top.article or top.main)
         classes = ".".join(sorted(attributes.get("class", "").lower().split()))
         style = f"{tag}.{classes}" if classes else tag
         top.children.append(style)
-        container = tag in CONTAINERS
-        path = f"{top.path}/{style}"
-        noise = top.noise or _noisy(tag, attributes, top.article or top.main)
-        above = top.above + ((_hash(path),) if container else ())
         main = top.main or tag == "main" or attributes.get("role", "").lower() == "main"
-        node = Node(tag, path, noise, top.article or tag == "article", main, container, above)
-        if container:
-            styles.setdefault(above[-1], []).append("|")
-            node.children = styles[above[-1]]
-        if tag in BLOCKS or noise and not top.noise:
+        node = Node(tag, top.path, noise, top.article or tag == "article", main, top.above, top.root)
+        if tag in CONTAINERS and len(top.above) < DEPTH:
+            node.path = f"{top.path}/{style}"
+            node.above = top.above + (_hash(node.path),)
+            node.children = styles.setdefault(node.above[-1], [])
+            node.children.append("|")
+            if tag == "article" and not top.article or tag == "main" and not top.root:
+                node.root = len(node.above)
+        if tag in BLOCKS:
+            stack.append(node)
+        elif noise and not top.noise:
+            node.outside = held[:]
+            held.clear()
             stack.append(node)
 
     def closed(tag: str) -> None:
@@ -127,8 +144,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
             flush()
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == tag:
-                flush()
-                del stack[i:]
+                leave(i)
                 return
             if stack[i].tag in CONTAINERS and tag not in CONTAINERS:
                 return
@@ -150,11 +166,9 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
         elif tag == "plaintext":
             break
         else:
-            noise_inline = tag not in BLOCKS and tag in NOISE_TAGS
-            if noise_inline and tag not in VOID:
-                flush()
             opened(tag, raw)
     held.append(html.unescape(page[at:]))
+    leave(1)
     flush()
     return blocks, styles
 
@@ -188,7 +202,7 @@ def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
             hosts, paths, kinds, values, holds = [], [], [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 blocks, styles = parse(page or "")
-                inner = {p for b in blocks if b.article and not b.noise for p in b.above}
+                inner = {p for b in blocks if not b.noise for p in b.above[: b.root or 1]}
                 found = {(p, 0, _hash(" ".join(children))) for p, children in styles.items()}
                 found |= {(p, 1, h) for b in blocks for h in (_hash(b.text),) for p in b.above}
                 for path, kind, value in found:
@@ -215,9 +229,9 @@ def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
 
 def low_branches(tree: DataFrame, *, threshold: float, min_pages: int, min_share: float) -> DataFrame:
     """(host, low): paths to remove per host; only nodes on ``min_pages`` pages and ``min_share`` of the most common
-    node's pages, so the list is short. A node that holds the article in most pages stays, and a host whose
+    node's pages, so the list is short. A node that leads to the article in most pages stays, and a host whose
     articles themselves repeat keeps all its branches."""
-    widest = tree.groupBy("host").agg(F.max("pages").alias("most"), F.max(F.when(F.col("holds"), F.col("importance"))).alias("article"))
+    widest = tree.groupBy("host").agg(F.max("pages").alias("most"), F.min(F.when(F.col("holds"), F.col("importance"))).alias("article"))
     nodes = tree.filter(~F.col("holds") & (F.col("importance") < threshold) & (F.col("pages") >= min_pages)).join(widest, "host")
     nodes = nodes.filter((F.col("pages") >= F.col("most") * min_share) & (F.coalesce("article", F.lit(1.0)) >= threshold))
     return nodes.groupBy("host").agg(F.collect_list("path").alias("low"))
