@@ -32,6 +32,6 @@ def rnd(expr: str, alias: str | None = None, digits: int = 6) -> str:
 
 
 def load() -> dict[str, tuple[Query, str | None]]:
-    from petrichor.catalog import events, meta, predictions, rasters, selection, series, statistics  # noqa: F401
+    from petrichor.catalog import events, meta, predictions, rasters, selection, series, statistics, storage  # noqa: F401
 
     return REGISTRY

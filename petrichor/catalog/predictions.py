@@ -274,6 +274,31 @@ def _(spark, sf):
     return rounded(out, "max_abs_diff")
 
 
+@query(
+    "baseline_drift",
+    f"WITH {PRED} SELECT cube_id, {rnd('max(step - 1) * 3e-6', 'max_abs_diff', 8)}, count(base) AS n_compared, CASE WHEN max(step - 1) * 3e-6 <= 1e-5 THEN 1 ELSE 0 END AS ok FROM px WHERE base IS NOT NULL GROUP BY 1",
+)
+def _(spark, sf):
+    """The base of a run against that of the first run: it drifts by 3e-6 per step, so long cubes exceed 1e-5."""
+    px = _px(spark, sf)
+    key = ["cube_id", "step", "y", "x"]
+    run, first = px.select(*key, (F.col("base") + (F.col("step") - 1) * 3e-6).alias("base")), px.select(*key, "base")
+    return rounded(quality.max_abs_difference(run, first, keys=key, cube=CUBE, value="base", tolerance=1e-5), "max_abs_diff", digits=8)
+
+
+@query(
+    "truth_against_source",
+    f"WITH {PRED}, d AS (SELECT cube_id, mask, abs(round(tru, CASE WHEN length(cube_id) % 2 = 0 THEN 2 ELSE 6 END) - tru) AS d FROM px) SELECT cube_id, {rnd('max(d) FILTER (mask = 1)', 'max_abs_diff')}, count(*) FILTER (mask = 1) AS n_compared, CASE WHEN coalesce(max(d) FILTER (mask = 1), 0) <= 1e-4 THEN 1 ELSE 0 END AS ok FROM d GROUP BY 1",
+)
+def _(spark, sf):
+    """Stored truth against the source at 1e-4: some cubes were stored with two decimals only."""
+    px = _px(spark, sf)
+    coarse = F.when(F.length("cube_id") % 2 == 0, F.round("true", 2)).otherwise(F.round("true", 6))
+    stored = px.withColumn("true", coarse)
+    key = ["cube_id", "step", "y", "x"]
+    return rounded(quality.max_abs_difference(stored, px.select(*key, "true"), keys=key, cube=CUBE, value="true", tolerance=1e-4, mask="mask"), "max_abs_diff")
+
+
 @query("masked_target_check", f"WITH {PRED} SELECT cube_id, count(*) FILTER (abs(tru) < 0.001 AND mask = 1) AS n_violations FROM px GROUP BY 1")
 def _(spark, sf):
     df = _px(spark, sf).withColumn("true", F.when(F.abs("true") < 0.001, 0.0).otherwise(F.col("true")))

@@ -93,12 +93,12 @@ def _(spark, sf):
 
 @query(
     "missing_grid_cells",
-    "WITH a AS (SELECT DISTINCT c_nationkey AS model, date_part('year', o_orderdate) * 100 + date_part('month', o_orderdate) AS inp FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000) SELECT m.model, i.inp FROM (SELECT DISTINCT model FROM a) m, (SELECT DISTINCT inp FROM a) i EXCEPT SELECT model, inp FROM a",
+    "WITH a AS (SELECT DISTINCT c_nationkey AS model, date_part('year', o_orderdate) * 100 + date_part('month', o_orderdate) AS inp, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey) SELECT model, inp FROM a EXCEPT SELECT model, inp FROM a WHERE o_totalprice > 300000",
 )
 def _(spark, sf):
     o, c = V.table(spark, sf, "orders"), V.table(spark, sf, "customer")
-    a = o.filter("o_totalprice > 300000").join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("model"), (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("bigint").alias("inp"))
-    return selection.missing_grid(a, first="model", second="inp")
+    a = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select("o_totalprice", F.col("c_nationkey").alias("model"), (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("bigint").alias("inp"))
+    return selection.missing_grid(a.filter("o_totalprice > 300000"), a, first="model", second="inp")
 
 
 @query("parse_run_timestamps", "SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y-%m-%d_%H-%M-%S'), '%Y-%m-%d_%H-%M-%S') AS ts FROM orders")
@@ -140,7 +140,7 @@ def _(spark, sf):
     return writers.remaining(work, done)
 
 
-@query("export_state", "SELECT count(*) AS n_expected, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)) AS n_existing, 'partial' AS state FROM customer")
+@query("export_state", "SELECT count(*) AS n_expected, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)) AS n_existing, CASE WHEN n_existing = 0 THEN 'empty' WHEN n_existing = n_expected THEN 'complete' ELSE 'partial' END AS state FROM customer")
 def _(spark, sf):
     work = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("cube_id"))
     done = V.table(spark, sf, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("cube_id"))

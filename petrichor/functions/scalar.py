@@ -90,11 +90,6 @@ def fold_all(conditions: list[Column], how: str = "and") -> Column:
     return reduce((lambda a, b: a & b) if how == "and" else (lambda a, b: a | b), conditions)
 
 
-def null_safe_eq(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition in which NULL keys match each other (grouped tables keep their NULL group)."""
-    return fold_all([left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def reasons(pairs: list[tuple[Column, str]]) -> Column:
     """';'-joined texts of the rules that fired, '' when none did."""
     return F.concat_ws(";", *[F.when(cond, text) for cond, text in pairs])

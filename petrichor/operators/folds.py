@@ -100,12 +100,6 @@ def balanced_group_folds(df: DataFrame, *, group: list[str], k: int) -> DataFram
     return tagged.join(ordered.mapInPandas(deal, "cv_group string, fold int"), "cv_group")
 
 
-def group_roles(assigned: DataFrame, *, k: int) -> DataFrame:
-    """(fold, row, subset) from one fold id per row: the own fold validates, the others train."""
-    out = assigned.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return out.withColumn("subset", F.when(F.col("_own") == F.col("fold"), "val").otherwise("train")).drop("_own")
-
-
 def _roles(df: DataFrame, chosen_space: DataFrame, chosen_time: DataFrame, *, space: str, time: str, by: list[str]) -> DataFrame:
     s = chosen_space.select(*by, space).distinct().withColumn("_s", F.lit(True))
     t = chosen_time.select(*by, time).distinct().withColumn("_t", F.lit(True))

@@ -147,7 +147,7 @@ def cube_metrics(
     out = agg.withColumns({"nse": nse("mse"), "nse_base": nse("mse_base")})
     out = out.withColumns({"nnse": _nnse(F.col("nse")), "nnse_base": _nnse(F.col("nse_base")), "nnse_eligible": flag(fine)})
     if on_empty == "raise":
-        error = F.raise_error(F.lit("Prediction cube has no finite, valid target pixels.")).cast("bigint")
+        error = F.raise_error(F.lit("a cube without any usable target value can't be scored")).cast("bigint")
         out = out.withColumn("n_valid_target_pixel_times", F.when(count > 0, count).otherwise(error))
     return out.drop("_cells", "_steps")
 
@@ -247,7 +247,7 @@ def validation_macro(audit: DataFrame, *, raise_if_empty: bool = False) -> DataF
         count_true(~eligible).alias("excluded_cubes"),
     )
     if raise_if_empty:
-        error = F.raise_error(F.lit("No cube is eligible for Macro R2/NNSE.")).cast("bigint")
+        error = F.raise_error(F.lit("macro scores need at least one eligible cube")).cast("bigint")
         out = out.withColumn("eligible_cubes", F.when(F.col("eligible_cubes") > 0, F.col("eligible_cubes")).otherwise(error))
     return out
 

@@ -13,30 +13,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from petrichor.functions.scalar import as_text, fold_all, hash_text, null_safe_eq
+from petrichor.functions.scalar import as_text, fold_all, hash_text
 
 ALL = "_all"
 
 
 def _join_keys(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hint: bool = False, keep: str | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", keep: str | None = None
 ) -> DataFrame:
     """Equi-join in which NULL keys match; the right key columns are dropped (``keep``: one right column)."""
     if keep:
         right = right.select(*keys, keep)
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = fold_all([F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    joined = left.join(F.broadcast(renamed) if hint else renamed, cond, how)
+    joined = left.join(renamed, cond, how)
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def ranked_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 100_000, hint: bool = False
+    df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 100_000
 ) -> DataFrame:
-    """Exact linear percentiles per group for groups of any size; columns keys + ``p0``, ``p1``, ...
-
-    ``hint`` broadcasts the per-group brackets; pass it only when the number of groups is bounded.
-    """
+    """Exact linear percentiles per group for groups of any size; columns keys + ``p0``, ``p1``, ..."""
     keys = keys or [ALL]
     if keys == [ALL]:
         df = df.withColumn(ALL, F.lit(0))
@@ -66,7 +63,7 @@ def ranked_percentiles(
         one = brackets.select(F.struct("_n", "_b").alias("_s")).scalar()
         tagged = rows.withColumns({"_n": one["_n"], "_b": one["_b"]})
     else:
-        tagged = _join_keys(rows, brackets, keys, hint=hint)
+        tagged = _join_keys(rows, brackets, keys)
     below = tagged.groupBy(*keys).agg(
         *[F.count_if(F.col("_v") < F.col("_b")[i]["low"]).alias(f"_below{i}") for i in range(len(probs))]
     ).select(*keys, F.posexplode(F.array(*[F.col(f"_below{i}") for i in range(len(probs))])).alias("_i", "_below"))
@@ -81,7 +78,7 @@ def ranked_percentiles(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     upto = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    stacked = _join_keys(inside.withColumn("_cum", F.sum("_c").over(upto)), below, keys + ["_i"], hint=hint)
+    stacked = _join_keys(inside.withColumn("_cum", F.sum("_c").over(upto)), below, keys + ["_i"])
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
     position = prob * (F.col("_n") - 1)
     reached = F.col("_below") + F.col("_cum")
@@ -101,7 +98,7 @@ def ranked_percentiles(
     return wide.drop(ALL)
 
 
-def _sorted_percentiles(df: DataFrame, keys: list[str], values: list[str], probs: list[float], extra: list[Column]) -> DataFrame:
+def sorted_percentiles(df: DataFrame, keys: list[str], values: list[str], probs: list[float], extra: list[Column]) -> DataFrame:
     """Percentiles of groups that fit a task: one shuffle on the keys.
 
     One value is ranked by a window (sorting spills and beats the percentile aggregate's per-group map about
@@ -138,30 +135,25 @@ def group_percentiles(
     probs: list[float],
     extra: list[Column] = (),
     hot_rows: int = 2_000_000,
-    probe: list[str] | None = None,
 ) -> DataFrame:
     """Exact percentiles per group: keys + ``<value>_p<i>`` (+ ``extra`` aggregates, any mergeable ones).
 
     Groups around or above ``hot_rows`` rows take the two-step ranking, all others one shuffle. Hot groups are
     found from a content-hashed thousandth of a hot group's rows: a pure function of the data, hence the same
-    on every re-execution, and both ways are exact, so the estimate only steers the work. Their number is at
-    most about rows / hot_rows, which bounds the broadcast key list; with none of them adaptive execution
-    drops the second branch. ``probe`` names the columns whose hash picks those rows (cheap ones that vary
-    inside a group, such as a time); only they and the keys are then read for it.
+    on every re-execution, and both ways are exact, so the estimate only steers the work.
     """
     rate = max(1, hot_rows // 1000)
-    content = F.xxhash64(*[F.col(c) for c in probe or df.columns])
+    content = F.xxhash64(*[F.col(c) for c in df.columns])
     picked = df.filter(F.pmod(content, F.lit(rate)) == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = picked.filter(F.col("_n") * rate > hot_rows).drop("_n")
-    # anti and semi join share one broadcast of the key list
-    cold_rows = _join_keys(df, hot, keys, "left_anti", hint=True)
-    cold = _sorted_percentiles(cold_rows, keys, values, probs, list(extra))
-    hot_rows_df = _join_keys(df, hot, keys, "left_semi", hint=True)
+    cold_rows = _join_keys(df, hot, keys, "left_anti")
+    cold = sorted_percentiles(cold_rows, keys, values, probs, list(extra))
+    hot_rows_df = _join_keys(df, hot, keys, "left_semi")
     melted = hot_rows_df.select(
         *keys,
         F.inline(F.array(*[F.struct(F.lit(v).alias("_k"), F.col(v).cast("double").alias("_x")) for v in values])),
     )
-    ranked = ranked_percentiles(melted, keys + ["_k"], "_x", probs, hint=True)
+    ranked = ranked_percentiles(melted, keys + ["_k"], "_x", probs)
     pivoted = ranked.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("_k") == v, F.col(f"p{i}"))).alias(f"{v}_p{i}")
@@ -171,7 +163,7 @@ def group_percentiles(
     )
     # a group whose values are all NULL has no ranked row but must stay
     whole = hot_rows_df.groupBy(*keys).agg(*extra) if extra else hot
-    pivoted = _join_keys(whole, pivoted, keys, "left", hint=True)
+    pivoted = _join_keys(whole, pivoted, keys, "left")
     return cold.unionByName(pivoted.select(*cold.columns))
 
 

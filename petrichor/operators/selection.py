@@ -88,12 +88,8 @@ def newest_runs(runs: DataFrame, *, signature: list[str], ts: str = "run_ts", ti
     return out.withColumn("status", F.when(F.col(tie) == F.col("_best"), "active").otherwise("superseded")).drop("_best")
 
 
-def missing_grid(available: DataFrame, *, first: str, second: str, expected: DataFrame | None = None) -> DataFrame:
-    """Expected (first x second) combinations that are not available. Without ``expected`` the grid is built
-    from the distinct levels (every level of one side paired with the array of the other's levels)."""
-    if expected is None:
-        levels = available.agg(F.collect_set(second).alias("_s"))
-        expected = available.select(first).distinct().withColumn(second, F.explode(levels.select("_s").scalar()))
+def missing_grid(available: DataFrame, expected: DataFrame, *, first: str, second: str) -> DataFrame:
+    """Expected (first, second) combinations that are not available."""
     return expected.select(first, second).distinct().join(available.select(first, second).distinct(), [first, second], "left_anti")
 
 

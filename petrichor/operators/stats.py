@@ -24,7 +24,10 @@ def percentile_interval(df: DataFrame, *, keys: list[str], value: str, level: fl
     """(keys, ci_low, ci_high) over finite values; keys without one get NULLs."""
     tail = (1.0 - level) / 2.0
     finite = df.withColumn(value, null_if_nan(F.col(value)))
-    q = group_percentiles(finite, keys, [value], [tail, 1.0 - tail]) if keys else ranked_percentiles(finite, [], value, [tail, 1.0 - tail]).withColumnsRenamed({"p0": f"{value}_p0", "p1": f"{value}_p1"})
+    if not keys:  # one row in any case
+        q = ranked_percentiles(finite, [], value, [tail, 1.0 - tail])
+        return df.sparkSession.range(1).select(q.select("p0").scalar().alias("ci_low"), q.select("p1").scalar().alias("ci_high"))
+    q = group_percentiles(finite, keys, [value], [tail, 1.0 - tail])
     return q.withColumnsRenamed({f"{value}_p0": "ci_low", f"{value}_p1": "ci_high"})
 
 

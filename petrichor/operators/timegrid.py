@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions.scalar import BIN_DAYS, bin_end, flag
-from petrichor.operators.order_stats import group_percentiles
+from petrichor.operators.order_stats import _join_keys, sorted_percentiles
 
 
 # ---- resampling ------------------------------------------------------------------------------------
@@ -19,7 +19,6 @@ def resample_median(
     origin: Column,
     mask: str | None = None,
     days: int = BIN_DAYS,
-    hot_rows: int = 2_000_000,
 ) -> DataFrame:
     """Median per pixel and right-labelled bin of the values whose mask is 1; ``n`` counts all rows.
 
@@ -27,11 +26,10 @@ def resample_median(
     """
     cols = {v: (F.when(F.col(mask) == 1, F.col(v)) if mask else F.col(v)) for v in values}
     rows = df.select(
-        *cube, *pixel, bin_end(F.col(time), origin, days).alias("bin"), F.col(time).alias("_t"), *[c.cast("double").alias(v) for v, c in cols.items()]
-    )
-    out = group_percentiles(
-        rows, [*cube, *pixel, "bin"], values, [0.5], [F.count(F.lit(1)).alias("n")], hot_rows=hot_rows, probe=[*pixel, "_t"]
+        *cube, *pixel, bin_end(F.col(time), origin, days).alias("bin"), *[c.cast("double").alias(v) for v, c in cols.items()]
     )
+    # a pixel's bin holds a handful of acquisitions: one shuffle, no search for hot groups
+    out = sorted_percentiles(rows, [*cube, *pixel, "bin"], values, [0.5], [F.count(F.lit(1)).alias("n")])
     return out.withColumnsRenamed({f"{v}_p0": v for v in values})
 
 
@@ -61,7 +59,7 @@ def densify(
         span = df.groupBy(*cube).agg(F.min(bin_col).alias("first_bin"), F.max(bin_col).alias("last_bin"))
     order = Window.partitionBy(*cube, *pixel).orderBy(bin_col)
     step = F.make_dt_interval(days=F.lit(days))
-    rows = df.join(span, cube).withColumns({"_next": F.lead(bin_col).over(order), "_prev": F.lag(bin_col).over(order)})
+    rows = _join_keys(df, span, cube).withColumns({"_next": F.lead(bin_col).over(order), "_prev": F.lag(bin_col).over(order)})
     start = F.when(F.col("_prev").isNull(), F.col("first_bin")).otherwise(F.col(bin_col))
     stop = F.coalesce(F.date_sub("_next", days), F.col("last_bin"))
     rows = rows.withColumn("_bin", F.explode(F.sequence(start, stop, step)))
@@ -85,7 +83,7 @@ def merge_static(df: DataFrame, static: DataFrame, pixel: list[str]) -> DataFram
 def trim_to_first_valid(df: DataFrame, *, cube: list[str], time: str, mask: str) -> DataFrame:
     """Drop the leading steps of a cube before its first step with a valid pixel; none valid: unchanged."""
     first = df.groupBy(*cube).agg(F.min(F.when(F.col(mask) == 1, F.col(time))).alias("_first"))
-    return df.join(first, cube).filter(F.col("_first").isNull() | (F.col(time) >= F.col("_first"))).drop("_first")
+    return _join_keys(df, first, cube).filter(F.col("_first").isNull() | (F.col(time) >= F.col("_first"))).drop("_first")
 
 
 def context_target_steps(
@@ -190,9 +188,6 @@ def interpolate_context(
     return tagged.withColumns(filled).drop(*drop)
 
 
-def series_variables(columns: list[str]) -> list[str]:
-    """Default variables to interpolate: everything on the time axis but counts, deviations and masks."""
-    return [c for c in columns if not any(part in c for part in ("_count", "std", "_mask"))]
 
 
 def head_tail(df: DataFrame, *, cube: list[str], time: str, n: int, tail: bool = False) -> DataFrame:

@@ -20,13 +20,24 @@ def read_table(spark: SparkSession, root: str, ddl: str, *, columns: list[str] |
     return nan_to_null(df.select(*columns) if columns else df)
 
 
+def _plain(path):
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_cubes(spark: SparkSession, roots: list[str], ddl: str) -> tuple[DataFrame, list[str]]:
-    """Union of cube folders; a folder that does not exist is reported and skipped."""
-    found = [r for r in roots if _exists(spark, r)]
-    if not found:
+    """Union of cube folders; a folder without files is reported and skipped. One listing serves all of them."""
+    base = _common_root(roots)
+    wanted = spark.createDataFrame([(r.rstrip("/"),) for r in roots], "root string").withColumn("key", _plain(F.col("root")))
+    found: set[str] = set()
+    if _exists(spark, base):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(base)
+        folders = files.select(_plain(F.regexp_extract("path", "^(.*)/[^/]+$", 1)).alias("key")).distinct()
+        found = {r.root for r in wanted.join(folders, "key", "left_semi").select("root").collect()}  # of the folders asked for
+    there = [r for r in roots if r.rstrip("/") in found]
+    if not there:
         raise FileNotFoundError(f"none of {len(roots)} cube folders exists")
-    df = spark.read.option("basePath", _common_root(found)).schema(S.struct(ddl)).parquet(*found)
-    return nan_to_null(df), [r for r in roots if r not in found]
+    df = spark.read.option("basePath", base).schema(S.struct(ddl)).parquet(*there)
+    return nan_to_null(df), [r for r in roots if r not in there]
 
 
 def _common_root(paths: list[str]) -> str:
@@ -87,14 +98,20 @@ def parse_path_list(lines: DataFrame, *, text: str = "value", suffix: str = ".za
 
 # ---- predictions -----------------------------------------------------------------------------------
 def load_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Union of manifest CSVs with their path; missing required columns are an error."""
+    """Union of manifest CSVs with their path; missing required columns are an error.
+
+    The files are read together with those of the same header, so the plan has a branch per kind of header.
+    """
+    head = F.rtrim(F.substring_index("value", "\n", 1), F.lit("\r"))
+    kinds: dict[str, list[str]] = {}
+    for r in spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), head.alias("head")).collect():  # a line per file
+        kinds.setdefault(r["head"], []).append(r["path"])
     out = None
-    for p in paths:  # a handful of small files whose columns may differ
-        df = spark.read.option("header", True).csv(p)
-        missing = [c for c in S.MANIFEST_REQUIRED if c not in df.columns]
-        if missing:
-            raise ValueError(f"{p}: missing columns {missing}")
-        df = df.withColumn("manifest_path", F.lit(p))
+    for files in kinds.values():
+        df = spark.read.option("header", True).csv(files)
+        if missing := [c for c in S.MANIFEST_REQUIRED if c not in df.columns]:
+            raise ValueError(f"{files[0]}: missing columns {missing}")
+        df = df.withColumn("manifest_path", _plain(F.col("_metadata.file_path")))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 

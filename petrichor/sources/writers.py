@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from petrichor.sources.readers import _exists
 
 
-def write_cubes(df: DataFrame, root: str, *, chunk: int = 250, time: str = "t", files_per_cube: int = 16, overwrite_cubes_only: bool = False) -> None:
+def write_cubes(df: DataFrame, root: str, *, chunk: int = 250, time: str = "t", files_per_cube: int = 16, rows_per_file: int = 10_000_000, overwrite_cubes_only: bool = False) -> None:
     """Partitioned by split and cube, clustered by (time, spatial chunk) for row-group pruning.
 
-    A cube is spread over ``files_per_cube`` tasks by its chunk, so that one large cube is not one task.
+    A cube is spread over ``files_per_cube`` tasks by its chunk, so that one large cube is not one task; a task
+    starts a new file after ``rows_per_file`` rows.
     """
     ty, tx = F.floor(F.col("y") / chunk), F.floor(F.col("x") / chunk)
     spread = F.pmod(F.hash(ty, tx, F.col(time)), F.lit(files_per_cube))
     out = df.repartition("split", "cube_id", spread).sortWithinPartitions("split", "cube_id", time, ty, tx)
-    writer = out.write.mode("overwrite").partitionBy("split", "cube_id").option("compression", "zstd")
+    writer = out.write.mode("overwrite").partitionBy("split", "cube_id").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
     if overwrite_cubes_only:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(root)
@@ -50,7 +51,7 @@ def manifest_table(rows: DataFrame) -> DataFrame:
     key = ["configuration", "stage", "cube_id"]
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     out = rows.join(counts, key)
-    checked = F.when(F.col("_n") == 1, F.col("cube_id")).otherwise(F.raise_error(F.concat(F.lit("duplicate prediction rows: "), F.col("cube_id").cast("string"))))
+    checked = F.when(F.col("_n") == 1, F.col("cube_id")).otherwise(F.raise_error(F.concat(F.lit("several manifest rows for one cube: "), F.col("cube_id").cast("string"))))
     out = out.withColumn("cube_id", checked).drop("_n")
     return out.orderBy("configuration", "stage", F.col("fold").asc_nulls_last(), "cube_id")
 
@@ -72,12 +73,25 @@ def export_state(expected: DataFrame, existing: DataFrame, *, cube: str = "cube_
     return out.withColumn("state", state)
 
 
-def export_if_needed(work: DataFrame, existing: DataFrame, run: Callable[[DataFrame], None], *, overwrite: bool = False, cube: str = "cube_id") -> str:
-    """Reuse a complete export, refuse a partial one unless ``overwrite``, else run the export."""
-    state = export_state(work, existing, cube=cube).first()["state"]  # a one-row decision of the job driver
+def export_if_needed(
+    work: DataFrame, existing: Callable[[], DataFrame], run: Callable[[DataFrame], None], *, overwrite: bool = False, cube: str = "cube_id"
+) -> str:
+    """Reuse a complete export, refuse a partial one unless ``overwrite``, else run the export.
+
+    ``existing`` reads what is stored; after a run it must hold every cube of the work list.
+    """
+    state = export_state(work, existing(), cube=cube).first()["state"]  # a one-row decision of the job driver
     if state == "complete" and not overwrite:
         return "reused"
     if state == "partial" and not overwrite:
         raise FileExistsError("partial export found; pass overwrite=True after checking it")
     run(work)
+    after = export_state(work, existing(), cube=cube).first()
+    if after["state"] != "complete":
+        raise RuntimeError(f"the export holds {after['n_existing']} of {after['n_expected']} cubes")
     return "exported"
+
+
+def write_export_document(work: DataFrame, existing: DataFrame, path: str, *, cube: str = "cube_id", **facts: str) -> None:
+    """One JSON line about an export: its state, counts and given facts."""
+    export_state(work, existing, cube=cube).withColumns({k: F.lit(v) for k, v in facts.items()}).write.mode("overwrite").json(path)

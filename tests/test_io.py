@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from petrichor import schema as S
 from petrichor.operators import scoring
-from petrichor.session import cut_lineage
 from petrichor.sources import readers, writers
 
 
@@ -63,7 +62,7 @@ def test_manifests(spark, tmp_path):
     assert m.count() == 3 and m.select("manifest_path").distinct().count() == 2
     tensors = spark.createDataFrame([("k", "oof", "c1")], "configuration string, stage string, cube_id string")
     assert sorted(tuple(r) for r in readers.manifest_problems(m, tensors).collect()) == [("k", "oof", "c1", "duplicate"), ("k", "oof", "c2", "missing_tensor")]
-    with pytest.raises(PySparkException, match="duplicate prediction rows"):
+    with pytest.raises(PySparkException, match="several manifest rows"):
         writers.manifest_table(m).collect()
     (tmp_path / "c.csv").write_text("configuration,stage\nk,oof\n")
     with pytest.raises(ValueError, match="missing columns"):
@@ -87,9 +86,14 @@ def test_prediction_sink_and_resume(spark, tmp_path):
     assert [r.cube_id for r in writers.remaining(work, back).collect()] == ["c3"]
     ran = []
     with pytest.raises(FileExistsError):
-        writers.export_if_needed(work, back, ran.append)
-    assert writers.export_if_needed(work.filter("cube_id <> 'c3'"), back, ran.append) == "reused" and not ran
-    assert writers.export_if_needed(work, back, ran.append, overwrite=True) == "exported" and len(ran) == 1
+        writers.export_if_needed(work, lambda: back, ran.append)
+    assert writers.export_if_needed(work.filter("cube_id <> 'c3'"), lambda: back, ran.append) == "reused" and not ran
+    with pytest.raises(RuntimeError, match="2 of 3 cubes"):
+        writers.export_if_needed(work, lambda: back, ran.append, overwrite=True)
+    stored = lambda: back if len(ran) < 2 else work  # noqa: E731  what the second run leaves
+    assert writers.export_if_needed(work, stored, ran.append, overwrite=True) == "exported" and len(ran) == 2
+    writers.write_export_document(work, back, str(tmp_path / "doc"), stage="oof")
+    assert spark.read.json(str(tmp_path / "doc")).first().asDict() == {"n_expected": 3, "n_existing": 2, "state": "partial", "stage": "oof"}
 
 
 def test_stats_cache(spark, tmp_path):
@@ -118,11 +122,6 @@ def test_score_tiles_uses_batches(spark):
     assert all(r.pred == r.v * 2 for r in out)
 
 
-def test_checkpoint_cuts_lineage(spark):
-    df = cut_lineage(spark.range(5).withColumn("a", F.col("id") + 1))
-    assert df.count() == 5 and "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
-
-
 def test_results(spark, tmp_path):
     df = spark.range(3)
     writers.write_result(df, str(tmp_path / "r.csv"))
