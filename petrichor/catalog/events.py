@@ -21,10 +21,12 @@ def _(spark, sf):
 
 @query(
     "quality_mask_check",
-    f"WITH {EVM} SELECT cube, CAST(sum(mask_basic) AS BIGINT) AS n_basic, CAST(sum(mask_strict) AS BIGINT) AS n_strict, CAST(0 AS BIGINT) AS n_not_binary, CASE WHEN sum(mask_strict) > sum(mask_basic) THEN 1 ELSE 0 END AS violated FROM evm GROUP BY 1",
+    f"WITH {EVM}, b AS (SELECT cube, CASE WHEN cube = 'view' AND id % 97 = 0 THEN 2 ELSE mask_basic END AS b, mask_strict AS s FROM evm) SELECT cube, CAST(sum(b) AS BIGINT) AS n_basic, CAST(sum(s) AS BIGINT) AS n_strict, count(*) FILTER (b NOT IN (0, 1) OR s NOT IN (0, 1)) AS n_not_binary, CASE WHEN sum(s) > sum(b) OR count(*) FILTER (b NOT IN (0, 1) OR s NOT IN (0, 1)) > 0 THEN 1 ELSE 0 END AS violated FROM b GROUP BY 1",
 )
 def _(spark, sf):
-    return masks.quality_mask_check(V.event_masked(spark, sf), CUBE)
+    """One cube has wrong mask values."""
+    wrong = (F.col("cube") == "view") & (F.col("id") % 97 == 0)
+    return masks.quality_mask_check(V.event_masked(spark, sf).withColumn("mask_basic", F.when(wrong, 2).otherwise(F.col("mask_basic"))), CUBE)
 
 
 @query("apply_strict_mask", f"WITH {EVM} SELECT id, {rnd('CAST(CASE WHEN mask_strict = 1 THEN v END AS FLOAT)', 'v', 3)} FROM evm")
@@ -34,10 +36,13 @@ def _(spark, sf):
 
 @query(
     "masking_check",
-    f"WITH {EVM} SELECT cube, count(*) FILTER (mask_strict <> 1) AS n_null, count(*) FILTER (mask_strict <> 1) AS n_masked, 1 AS ok FROM evm GROUP BY 1",
+    f"WITH {EVM}, m AS (SELECT cube, mask_strict, CASE WHEN cube = 'click' AND id % 5 = 0 THEN 1 WHEN mask_strict = 1 THEN v END AS v FROM evm), c AS (SELECT cube, count(*) - count(v) AS n_null, count(*) - count(*) FILTER (mask_strict = 1) AS n_masked FROM m GROUP BY 1) SELECT *, CASE WHEN n_null < n_masked THEN 0 ELSE 1 END AS ok FROM c",
 )
 def _(spark, sf):
-    return masks.masking_check(masks.apply_mask(V.event_masked(spark, sf), ["v"], "mask_strict"), CUBE, "v", "mask_strict")
+    """One cube has values that should be masked."""
+    masked = masks.apply_mask(V.event_masked(spark, sf), ["v"], "mask_strict")
+    masked = masked.withColumn("v", F.when((F.col("cube") == "click") & (F.col("id") % 5 == 0), 1.0).otherwise(F.col("v")))
+    return masks.masking_check(masked, CUBE, "v", "mask_strict")
 
 
 @query("coerce_types", f"WITH {EVM} SELECT id, CAST(scl AS SMALLINT) AS scl, CAST(v AS FLOAT) AS v FROM evm")
@@ -109,10 +114,13 @@ def _(spark, sf):
 
 @query(
     "final_mask_check",
-    f"WITH {EVG} SELECT cube, count(*) FILTER (v IS NULL) AS s2_nulls, count(*) FILTER (v IS NULL) AS s2_zeros, count(*) FILTER (n IS NULL) AS s1_nulls, count(*) FILTER (n IS NULL) AS s1_zeros, 1 AS ok FROM evg GROUP BY 1",
+    f"WITH {EVG}, m AS (SELECT cube, v, n, CASE WHEN cube = 'click' AND px % 10 = 0 OR v IS NOT NULL THEN 1 ELSE 0 END AS m2, CASE WHEN n IS NOT NULL THEN 1 ELSE 0 END AS m1 FROM evg), c AS (SELECT cube, count(*) - count(v) AS s2_nulls, count(*) - CAST(sum(m2) AS BIGINT) AS s2_zeros, count(*) - count(n) AS s1_nulls, count(*) - CAST(sum(m1) AS BIGINT) AS s1_zeros FROM m GROUP BY 1) SELECT *, CASE WHEN s2_nulls <> s2_zeros OR s1_nulls <> s1_zeros THEN 0 ELSE 1 END AS ok FROM c",
 )
 def _(spark, sf):
-    return masks.final_mask_check(masks.final_masks(V.event_grid(spark, sf), "v", ("n",)), CUBE, "v", ("n",))
+    """One cube has mask bits on missing data."""
+    ready = masks.final_masks(V.event_grid(spark, sf), "v", ("n",))
+    ready = ready.withColumn("mask_s2", F.when((F.col("cube") == "click") & (F.col("px") % 10 == 0), 1).otherwise(F.col("mask_s2")))
+    return masks.final_mask_check(ready, CUBE, "v", ("n",))
 
 
 @query(

@@ -262,17 +262,22 @@ def _(spark, sf):
     return folds.shared_groups(_membership(spark, sf), group="climate")
 
 
-@query("validation_overlap_check", f"WITH {_MEM} SELECT location, count(DISTINCT fold) AS n_folds FROM mem WHERE subset = 'val' GROUP BY 1 HAVING count(DISTINCT fold) > 1")
+@query("validation_overlap_check", f"WITH {_MEM} SELECT location, count(DISTINCT fold) AS n_folds FROM (SELECT location, fold FROM mem WHERE subset = 'val' UNION ALL SELECT location, (fold + 1) % 4 FROM mem WHERE subset = 'val' AND location LIKE '%I%') GROUP BY 1 HAVING count(DISTINCT fold) > 1")
 def _(spark, sf):
-    return folds.validation_overlaps(_membership(spark, sf), cube="location")
+    """Locations with an I validate in a second fold."""
+    mem = _membership(spark, sf)
+    again = mem.filter("subset = 'val' AND location LIKE '%I%'").withColumn("fold", ((F.col("fold") + 1) % 4).cast("int"))
+    return folds.validation_overlaps(mem.unionByName(again), cube="location")
 
 
 @query(
     "split_membership_check",
-    f"WITH {_MEM}, d AS (SELECT DISTINCT cube, climate, fold, subset FROM mem WHERE subset <> 'excluded'), md AS (SELECT cube, climate FROM meta WHERE c_acctbal > -900), j AS (SELECT d.fold, d.subset, d.cube, md.climate, md.cube AS k FROM d LEFT JOIN md USING (cube)), c AS (SELECT fold, count(DISTINCT cube) FILTER (k IS NULL) AS n_missing FROM j GROUP BY 1), s AS (SELECT fold, count(*) FILTER (n > 1) AS n_shared_classes FROM (SELECT fold, climate, count(DISTINCT subset) AS n FROM j GROUP BY 1, 2) GROUP BY 1) SELECT fold, CAST(0 AS BIGINT) AS n_overlap, n_missing, n_shared_classes, concat_ws(';', CASE WHEN n_missing > 0 THEN 'missing_metadata' END, CASE WHEN n_shared_classes > 0 THEN 'climate_class_on_both_sides' END) AS problem FROM c JOIN s USING (fold)",
+    f"WITH {_MEM}, d AS (SELECT DISTINCT cube, climate, fold, subset FROM mem WHERE subset <> 'excluded' UNION SELECT cube, climate, fold, 'train' FROM mem WHERE subset = 'val' AND fold = 1 AND cube % 10 = 3), md AS (SELECT cube, climate FROM meta WHERE c_acctbal > -900), j AS (SELECT d.fold, d.subset, d.cube, md.climate, md.cube AS k FROM d LEFT JOIN md USING (cube)), c AS (SELECT fold, count(*) FILTER (missing) AS n_missing, count(*) FILTER (sides > 1) AS n_overlap FROM (SELECT fold, cube, count(DISTINCT subset) AS sides, bool_and(k IS NULL) AS missing FROM j GROUP BY 1, 2) GROUP BY 1), s AS (SELECT fold, count(*) FILTER (n > 1) AS n_shared_classes FROM (SELECT fold, climate, count(DISTINCT subset) AS n FROM j GROUP BY 1, 2) GROUP BY 1) SELECT fold, n_overlap, n_missing, n_shared_classes, concat_ws(';', CASE WHEN n_missing > 0 THEN 'missing_metadata' END, CASE WHEN n_overlap > 0 THEN 'train_val_overlap' END, CASE WHEN n_shared_classes > 0 THEN 'climate_class_on_both_sides' END) AS problem FROM c JOIN s USING (fold)",
 )
 def _(spark, sf):
-    files = _membership(spark, sf).filter("subset <> 'excluded'").select("fold", "subset", "cube")
+    mem = _membership(spark, sf)
+    twice = mem.filter("subset = 'val' AND fold = 1 AND cube % 10 = 3").withColumn("subset", F.lit("train"))  # on both sides
+    files = mem.filter("subset <> 'excluded'").unionByName(twice).select("fold", "subset", "cube")
     known = V.cube_meta(spark, sf).filter("c_acctbal > -900").select("cube", "climate")
     return folds.split_membership(files, known, cube="cube", climate="climate")[1]
 
@@ -318,9 +323,11 @@ def _(spark, sf):
     return _chunked(spark, sf).select("cube", "fold", "subset")
 
 
-@query("strict_fold_check", f"WITH {_CHUNK} SELECT fold, count(*) FILTER (subset = 'train') AS n_train, count(*) FILTER (subset = 'val') AS n_val, count(*) FILTER (subset = 'excluded') AS n_excluded, CAST(0 AS BIGINT) AS shared_location, CAST(0 AS BIGINT) AS shared_season, CASE WHEN count(*) FILTER (subset = 'val') > 0 THEN 1 ELSE 0 END AS found FROM mem GROUP BY 1")
+@query("strict_fold_check", f"WITH {_CHUNK}, w AS (SELECT * REPLACE (CASE WHEN fold = 1 AND subset = 'excluded' AND cube % 7 = 0 THEN 'train' ELSE subset END AS subset) FROM mem), sl AS (SELECT fold, count(*) AS n FROM (SELECT fold, location FROM w WHERE subset <> 'excluded' GROUP BY 1, 2 HAVING count(DISTINCT subset) > 1) GROUP BY 1), ss AS (SELECT fold, count(*) AS n FROM (SELECT fold, season FROM w WHERE subset <> 'excluded' GROUP BY 1, 2 HAVING count(DISTINCT subset) > 1) GROUP BY 1) SELECT fold, count(*) FILTER (subset = 'train') AS n_train, count(*) FILTER (subset = 'val') AS n_val, count(*) FILTER (subset = 'excluded') AS n_excluded, coalesce((SELECT n FROM sl WHERE sl.fold = w.fold), 0) AS shared_location, coalesce((SELECT n FROM ss WHERE ss.fold = w.fold), 0) AS shared_season, CASE WHEN count(*) FILTER (subset = 'val') > 0 THEN 1 ELSE 0 END AS found FROM w GROUP BY 1")
 def _(spark, sf):
-    return folds.strict_fold_check(_chunked(spark, sf), k=3, space="location", time="season")
+    """In fold 1 some excluded cubes train all the same."""
+    leak = (F.col("fold") == 1) & (F.col("subset") == "excluded") & (F.col("cube") % 7 == 0)
+    return folds.strict_fold_check(_chunked(spark, sf).withColumn("subset", F.when(leak, "train").otherwise(F.col("subset"))), k=3, space="location", time="season")
 
 
 @query(

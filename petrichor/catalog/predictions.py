@@ -307,10 +307,16 @@ def _(spark, sf):
 
 @query(
     "prediction_tensor_check",
-    f"WITH {PRED}, p AS (SELECT cube_id, y, x, count(*) AS t, count(base) AS k, max(base)-min(base) AS d FROM px GROUP BY 1, 2, 3), s AS (SELECT cube_id, count(DISTINCT step) AS n_steps FROM px GROUP BY 1) SELECT cube_id, CAST(sum(t) AS BIGINT) AS n_rows, count(*) FILTER (d > 1e-6 OR (k > 0 AND k < t)) AS n_base_varies, max(n_steps) AS n_steps, 64*max(n_steps) AS n_expected, '' AS problem, 1 AS ok FROM p JOIN s USING (cube_id) GROUP BY 1",
+    f"""WITH {PRED}, w AS (SELECT cube_id, step, y, x, CASE WHEN cube_id LIKE '1%' AND x = 3 THEN base + step ELSE base END AS base FROM px WHERE NOT (cube_id LIKE '%1' AND step = 2 AND y = 5)),
+ p AS (SELECT cube_id, y, x, count(*) AS t, count(base) AS k, max(base)-min(base) AS d FROM w GROUP BY 1, 2, 3), s AS (SELECT cube_id, count(DISTINCT step) AS n_steps FROM w GROUP BY 1),
+ c AS (SELECT cube_id, CAST(sum(t) AS BIGINT) AS n_rows, count(*) FILTER (d > 1e-6 OR (k > 0 AND k < t)) AS n_base_varies, max(n_steps) AS n_steps, 64*max(n_steps) AS n_expected FROM p JOIN s USING (cube_id) GROUP BY 1)
+ SELECT *, concat_ws(';', CASE WHEN n_rows <> n_expected THEN 'grid_incomplete' END, CASE WHEN n_base_varies > 0 THEN 'base_not_constant' END) AS problem, CASE WHEN n_rows = n_expected AND n_base_varies = 0 THEN 1 ELSE 0 END AS ok FROM c""",
 )
 def _(spark, sf):
-    return readers.prediction_check(_px(spark, sf), cube=CUBE)
+    """Some cubes lack rows, some have a base that changes over time."""
+    px = _px(spark, sf).filter("NOT (cube_id LIKE '%1' AND step = 2 AND y = 5)")
+    px = px.withColumn("base", F.when(F.col("cube_id").like("1%") & (F.col("x") == 3), F.col("base") + F.col("step")).otherwise(F.col("base")))
+    return readers.prediction_check(px, cube=CUBE)
 
 
 @query(

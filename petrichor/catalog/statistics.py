@@ -101,7 +101,7 @@ _CV = ["fold_macro_nnse", "mae", "mse_skill", "persistence_win_rate", "bias"]
 _CVT = "cv AS (SELECT *, nnse AS fold_macro_nnse, persistence_beaten AS persistence_win_rate FROM ct)"
 
 
-@query("cv_summary", f"WITH {CT}, {_CVT}, {_boot_sql('cv', ['configuration'], ['fold'], 'cube_id', _CV)} SELECT configuration, metric, n_cubes, CAST(3 AS BIGINT) AS n_folds, {OUT} FROM b_out")
+@query("cv_summary", f"WITH {CT}, {_CVT}, {_boot_sql('cv', ['configuration'], ['fold'], 'cube_id', _CV)} SELECT configuration, metric, n_cubes, (SELECT count(DISTINCT fold) FROM ct WHERE ct.configuration = b_out.configuration) AS n_folds, {OUT} FROM b_out")
 def _(spark, sf):
     return rounded(stats.cv_summary(_ct(spark, sf), n_boot=B, seed=SEED), *CI, digits=5)
 
