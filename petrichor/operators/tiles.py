@@ -100,18 +100,27 @@ def patch_candidates(cubes: DataFrame, *, cube: list[str], height: int, width: i
     )
 
 
+def _inside_candidates(pixels: DataFrame, candidates: DataFrame, *, cube: list[str], patch: int, y: str, x: str) -> DataFrame:
+    """Pixels with attempt, top, left of every candidate patch they lie in.
+
+    The candidates of a cube travel as one array, which is filtered before it is unfolded: a pixel outside all
+    patches makes no row, and a large cube is split like any skewed side of a join.
+    """
+    arrays = candidates.groupBy(*cube).agg(F.collect_list(F.struct("attempt", "top", "left")).alias("_c"))
+    covers = lambda c: (F.col(y) >= c["top"]) & (F.col(y) < c["top"] + patch) & (F.col(x) >= c["left"]) & (F.col(x) < c["left"] + patch)
+    return pixels.join(arrays, cube).select(*[c for c in pixels.columns if c not in ("attempt", "top", "left")], F.inline(F.filter("_c", covers)))
+
+
 def score_patches(
     pixels: DataFrame, candidates: DataFrame, *, cube: list[str], patch: int, context_ratio: float, target_ratio: float,
     min_context: int, min_target: int, y: str = "y", x: str = "x",
 ) -> DataFrame:
     """Score every candidate. ``pixels``: part ('context'/'target'), step, mask (sensor mask x vegetation).
 
-    A cube has a handful of candidates, so joining on the cube and keeping the pixels inside a patch
-    copies a pixel at most once per candidate; counts are combined before the shuffle.
+    Counts are combined before the shuffle; a candidate without pixels has zero counts.
     """
-    inside = (F.col(y) >= F.col("top")) & (F.col(y) < F.col("top") + patch) & (F.col(x) >= F.col("left")) & (F.col(x) < F.col("left") + patch)
     key = [*cube, "attempt", "top", "left"]
-    hits = pixels.join(candidates, cube).filter(inside)
+    hits = _inside_candidates(pixels, candidates, cube=cube, patch=patch, y=y, x=x)
     steps = hits.groupBy(*key, "part", "step").agg(F.avg("mask").alias("_share"), F.sum("mask").alias("_valid"))
     ctx, tgt = F.col("part") == "context", F.col("part") == "target"
     per = steps.groupBy(*key).agg(
@@ -119,6 +128,8 @@ def score_patches(
         F.count_if(tgt & (F.col("_share") >= target_ratio)).alias("n_good_target"),
         F.coalesce(F.sum(F.when(tgt, F.col("_valid"))), F.lit(0)).cast("bigint").alias("target_valid"),
     )
+    counts = ["n_good_context", "n_good_target", "target_valid"]
+    per = candidates.select(*key).distinct().join(per, key, "left").fillna(0, counts)
     return per.withColumns(
         {
             "score": F.col("n_good_context") * 1.0 + F.col("n_good_target") * 5.0,
@@ -143,8 +154,8 @@ def choose_patch(scored: DataFrame, *, cube: list[str]) -> DataFrame:
 
 def random_vegetation_patches(candidates: DataFrame, veg_pixels: DataFrame, *, cube: list[str], patch: int, min_share: float = 0.7, n: int = 20, y: str = "y", x: str = "x", veg: str = "is_veg") -> DataFrame:
     """First ``n`` attempts per cube whose vegetation share reaches ``min_share``."""
-    inside = (F.col(y) >= F.col("top")) & (F.col(y) < F.col("top") + patch) & (F.col(x) >= F.col("left")) & (F.col(x) < F.col("left") + patch)
-    share = veg_pixels.join(candidates, cube).filter(inside).groupBy(*cube, "attempt", "top", "left").agg(F.avg(veg).alias("veg_share"))
+    hits = _inside_candidates(veg_pixels, candidates, cube=cube, patch=patch, y=y, x=x)
+    share = hits.groupBy(*cube, "attempt", "top", "left").agg(F.avg(veg).alias("veg_share"))
     order = F.row_number().over(Window.partitionBy(*cube).orderBy("attempt"))
     return share.filter(F.col("veg_share") >= min_share).withColumn("_o", order).filter(F.col("_o") <= n).drop("_o")
 
