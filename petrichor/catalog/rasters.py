@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from petrichor.catalog import query, rnd, rounded
 from petrichor.catalog.sql import BANDS, CLEAN, IMG, INDEX, hash32
 from petrichor.functions import indices
-from petrichor.operators import masks, metrics, quality, radar, tiles
+from petrichor.operators import masks, metrics, quality, radar, scoring, tiles
 from petrichor.plans import views as V
 
 PIX = ["cube", "y", "x"]
@@ -216,6 +216,28 @@ def _(spark, sf):
     return rounded(out.select("cube", "t", "tile_seq", "row", "col", "v"), "v")
 
 
+def _box_mean(tile):
+    """Mean of the known values in the 3 x 3 box around every pixel of the tile's first channel."""
+    import numpy as np
+
+    padded = np.pad(tile[:, :, 0], 1, constant_values=np.nan)
+    stack = np.stack([padded[i : i + tile.shape[0], j : j + tile.shape[1]] for i in range(3) for j in range(3)])
+    known = (~np.isnan(stack)).sum(axis=0)
+    return np.where(known > 0, np.nansum(stack, axis=0) / np.maximum(known, 1), np.nan)
+
+
+@query(
+    "score_whole_tiles",
+    f'WITH {IMG}, {_CUT}, s AS (SELECT a.cube, a.t, a.tile_seq, a.y, a.x, avg(b.v) AS p FROM cut a JOIN cut b ON a.cube = b.cube AND a.t = b.t AND a.tile_seq = b.tile_seq AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL) SELECT cube, t, y, x, {rnd("avg(p)", "pred")}, count(*) AS coverage FROM s GROUP BY ALL',
+)
+def _(spark, sf):
+    """A 3 x 3 mean as the model of a tile; overlapping tiles are averaged."""
+    cut = _cut(V.image_pixels(spark, sf)).drop("y", "x")
+    scored = scoring.score_whole_tiles(cut, _box_mean, tile=["cube", "t", "tile_seq", "top", "left"], channels=["v"], patch=3)
+    placed = scored.withColumns({"y": (F.col("top") + F.col("row")).cast("int"), "x": (F.col("left") + F.col("col")).cast("int")})
+    return rounded(placed.groupBy("cube", "t", "y", "x").agg(F.avg("pred").alias("pred"), F.count(F.lit(1)).alias("coverage")), "pred")
+
+
 _TP = """tp AS (SELECT cube, t, y, x, tile_seq, coalesce(v, 0) + tile_seq * 0.01::DOUBLE AS pred, coalesce(v, 0) AS tru, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS mask, coalesce(v, 0) / 2 AS base FROM cut)"""
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from petrichor.session import spread
+
 
 def score_tiles(tiles: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], *, out: str = "pred") -> DataFrame:
     """Apply ``fn`` (batch of tile rows -> predictions) partition by partition in Arrow batches."""
@@ -20,6 +23,36 @@ def score_tiles(tiles: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], *, ou
     return tiles.mapInPandas(run, schema)
 
 
+def score_whole_tiles(
+    pixels: DataFrame, fn: Callable[[np.ndarray], np.ndarray], *, tile: list[str], channels: list[str], patch: int, row: str = "row", col: str = "col", out: str = "pred",
+) -> DataFrame:
+    """Apply a spatial model: ``fn`` maps one tile (patch, patch, channels), NaN where a value is missing, to
+    (patch, patch) predictions; returns the tile's pixels (tile, row, col) with ``out``.
+
+    ``tile`` names one tile at one step, or a whole tile if every step is a channel. A tile is one row on its way
+    to Python, patch x patch x channels numbers, however many tiles a cube has.
+    """
+    values = F.array(*[F.col(c).cast("double") for c in channels])
+    pixel = F.struct((F.col(row) * patch + F.col(col)).cast("int").alias("at"), values.alias("v"))
+    grouped = pixels.groupBy(*tile).agg(F.collect_list(pixel).alias("_px"))
+    flat = grouped.select(*tile, F.col("_px.at").alias("_at"), F.flatten("_px.v").alias("_v"))
+    kinds = dict(flat.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for at, v in zip(pdf["_at"], pdf["_v"]):
+                image = np.full((patch * patch, len(channels)), np.nan)
+                image[at] = np.asarray(v, float).reshape(-1, len(channels))
+                found.append(np.asarray(fn(image.reshape(patch, patch, -1)), float).reshape(-1)[at])
+            yield pdf[[*tile, "_at"]].assign(_p=found)
+
+    scored = spread(flat, rows=1000).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*tile, "_at"]) + ", _p array<double>")
+    pixels_out = scored.select(*tile, F.inline(F.arrays_zip("_at", "_p")))
+    value = F.when(F.isnan("_p"), None).otherwise(F.col("_p"))
+    return pixels_out.select(*tile, F.floor(F.col("_at") / patch).cast("int").alias(row), (F.col("_at") % patch).alias(col), value.alias(out))
+
+
 def score_baseline(pixels: DataFrame, baseline: DataFrame, *, keys: list[str], out: str = "pred") -> DataFrame:
     """Native scorer: the baseline of a pixel is its prediction at every step."""
     return pixels.join(baseline.withColumnRenamed("base", out), keys, "left")
