@@ -5,9 +5,10 @@ circularly by k for coordinate k. Documents that agree in all coordinates of a b
 becomes a link only after a comparison of the full shingle sets.
 
 Documents with equal sets are one class from the start. In a bucket every class is compared with the bucket's
-smallest one only, and the links found make components. What a bucket still holds from different components is
-compared pairwise, but only where the triangle inequality of the Jaccard distance leaves room for a link. So
-thousands of copies cost one comparison each, and no link that could join two components is left out.
+smallest one only, and the links found make components. Where a bucket still holds several, its classes are also
+compared with one of the largest other component. What is then left from different components is compared
+pairwise, but only where the triangle inequality of the Jaccard distance, with both pivots, leaves room for a
+link. So thousands of copies cost a few comparisons each, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from petrichor.llm.common import small_or_not, written
 from petrichor.llm.shingles import shingle_sets, slices, small_batches
 
-#: 32 bands of 4: a pair at similarity 0.8 misses all of them with probability (1 - 0.8^4)^32, about 5e-8.
-BANDS, ROWS = 32, 4
+#: 64 bands of 8: a pair at similarity 0.8 misses all of them with probability (1 - 0.8^8)^64, about 8e-6, and one at 0.5,
+#: as texts around a common passage are, meets in one with probability 0.2.
+BANDS, ROWS = 64, 8
 
 
 def _second_permutation(x: np.ndarray, spare: np.ndarray) -> None:
@@ -142,6 +144,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, rep, ...) with their component, of the buckets that hold more than one component."""
+    named = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    return named.join(keys, "key", "left_semi")
+
+
 def _linked(compared: DataFrame, percent: int) -> DataFrame:
     return compared.filter(F.col("same") * 100 >= F.col("total") * percent).select("a", "b")
 
@@ -174,19 +183,36 @@ def near_duplicates(
     links = _linked(first, percent)
     labels = components(links)
 
-    # what is left: classes of one bucket in different components, near enough to the leader's distance for a link
-    named_members = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named_members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    distance = F.when(F.col("rep") == F.col("leader"), F.lit(0.0)).otherwise(1 - F.col("same") / F.col("total"))
-    far = named_members.join(mixed, "key", "left_semi").join(first.select(F.col("a").alias("rep"), F.col("b").alias("leader"), "same", "total"), ["rep", "leader"], "left")
+    # buckets that still hold several components: their largest one without the leader gives a second pivot
+    far = written(_mixed(members, labels), "mixed-buckets")
+    parts = far.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("p"), F.max(F.col("rep") == F.col("leader")).alias("own"))
+    pivots = parts.filter("NOT own").groupBy("key").agg(F.max_by("p", F.struct("m", -F.col("p"))).alias("pivot"))
+    far = written(far.drop("component").join(pivots, "key"), "pivots")
+    high, low = F.greatest("rep", "pivot"), F.least("rep", "pivot")
+    more = far.filter("rep <> pivot").select(high.alias("a"), low.alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    second = written(_compared(more, sets), "compared-again")
+    links = links.unionByName(_linked(second, percent))
+    labels = components(links)
+
+    # what is left: pairs from different components whose distances to both pivots leave room for a link
     reach = 1 - percent / 100
-    far = written(far.select("key", "rep", "component", "n", distance.alias("d")).withColumn("cell", F.floor(F.col("d") / reach)), "mixed-buckets")
-    side = lambda p: far.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "component", "n", "d", "cell")])
-    near = side("x").withColumn("cell", F.explode(F.array(F.col("x_cell"), F.col("x_cell") + 1))).join(side("y").withColumn("cell", F.col("y_cell")), ["key", "cell"])
-    near = near.filter("x_component <> y_component AND (x_cell < y_cell OR x_rep < y_rep)")
-    near = near.filter((F.abs(F.col("x_d") - F.col("y_d")) <= reach + 1e-9) & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent))
+    known = first.unionByName(second).select("a", "b", (1 - F.col("same") / F.col("total")).alias("d"))
+    far = _mixed(far, labels)
+    for name, other in (("d1", "leader"), ("d2", "pivot")):
+        ends = known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("d").alias(name))
+        far = far.withColumns({"_x": F.greatest("rep", other), "_y": F.least("rep", other)}).join(ends, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left")
+        far = far.drop("_x", "_y", "_a", "_b").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    cell = lambda d: F.floor(F.col(d) / (reach + 1e-9))
+    far = written(far.select("key", "rep", "component", "n", "d1", "d2", cell("d1").alias("c1"), cell("d2").alias("c2")), "distances")
+    side = lambda p: far.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "component", "n", "d1", "d2", "c1", "c2")])
+    around = lambda c, offsets: F.explode(F.array(*[F.col(c) + i for i in offsets]))
+    x = side("x").withColumn("c1", around("x_c1", (0, 1))).withColumn("c2", around("x_c2", (-1, 0, 1)))
+    y = side("y").withColumns({"c1": F.col("y_c1"), "c2": F.col("y_c2")})
+    near = x.join(y, ["key", "c1", "c2"]).filter("x_component <> y_component AND (x_c1 < y_c1 OR x_rep < y_rep)")
+    near = near.filter((F.abs(F.col("x_d1") - F.col("y_d1")) <= reach + 1e-9) & (F.abs(F.col("x_d2") - F.col("y_d2")) <= reach + 1e-9))
+    near = near.filter(F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
     rest = near.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).filter("a <> b").distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = written(rest.join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest-pairs")
     if rest.count():
         more = written(_linked(_compared(rest, sets), percent), "rest-links")
         if more.count():
