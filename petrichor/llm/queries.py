@@ -106,7 +106,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""WITH l0 AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-l AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l0),
+l AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t, CASE WHEN t <> '' THEN string_split(t, ' ') ELSE [] END AS w FROM l0),
 u AS (SELECT w, len(w) AS n, min(doc_id * 1000000 + line_no) AS spot FROM l WHERE len(w) > 0 GROUP BY 1),
 v AS (SELECT w, n, spot, i, array_to_string(w[1 : i] || w[i + 2 : n], ' ') AS rest FROM (SELECT *, unnest(range(0, n)) AS i FROM u WHERE n >= 7)),
 near AS (
