@@ -1,9 +1,9 @@
 """Main text of web pages with a site style tree.
 
 The DOMs of a host are merged: nodes with the same path of tags and classes are one style node. Its presentation
-entropy says how much its children's styles vary over the host's pages, its content importance how rarely its
-texts repeat. Branches of low importance (the same box on page after page) are removed from every page, as are those
-whose tag, class, id or role says that they aren't part of the article.
+entropy says how much its children's styles vary over the host's pages, its content importance how rarely its own
+texts repeat, those in no container below it. The texts of nodes of low importance (the same box on page after page)
+are removed from every page, as are branches whose tag, class, id or role says that they aren't part of the article.
 """
 
 from __future__ import annotations
@@ -173,12 +173,24 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
     return blocks, styles
 
 
-def main_text(page: str | None, low: set[int]) -> str:
-    """The article's blocks, else those of the main element, else all, without noise and low branches."""
+def _node(block: Block) -> int:
+    """The container whose own text a block is; 0 outside of all."""
+    return block.above[-1] if block.above else 0
+
+
+def main_text(page: str | None, low: set[int], dull: set[int] = frozenset()) -> str:
+    """The article's blocks, else those of the main element, else all, without noise and the texts of low nodes.
+
+    If only texts of ``dull`` nodes would be left, low nodes that aren't dull stay; if all are dull, the article
+    itself repeats and nothing is removed.
+    """
     blocks = [b for b in parse(page or "")[0] if not b.noise]
     for inside in (lambda b: b.article, lambda b: b.main, lambda b: True):
         if own := [b for b in blocks if inside(b)]:
-            return "\n\n".join(b.text for b in own if not low.intersection(b.above))
+            kept = [b for b in own if _node(b) not in low]
+            if all(_node(b) in dull for b in kept):
+                kept = [b for b in own if _node(b) not in low or _node(b) not in dull] if any(_node(b) not in dull for b in own) else own
+            return "\n\n".join(b.text for b in kept)
     return ""
 
 
@@ -187,12 +199,13 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
-    """(host, path, pages, importance, holds) for the style nodes of ``pages`` (host, html).
+    """(host, path, pages, importance, own, holds) for the style nodes of ``pages`` (host, html) with text.
 
     With m pages that have the node, presentation is the entropy, to base m, of its children's styles; content is
-    the mean over the texts in the branch of 1 - log_m(pages with that text). Importance is
-    (1 - gamma) * presentation + gamma * content, and 1 for a node of one page. ``holds`` marks the nodes that hold
-    the article. A page hands over each of its (node, style) and (node, text) once; they are counted before the
+    the mean over the node's own texts, noise excluded, of 1 - log_m(pages with that text). Importance is
+    (1 - gamma) * presentation + gamma * content; ``own`` is the sum of these text values a page, which repeated
+    texts beside them don't lower. Both are 1 for a node of one page. ``holds`` marks the nodes that hold the
+    article. A page hands over each of its (node, style) and (node, text) once; they are counted before the
     shuffle, so a host with a third of all pages is no single task's work.
     """
     schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("holds", pa.int32())])
@@ -204,7 +217,7 @@ def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
                 blocks, styles = parse(page or "")
                 inner = {p for b in blocks if not b.noise for p in b.above[: b.root or 1]}
                 found = {(p, 0, _hash(" ".join(children))) for p, children in styles.items()}
-                found |= {(p, 1, h) for b in blocks for h in (_hash(b.text),) for p in b.above}
+                found |= {(_node(b), 1, _hash(b.text)) for b in blocks if not b.noise and b.above}
                 for path, kind, value in found:
                     hosts.append(host)
                     paths.append(path)
@@ -222,19 +235,20 @@ def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
     )
     m = F.col("m")
     presentation = F.log(m) - F.col("styled") / m
-    content = F.coalesce(F.log(m) - F.col("repeated") / F.col("texts"), F.lit(0.0))
+    content = F.log(m) - F.col("repeated") / F.col("texts")
+    own = F.when(m > 1, content / F.log(m) * F.col("texts") / m).otherwise(1.0)
     importance = F.when(m > 1, ((1 - gamma) * presentation + gamma * content) / F.log(m)).otherwise(1.0)
-    return sums.select("host", "path", m.cast("long").alias("pages"), importance.alias("importance"), (F.col("holding") * 2 > m).alias("holds"))
+    return sums.filter("texts > 0").select("host", "path", m.cast("long").alias("pages"), importance.alias("importance"), own.alias("own"), (F.col("holding") * 2 > m).alias("holds"))
 
 
 def low_branches(tree: DataFrame, *, threshold: float, min_pages: int, min_share: float) -> DataFrame:
-    """(host, low): paths to remove per host; only nodes on ``min_pages`` pages and ``min_share`` of the most common
-    node's pages, so the list is short. A node that leads to the article in most pages stays, and a host whose
-    articles themselves repeat keeps all its branches."""
-    widest = tree.groupBy("host").agg(F.max("pages").alias("most"), F.min(F.when(F.col("holds"), F.col("importance"))).alias("article"))
-    nodes = tree.filter(~F.col("holds") & (F.col("importance") < threshold) & (F.col("pages") >= min_pages)).join(widest, "host")
-    nodes = nodes.filter((F.col("pages") >= F.col("most") * min_share) & (F.coalesce("article", F.lit(1.0)) >= threshold))
-    return nodes.groupBy("host").agg(F.collect_list("path").alias("low"))
+    """(host, low, dull): paths per host; only nodes on ``min_pages`` pages and ``min_share`` of the most common
+    node's pages, so the lists are short. Low nodes are of low importance and don't lead to the article in most
+    pages; dull ones, which may hold the article, have hardly an own text a page that doesn't repeat."""
+    widest = tree.groupBy("host").agg(F.max("pages").alias("most"))
+    low, dull = ~F.col("holds") & (F.col("importance") < threshold), F.col("own") < threshold
+    nodes = tree.filter((low | dull) & (F.col("pages") >= min_pages)).join(widest, "host").filter(F.col("pages") >= F.col("most") * min_share)
+    return nodes.groupBy("host").agg(F.collect_list(F.when(low, F.col("path"))).alias("low"), F.collect_list(F.when(dull, F.col("path"))).alias("dull"))
 
 
 def extract(
@@ -251,12 +265,12 @@ def extract(
     lows = written(low_branches(written(style_tree(named), "style-tree"), threshold=threshold, min_pages=min_pages, min_share=min_share), "low-branches")
 
     @pandas_udf("string")
-    def text_of(page: pd.Series, low: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, set(b) if b is not None else set()) for p, b in zip(page, low)], dtype=object)
+    def text_of(page: pd.Series, low: pd.Series, dull: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p, *(set(x) if x is not None else set() for x in b)) for p, *b in zip(page, low, dull)], dtype=object)
 
-    host, low_host, low = fresh(pages, "host", "low_host", "low")
-    lows = small_or_not(lows.select(F.col("host").alias(low_host), F.col("low").alias(low)), lows.count(), 100_000)
+    host, low_host, low, dull = fresh(pages, "host", "low_host", "low", "dull")
+    lows = small_or_not(lows.select(F.col("host").alias(low_host), F.col("low").alias(low), F.col("dull").alias(dull)), lows.count(), 100_000)
     rows = pages.withColumn(host, host_of(F.col(url_col))).join(lows, F.col(host) == F.col(low_host), "left")
     rest = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
-    out = rows.select(*[F.col(f"`{c}`") for c in rest], text_of(F.col(html_col), F.col(low)).alias("text"))
+    out = rows.select(*[F.col(f"`{c}`") for c in rest], text_of(F.col(html_col), F.col(low), F.col(dull)).alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -168,3 +168,22 @@ def test_site_style_tree_removes_what_repeats(spark, prose):
     assert all("Always" in got[i]["text"] for i in (100, 101, 102, 200)) and got[201]["text"] == got[202]["text"] == ""
     assert site_style.extract(df.limit(0)).count() == 0
     assert {r["h"] for r in df.select(site_style.host_of(F.col("url")).alias("h")).collect()} == {"one.example.org", "two.example.org", ""}
+
+
+def test_site_style_tree_with_much_boilerplate(spark, prose):
+    """25 repeated and 3 own blocks a page: in a box, in the page's own container, and next to an article that repeats."""
+    box = "<div class=x9>" + "".join(f"<p>line {k} of the same box</p>" for k in range(25)) + "</div>"
+    own = lambda i: "".join(f"<p>{prose('en', 9, 5000 + 40 * i + k)}</p>" for k in range(3))
+    shapes = [
+        lambda i: f"<body>{box}<div class=y>{own(i)}</div></body>",
+        lambda i: f"<body><div class=wrap>{box}<article>{own(i)}<div class=x8><p>and this</p></div></article>{box}</div></body>",
+        lambda i: f"<body><div class=wrap>{box.replace('<div class=x9>', '').replace('</div>', '')}{own(i)}</div><div class=x8><p>and this</p></div></body>",
+        lambda i: f"<body>{box}<div class=y>{own(0)}</div></body>",
+    ]
+    rows = [(100 * s + i, f"http://h{s}.example.org/{i}", shape(i)) for s, shape in enumerate(shapes) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in site_style.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    texts = lambda i: "\n\n".join(prose("en", 9, 5000 + 40 * i + k) for k in range(3))
+    for i in range(30):
+        assert got[i] == got[100 + i] == texts(i)
+        assert got[200 + i].endswith(texts(i))  # one container: its own paragraphs stay, with the lines between them
+        assert got[300 + i].startswith("line 0") and got[300 + i].endswith(texts(0))  # the article itself repeats
