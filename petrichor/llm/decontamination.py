@@ -1,8 +1,9 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-Only DataFrame functions. A window can only be similar to an item if they share a shingle, and a shared shingle
-says where the window lies: at the document's position less the item's. So windows are made where a shingle of
-the benchmark occurs, each of the size of the item it comes from, and are then compared with all items.
+Only DataFrame functions. A window as similar to an item as asked has most of the item's shingles. So the places
+where an item's shingles occur in a document are counted first, and every window of the item's size that holds
+enough of them is made, in whatever order they stand. Windows aligned with a shared shingle (at the document's position less
+the item's) are made as well, the ends of the document cut off; all windows are then compared with all items.
 """
 
 from __future__ import annotations
@@ -53,6 +54,14 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, h: acc + F.least(times(a, h), times(b, h)))
 
 
+def _crowded(places: Column, least: Column, span: Column) -> Column:
+    """Starts >= 0 of the windows over ``span`` shingles that hold at least so many of the sorted places."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(places) - least), lambda i: F.struct(F.get(places, i).alias("first"), F.get(places, i + least - 1).alias("last")))
+    near = F.filter(runs, lambda r: r["last"] - r["first"] < span)
+    starts = F.flatten(F.transform(near, lambda r: F.sequence(F.greatest(r["last"] - span + 1, F.lit(0)), r["first"])))
+    return F.when(F.size(places) >= least, F.array_distinct(starts)).otherwise(F.array().cast("array<int>"))
+
+
 def passages(
     df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     words: int = 5, similarity: float = 0.8, radius: int = RADIUS,
@@ -60,14 +69,15 @@ def passages(
     """(doc_id, item_id, start, similarity): windows similar to a benchmark item; start counts words from 0.
 
     Similarity is sum of minima / sum of maxima of the shingles' multiplicities; shingles have ``words`` words, or
-    as many as the item if it has fewer. Items without a word match nothing; repeated items count each. Rows with
+    as many as the item if it has fewer. Windows have an item's number of words and lie anywhere in the document; a
+    shorter document is one window. Items without a word match nothing; repeated items count each. Rows with
     the same id, NULL too, are one document. The item tables are broadcast only after their rows are counted.
     """
     listed = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item_words")).filter(F.size("item_words") > 0).distinct()
     listed = listed.withColumn("n", F.size("item_words")).withColumn("k", F.least("n", F.lit(words)))
     listed = written(listed.withColumns({"item_shingles": shingle_hashes(F.col("item_words"), F.col("k")), "item_print": simhash(F.col("item_words"))}), "items")
-    seeds = listed.select("n", "k", F.posexplode("item_shingles").alias("offset", "h")).distinct()
-    seeds = written(seeds.groupBy("h", "k").agg(F.collect_list(F.struct("n", "offset")).alias("at")), "item-shingles")
+    seeds = listed.select("n", "k", F.xxhash64("item_words").alias("item"), F.posexplode("item_shingles").alias("offset", "h")).distinct()
+    seeds = written(seeds.groupBy("h", "k").agg(F.collect_list(F.struct("n", "item", "offset")).alias("at")), "item-shingles")
     n_seeds, n_items = seeds.count(), listed.count()
     sizes = [r.k for r in seeds.select("k").distinct().collect()]  # at most ``words`` numbers
 
@@ -75,15 +85,24 @@ def passages(
     worded = docs.select("doc_id", words_of(F.col("text")).alias("w"))
     hashed = worded.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), shingle_hashes(F.col("w"), k).alias("hs")) for k in sizes] or [F.struct(F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("hs"))])).alias("s"))
     spots = hashed.select("doc_id", F.col("s.k").alias("k"), F.posexplode("s.hs").alias("pos", "h"))
-    hits = spots.join(small_or_not(seeds, n_seeds), ["h", "k"]).select("doc_id", "pos", F.inline("at"))
-    windows = written(hits.select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "n").distinct(), "windows")
+    hits = spots.join(small_or_not(seeds, n_seeds), ["h", "k"]).select("doc_id", "k", "pos", F.inline("at"))
+    met = hits.groupBy("doc_id", "k", "n", "item").agg(F.sort_array(F.collect_set("pos")).alias("places"), F.collect_set(F.col("pos") - F.col("offset")).alias("aligned"))
+    # of two multisets of the size ``span``, so many are common at that similarity; of a smaller one and the item's, ``fewer``
+    span, places, n = F.col("n") - F.col("k") + 1, F.col("places"), F.col("n")
+    at_least = lambda share: F.greatest(F.ceil(span * share - 1e-9).cast("int"), F.lit(1))
+    least, fewer = at_least(2 * similarity / (1 + similarity)), at_least(similarity)
+    whole = (F.size(places) >= fewer) & (F.element_at(places, -1) - F.element_at(places, 1) < span)
+    kind = lambda starts, name: F.transform(starts, lambda x: F.struct(x.alias("start"), F.lit(name).alias("kind")))
+    made = F.concat(kind(F.col("aligned"), "cut"), kind(_crowded(places, least, span), "full"), kind(F.when(whole, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), "short"))
+    windows = written(met.select("doc_id", "n", F.inline(made)).distinct(), "windows")
 
     ids = written(windows.select(F.col("doc_id").alias("hit_id")).distinct(), "hit-ids")
     few = small_or_not(ids, ids.count())
     hit = docs.join(few, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi").select("doc_id", words_of(F.col("text")).alias("w"))
     cut = hit.join(windows.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")))
     begin, end = F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("n"), F.size("w"))
-    cut = cut.filter(begin < end).select("doc_id", begin.alias("start"), F.slice("w", begin + 1, end - begin).alias("window")).distinct()
+    fits = F.when(F.col("kind") == "full", F.col("start") + F.col("n") <= F.size("w")).otherwise((F.col("kind") == "cut") | (F.size("w") < F.col("n")))
+    cut = cut.filter((begin < end) & fits).select("doc_id", begin.alias("start"), F.slice("w", begin + 1, end - begin).alias("window")).distinct()
     prints = written(cut.withColumn("print", simhash(F.col("window"))), "window-prints")
 
     index = listed.select("item_id", "item_print", F.inline(hamming_blocks(F.col("item_print"), radius)))

@@ -127,6 +127,38 @@ def test_decontamination(spark, prose):
     assert decontamination.contamination(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_moved_parts(spark, prose):
+    """Items whose parts change places, whole documents and inside others: every item-sized window counts."""
+    import collections
+    import re
+
+    items = [(i, prose("en", n, 800 + i)) for i, n in enumerate((40, 50, 60, 75))] + [(4, "two two two two two two two")]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for j, at in enumerate((len(w) // 2, len(w) // 3, len(w) // 4)):
+            moved = " ".join(w[at:] + w[:at])
+            docs += [(100 * i + 10 * j, moved), (100 * i + 10 * j + 1, f"{prose('en', 30, i + j)} {moved} {prose('en', 20, i + j + 7)}"), (100 * i + 10 * j + 2, moved.rsplit(" ", 1)[0])]
+    docs.append((900, " ".join(["two"] * 300)))
+    words = lambda t: re.sub(r"[\W_]+", " ", t.lower()).split()
+    want = collections.defaultdict(dict)
+    for d, text in docs:
+        w = words(text)
+        for i, t in items:
+            v = words(t)
+            own = collections.Counter(shingles(v, 5))
+            for at in range(max(len(w) - len(v), 0) + 1):
+                part = collections.Counter(shingles(w[at : at + len(v)], 5))
+                same = sum((own & part).values()) / sum((own | part).values())
+                if same >= 0.8:
+                    want[d][i] = max(same, want[d].get(i, 0))
+    assert {100 * i + 10 * j + k for i in (1, 2, 3) for j in range(3) for k in (0, 1)} <= set(want)
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    for r in got:
+        assert set(r["item_ids"]) == set(want[r["doc_id"]])
+        assert r["similarity"] == (pytest.approx(max(want[r["doc_id"]].values())) if want[r["doc_id"]] else None)
+
+
 def test_hamming_blocks_guarantee(spark):
     r = random.Random(6)
     rows = []
