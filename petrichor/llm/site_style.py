@@ -31,12 +31,18 @@ CONTAINERS = set("article aside body center details dialog div dl fieldset figur
 BLOCKS = CONTAINERS | set("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr html legend li p pre summary tbody td tfoot th thead tr".split())
 #: A start tag ends an open element of these kinds, if it is nearer than a container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NOISE_TAGS = set("aside button canvas datalist dialog footer form head iframe input label math menu nav noscript object optgroup option select svg template".split()) | RAW
+NOISE_TAGS = set("aside button canvas datalist dialog footer head iframe input menu nav noscript optgroup option select svg template".split()) | RAW
 NOISE_NAMES = set(
     "ad ads adbox adsense advert adverts advertisement advertisements alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
     "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion "
     "recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Their texts differ from page to page by nature, so that rare texts don't speak for them.
+VARYING = NOISE_NAMES & set(
+    "ad ads adbox adsense advert adverts advertisement advertisements comment comments disqus promo promoted promotion recommended related replies reply respond share sharing social sponsor sponsored".split()
+)
+#: "has-comments", "no-sidebar": how the page is, not what the element is.
+STATES = {"has", "is", "no", "with", "without"}
 NOISE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 
@@ -53,6 +59,7 @@ class Node:
     main: bool
     above: tuple[int, ...] = ()
     root: int = 0
+    names: tuple[int, ...] = ()
     children: list[str] = field(default_factory=list)
     outside: list[str] | None = None  # text of the block around an inline element that isn't part of the article
 
@@ -65,6 +72,8 @@ class Block:
     main: bool
     above: tuple[int, ...]  # containers as hashed paths, the outermost first
     root: int  # so many of them lead to the article or main element, itself included
+    names: tuple[int, ...] = ()  # the elements around it whose names are those of noise, by number
+    named: tuple[int, ...] | None = None  # if only names make it noise that rare texts can outweigh: their hashed paths
 
 
 def _hash(text: str) -> int:
@@ -79,26 +88,47 @@ def _noisy(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
     """A header belongs to the article if it lies in one."""
     if tag in NOISE_TAGS or tag == "header" and not in_content:
         return True
-    if tag in ("html", "body", "main") or not attributes:
+    if tag in ("html", "body", "main"):
         return False
-    names = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
-    if names & NOISE_NAMES or not in_content and "header" in names or attributes.get("role", "").lower() in NOISE_ROLES:
-        return True
-    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    return hidden
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def _named(tag: str, attributes: dict[str, str], in_content: bool) -> str:
+    """"varying" or "fixed" if class, id, role or the form tag suggest noise, else ""; only a prior, see ``_outweighed``."""
+    if tag in ("html", "body", "main"):
+        return ""
+    names = set()
+    for word in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", word).lower())
+        names.update(() if parts[0] in STATES else parts)
+    if names & VARYING:
+        return "varying"
+    return "fixed" if tag == "form" or names & NOISE_NAMES or not in_content and "header" in names or attributes.get("role", "").lower() in NOISE_ROLES else ""
+
+
+def _outweighed(named: list[tuple[int, bool]], articles: list[tuple[int, ...]], mains: list[tuple[int, ...]]) -> set[int]:
+    """Numbers of the named elements that hold the article: those around the article elements with the fewest such
+    names, else the main elements; varying names only if nothing else is left."""
+    cost = lambda names: (sum(named[i][1] for i in names), len(names))
+    for found in ([x for x in articles if not cost(x)[0]], [x for x in mains if not cost(x)[0]], articles, mains):
+        if found:
+            least = min(map(cost, found))
+            return {i for x in found if cost(x) == least for i in x}
+    return set()
 
 
 def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
     """(text blocks in order, children's styles per container path)."""
     root = Node("", "", False, False, False)
     stack, blocks, styles, held = [root], [], {}, []
+    named, articles, mains = [], [], []
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
             top = stack[-1]
-            blocks.append(Block(text, top.noise, top.article, top.main, top.above, top.root))
+            blocks.append(Block(text, top.noise, top.article, top.main, top.above, top.root, top.names))
 
     def leave(keep: int) -> None:
         while len(stack) > keep:
@@ -124,7 +154,12 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
         style = f"{tag}.{classes}" if classes else tag
         top.children.append(style)
         main = top.main or tag == "main" or attributes.get("role", "").lower() == "main"
-        node = Node(tag, top.path, noise, top.article or tag == "article", main, top.above, top.root)
+        node = Node(tag, top.path, noise, top.article or tag == "article", main, top.above, top.root, top.names)
+        if name := _named(tag, attributes, top.article or top.main):
+            node.names += (len(named),)
+            named.append((_hash(f"{top.path}/{style}"), name == "varying"))
+        if not noise and (tag == "article" or main and not top.main):
+            (articles if tag == "article" else mains).append(node.names)
         if tag in CONTAINERS and len(top.above) < DEPTH:
             node.path = f"{top.path}/{style}"
             node.above = top.above + (_hash(node.path),)
@@ -134,7 +169,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
                 node.root = len(node.above)
         if tag in BLOCKS:
             stack.append(node)
-        elif noise and not top.noise:
+        elif noise and not top.noise or node.names != top.names:
             node.outside = held[:]
             held.clear()
             stack.append(node)
@@ -170,6 +205,11 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
     held.append(html.unescape(page[at:]))
     leave(1)
     flush()
+    free = _outweighed(named, articles, mains)
+    for b in blocks:
+        if live := [i for i in b.names if i not in free]:
+            b.named = tuple(named[i][0] for i in live) if not b.noise and not any(named[i][1] for i in live) else None
+            b.noise = True
     return blocks, styles
 
 
@@ -178,13 +218,13 @@ def _node(block: Block) -> int:
     return block.above[-1] if block.above else 0
 
 
-def main_text(page: str | None, low: set[int], dull: set[int] = frozenset()) -> str:
+def main_text(page: str | None, low: set[int], dull: set[int] = frozenset(), rare: set[int] = frozenset()) -> str:
     """The article's blocks, else those of the main element, else all, without noise and the texts of low nodes.
 
     If only texts of ``dull`` nodes would be left, low nodes that aren't dull stay; if all are dull, the article
-    itself repeats and nothing is removed.
+    itself repeats and nothing is removed. Named nodes that are ``rare`` aren't noise.
     """
-    blocks = [b for b in parse(page or "")[0] if not b.noise]
+    blocks = [b for b in parse(page or "")[0] if not b.noise or b.named and rare.issuperset(b.named)]
     for inside in (lambda b: b.article, lambda b: b.main, lambda b: True):
         if own := [b for b in blocks if inside(b)]:
             kept = [b for b in own if _node(b) not in low]
@@ -199,12 +239,13 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
-    """(host, path, pages, importance, own, holds) for the style nodes of ``pages`` (host, html) with text.
+    """(host, path, pages, importance, own, holds, named) for the style nodes of ``pages`` (host, html) with text.
 
     With m pages that have the node, presentation is the entropy, to base m, of its children's styles; content is
     the mean over the node's own texts, noise excluded, of 1 - log_m(pages with that text). Importance is
     (1 - gamma) * presentation + gamma * content; ``own`` is the sum of these text values a page, which repeated
-    texts beside them don't lower. Both are 1 for a node of one page. ``holds`` marks the nodes that hold the
+    texts beside them don't lower. Both are 1 for a node of one page. ``named`` is the mean value of all texts in an
+    element whose name is that of noise, NULL for others and on one page. ``holds`` marks the nodes that hold the
     article. A page hands over each of its (node, style) and (node, text) once; they are counted before the
     shuffle, so a host with a third of all pages is no single task's work.
     """
@@ -217,7 +258,8 @@ def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
                 blocks, styles = parse(page or "")
                 inner = {p for b in blocks if not b.noise for p in b.above[: b.root or 1]}
                 found = {(p, 0, _hash(" ".join(children))) for p, children in styles.items()}
-                found |= {(_node(b), 1, _hash(b.text)) for b in blocks if not b.noise and b.above}
+                found |= {(_node(b), 1, _hash(b.text)) for b in blocks if (not b.noise or b.named) and b.above}
+                found |= {x for b in blocks for p in b.named or () for x in ((p, 2, _hash(b.text)), (p, 3, 0))}
                 for path, kind, value in found:
                     hosts.append(host)
                     paths.append(path)
@@ -231,24 +273,29 @@ def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     k = F.col("k").cast("double")
     sums = counted.groupBy("host", "path").agg(
-        of(0, k).alias("m"), of(0, k * F.log(k)).alias("styled"), of(1, k).alias("texts"), of(1, k * F.log(k)).alias("repeated"), of(0, F.col("holds")).alias("holding")
+        of(0, k).alias("m"), of(0, k * F.log(k)).alias("styled"), of(1, k).alias("texts"), of(1, k * F.log(k)).alias("repeated"), of(0, F.col("holds")).alias("holding"),
+        of(2, k).alias("named_texts"), of(2, k * F.log(k)).alias("named_repeated"), of(3, k).alias("named_pages"),
     )
     m = F.col("m")
     presentation = F.log(m) - F.col("styled") / m
     content = F.log(m) - F.col("repeated") / F.col("texts")
     own = F.when(m > 1, content / F.log(m) * F.col("texts") / m).otherwise(1.0)
     importance = F.when(m > 1, ((1 - gamma) * presentation + gamma * content) / F.log(m)).otherwise(1.0)
-    return sums.filter("texts > 0").select("host", "path", m.cast("long").alias("pages"), importance.alias("importance"), own.alias("own"), (F.col("holding") * 2 > m).alias("holds"))
+    named = F.when(F.col("named_pages") > 1, 1 - F.col("named_repeated") / F.col("named_texts") / F.log("named_pages"))
+    return sums.filter("texts > 0 OR named_texts > 0").select("host", "path", m.cast("long").alias("pages"), importance.alias("importance"), own.alias("own"), (F.col("holding") * 2 > m).alias("holds"), named.alias("named"))
 
 
 def low_branches(tree: DataFrame, *, threshold: float, min_pages: int, min_share: float) -> DataFrame:
-    """(host, low, dull): paths per host; only nodes on ``min_pages`` pages and ``min_share`` of the most common
+    """(host, low, dull, rare): paths per host; only nodes on ``min_pages`` pages and ``min_share`` of the most common
     node's pages, so the lists are short. Low nodes are of low importance and don't lead to the article in most
-    pages; dull ones, which may hold the article, have hardly an own text a page that doesn't repeat."""
+    pages; dull ones, which may hold the article, have hardly an own text a page that doesn't repeat. Rare ones
+    have the name of noise, which halves their importance, and still aren't of low importance."""
     widest = tree.groupBy("host").agg(F.max("pages").alias("most"))
     low, dull = ~F.col("holds") & (F.col("importance") < threshold), F.col("own") < threshold
-    nodes = tree.filter((low | dull) & (F.col("pages") >= min_pages)).join(widest, "host").filter(F.col("pages") >= F.col("most") * min_share)
-    return nodes.groupBy("host").agg(F.collect_list(F.when(low, F.col("path"))).alias("low"), F.collect_list(F.when(dull, F.col("path"))).alias("dull"))
+    rare = F.col("named") / 2 >= threshold
+    nodes = tree.join(widest, "host").filter(rare | (low | dull) & (F.col("pages") >= min_pages) & (F.col("pages") >= F.col("most") * min_share))
+    low, dull = (x & (F.col("pages") >= min_pages) & (F.col("pages") >= F.col("most") * min_share) for x in (low, dull))
+    return nodes.groupBy("host").agg(F.collect_list(F.when(low, F.col("path"))).alias("low"), F.collect_list(F.when(dull, F.col("path"))).alias("dull"), F.collect_list(F.when(rare, F.col("path"))).alias("rare"))
 
 
 def extract(
@@ -265,12 +312,12 @@ def extract(
     lows = written(low_branches(written(style_tree(named), "style-tree"), threshold=threshold, min_pages=min_pages, min_share=min_share), "low-branches")
 
     @pandas_udf("string")
-    def text_of(page: pd.Series, low: pd.Series, dull: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, *(set(x) if x is not None else set() for x in b)) for p, *b in zip(page, low, dull)], dtype=object)
+    def text_of(page: pd.Series, low: pd.Series, dull: pd.Series, rare: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p, *(set(x) if x is not None else set() for x in b)) for p, *b in zip(page, low, dull, rare)], dtype=object)
 
-    host, low_host, low, dull = fresh(pages, "host", "low_host", "low", "dull")
-    lows = small_or_not(lows.select(F.col("host").alias(low_host), F.col("low").alias(low), F.col("dull").alias(dull)), lows.count(), 100_000)
+    host, low_host, low, dull, rare = fresh(pages, "host", "low_host", "low", "dull", "rare")
+    lows = small_or_not(lows.select(F.col("host").alias(low_host), F.col("low").alias(low), F.col("dull").alias(dull), F.col("rare").alias(rare)), lows.count(), 100_000)
     rows = pages.withColumn(host, host_of(F.col(url_col))).join(lows, F.col(host) == F.col(low_host), "left")
     rest = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
-    out = rows.select(*[F.col(f"`{c}`") for c in rest], text_of(F.col(html_col), F.col(low), F.col(dull)).alias("text"))
+    out = rows.select(*[F.col(f"`{c}`") for c in rest], text_of(F.col(html_col), F.col(low), F.col(dull), F.col(rare)).alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -219,3 +219,16 @@ def test_site_style_tree_with_much_boilerplate(spark, prose):
         assert got[i] == got[100 + i] == texts(i)
         assert got[200 + i].endswith(texts(i))  # one container: its own paragraphs stay, with the lines between them
         assert got[300 + i].startswith("line 0") and got[300 + i].endswith(texts(0))  # the article itself repeats
+
+
+def test_names_of_noise_are_a_prior(spark, prose):
+    text = lambda page: site_style.main_text(page, set())
+    assert text('<body><div class="content-sidebar-wrap"><article><p>own</article><div class=related><article><p>card</article></div></div>') == "own"
+    assert text('<main><div class="content-sidebar-wrap"><article><p>own</article></div><p>beside</main>') == "own"
+    assert text('<article class="post has-comments"><p>own<section class=comments><p>first!</section></article>') == "own"
+    assert text("<form id=f><main><p>own</main><p>out</form>") == text('<div class="post has-comments"><p>own</div>') == "own"
+    assert text("<article><p>a <math>x = 1</math> b <label>c</label> <object>d</object></article>") == "a x = 1 b c d"
+    own = lambda i: "\n\n".join(prose("en", 9, 9000 + 40 * i + k) for k in range(3))
+    page = lambda i: f"<body><section id=search-results><p>{own(i).replace(chr(10) * 2, '<p>')}</section><div id=search-box><p>Search here</div><div class=comments><p>{own(i + 50)}</div>"
+    df = spark.createDataFrame([(i, "http://s.example.org/", page(i)) for i in range(12)], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in site_style.extract(df).collect()} == {i: own(i) for i in range(12)}
