@@ -246,29 +246,32 @@ def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
     (1 - gamma) * presentation + gamma * content; ``own`` is the sum of these text values a page, which repeated
     texts beside them don't lower. Both are 1 for a node of one page. ``named`` is the mean value of all texts in an
     element whose name is that of noise, NULL for others and on one page. ``holds`` marks the nodes that hold the
-    article. A page hands over each of its (node, style) and (node, text) once; they are counted before the
-    shuffle, so a host with a third of all pages is no single task's work.
+    article. Pages of a host with the same texts, noise excluded, are one page: a copied article is no repeated box.
+    A page hands over each of its (node, style) and (node, text) once; they are counted before the shuffle, so a
+    host with a third of all pages is no single task's work.
     """
-    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("holds", pa.int32())])
+    fields = [("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("holds", pa.int32())]
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("nodes", pa.list_(pa.struct(fields)))])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, kinds, values, holds = [], [], [], [], []
+            hosts, pages_of, ends, rows = [], [], [0], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 blocks, styles = parse(page or "")
                 inner = {p for b in blocks if not b.noise for p in b.above[: b.root or 1]}
                 found = {(p, 0, _hash(" ".join(children))) for p, children in styles.items()}
                 found |= {(_node(b), 1, _hash(b.text)) for b in blocks if (not b.noise or b.named) and b.above}
                 found |= {x for b in blocks for p in b.named or () for x in ((p, 2, _hash(b.text)), (p, 3, 0))}
-                for path, kind, value in found:
-                    hosts.append(host)
-                    paths.append(path)
-                    kinds.append(kind)
-                    values.append(value)
-                    holds.append(int(path in inner))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((hosts, paths, kinds, values, holds), schema)], schema=schema)
-
-    rows = pages.select("host", "html").mapInArrow(nodes, "host string, path bigint, kind int, value bigint, holds int")
+                hosts.append(host)
+                pages_of.append(_hash("\n".join(b.text for b in blocks if not b.noise or b.named)))
+                rows += [(*x, int(x[0] in inner)) for x in sorted(found)]
+                ends.append(len(rows))
+            columns = [pa.array(x, t) for x, (_, t) in zip(zip(*rows) if rows else [[]] * 4, fields)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=[pa.field(*f) for f in fields]))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_of, pa.int64()), lists], schema=schema)
+
+    rows = pages.select("host", "html").mapInArrow(nodes, "host string, page bigint, nodes array<struct<path bigint, kind int, value bigint, holds int>>")
+    rows = rows.groupBy("host", "page").agg(F.max("nodes").alias("nodes")).select("host", F.inline("nodes"))
     counted = rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k"), F.sum("holds").alias("holds"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     k = F.col("k").cast("double")
@@ -285,39 +288,61 @@ def style_tree(pages: DataFrame, *, gamma: float = 0.9) -> DataFrame:
     return sums.filter("texts > 0 OR named_texts > 0").select("host", "path", m.cast("long").alias("pages"), importance.alias("importance"), own.alias("own"), (F.col("holding") * 2 > m).alias("holds"), named.alias("named"))
 
 
-def low_branches(tree: DataFrame, *, threshold: float, min_pages: int, min_share: float) -> DataFrame:
-    """(host, low, dull, rare): paths per host; only nodes on ``min_pages`` pages and ``min_share`` of the most common
-    node's pages, so the lists are short. Low nodes are of low importance and don't lead to the article in most
-    pages; dull ones, which may hold the article, have hardly an own text a page that doesn't repeat. Rare ones
-    have the name of noise, which halves their importance, and still aren't of low importance."""
-    widest = tree.groupBy("host").agg(F.max("pages").alias("most"))
-    low, dull = ~F.col("holds") & (F.col("importance") < threshold), F.col("own") < threshold
-    rare = F.col("named") / 2 >= threshold
-    nodes = tree.join(widest, "host").filter(rare | (low | dull) & (F.col("pages") >= min_pages) & (F.col("pages") >= F.col("most") * min_share))
-    low, dull = (x & (F.col("pages") >= min_pages) & (F.col("pages") >= F.col("most") * min_share) for x in (low, dull))
-    return nodes.groupBy("host").agg(F.collect_list(F.when(low, F.col("path"))).alias("low"), F.collect_list(F.when(dull, F.col("path"))).alias("dull"), F.collect_list(F.when(rare, F.col("path"))).alias("rare"))
+def low_branches(tree: DataFrame, *, threshold: float) -> DataFrame:
+    """(host, path, low, dull, rare): the nodes with one of these marks. Low nodes are of low importance and don't
+    lead to the article in most pages; dull ones, which may hold the article, have hardly an own text a page that
+    doesn't repeat. Rare ones have the name of noise, which halves their importance, and still aren't of low
+    importance. Nodes of one page are neither."""
+    marks = {"low": ~F.col("holds") & (F.col("importance") < threshold), "dull": F.col("own") < threshold, "rare": F.col("named") / 2 >= threshold}
+    marked = tree.select("host", "path", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in marks.items()])
+    return marked.filter("low OR dull OR rare")
+
+
+def _lists(marked: DataFrame, *keys: str) -> DataFrame:
+    return marked.groupBy(*keys).agg(*[F.collect_set(F.when(F.col(k), F.col("path"))).alias(k) for k in ("low", "dull", "rare")])
+
+
+def _page_lists(pages: DataFrame, marked: DataFrame) -> DataFrame:
+    """(host, page, low, dull, rare): the marked nodes of each page of ``pages`` (host, html); page is its MD5."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.string()), ("path", pa.int64())])
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
+                rows += [(host, key, p) for p in {p for b in parse(page or "")[0] for p in (_node(b), *(b.named or ()))}]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
+
+    found = pages.select("host", F.md5("html").alias("page"), "html").mapInArrow(paths, "host string, page string, path bigint")
+    return _lists(found.join(marked, ["host", "path"]), "host", "page")
 
 
 def extract(
-    pages: DataFrame, *, url_col: str = "url", html_col: str = "html", threshold: float = 0.25, min_pages: int = 10, min_share: float = 0.1,
+    pages: DataFrame, *, url_col: str = "url", html_col: str = "html", threshold: float = 0.25, list_nodes: int = 1000,
 ) -> DataFrame:
     """Every row with ``text`` and ``n_chars`` (its code points); columns of these names are replaced.
 
     Blocks are trimmed, their white space is one space, character references are decoded, and two line breaks
     join them. A NULL or empty page gives an empty text, a NULL or odd URL belongs to the host "", whose pages
-    aren't merged; repeated pages count as pages of their host. An empty table gives no rows.
+    aren't merged; pages of a host with the same texts count once. An empty table gives no rows. Marked nodes travel
+    as one list per host if no host has more than ``list_nodes``, else each page joins its own; the result is the same.
     """
     small_batches(pages.sparkSession)
     named = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("host <> ''")
-    lows = written(low_branches(written(style_tree(named), "style-tree"), threshold=threshold, min_pages=min_pages, min_share=min_share), "low-branches")
+    marked = written(low_branches(written(style_tree(named), "style-tree"), threshold=threshold), "low-branches")
+    most = marked.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    by_page = most > list_nodes
+    lows = written(_page_lists(named, marked) if by_page else _lists(marked, "host"), "low-lists")
 
     @pandas_udf("string")
     def text_of(page: pd.Series, low: pd.Series, dull: pd.Series, rare: pd.Series) -> pd.Series:
         return pd.Series([main_text(p, *(set(x) if x is not None else set() for x in b)) for p, *b in zip(page, low, dull, rare)], dtype=object)
 
-    host, low_host, low, dull, rare = fresh(pages, "host", "low_host", "low", "dull", "rare")
-    lows = small_or_not(lows.select(F.col("host").alias(low_host), F.col("low").alias(low), F.col("dull").alias(dull), F.col("rare").alias(rare)), lows.count(), 100_000)
-    rows = pages.withColumn(host, host_of(F.col(url_col))).join(lows, F.col(host) == F.col(low_host), "left")
+    host, low_host, low_page, low, dull, rare = fresh(pages, "host", "low_host", "low_page", "low", "dull", "rare")
+    lows = small_or_not(lows.select(F.col("host").alias(low_host), *([F.col("page").alias(low_page)] if by_page else []), F.col("low").alias(low), F.col("dull").alias(dull), F.col("rare").alias(rare)), lows.count(), 0 if by_page else 100_000)
+    same = F.col(host) == F.col(low_host)
+    same = same & (F.md5(F.col(html_col)) == F.col(low_page)) if by_page else same
+    rows = pages.withColumn(host, host_of(F.col(url_col))).join(lows, same, "left")
     rest = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
     out = rows.select(*[F.col(f"`{c}`") for c in rest], text_of(F.col(html_col), F.col(low), F.col(dull), F.col(rare)).alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -232,3 +232,16 @@ def test_names_of_noise_are_a_prior(spark, prose):
     page = lambda i: f"<body><section id=search-results><p>{own(i).replace(chr(10) * 2, '<p>')}</section><div id=search-box><p>Search here</div><div class=comments><p>{own(i + 50)}</div>"
     df = spark.createDataFrame([(i, "http://s.example.org/", page(i)) for i in range(12)], "page_id bigint, url string, html string")
     assert {r["page_id"]: r["text"] for r in site_style.extract(df).collect()} == {i: own(i) for i in range(12)}
+
+
+@pytest.mark.parametrize("list_nodes", [1000, 0])
+def test_site_style_tree_at_any_size(spark, prose, list_nodes):
+    """A box in a section with 9 of 200 pages, on hosts of 2, 5 and 9 pages, and an odd article with an exact copy."""
+    box, own = "<div class=x9><p>always the same</p></div>", lambda i: prose("en", 9, 20_000 + i)
+    page = lambda i, name: f"<body><div class={name}>{box}<div class=y><p>{own(i)}</div></div></body>"
+    rows = [(i, "http://big.example.org/", page(i, "rare") if i < 9 else f"<body><div class=z><p>{own(i)}</div></body>") for i in range(200)]
+    rows += [(1000 * n + i, f"http://h{n}.example.org/", page(i, "few")) for n in (2, 5, 9) for i in range(n)]
+    rows += [(500 + i, "http://big.example.org/", f"<body><div class=z><p>{own(300)}</div><div class=q><p>{own(301)}</div></body>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_style.extract(df, list_nodes=list_nodes).collect()}
+    assert got == {i: own(300) + "\n\n" + own(301) if i in (500, 501) else own(i % 1000) for i, _, _ in rows}
