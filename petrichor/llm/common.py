@@ -40,6 +40,23 @@ def small_or_not(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, *, hot_share: int = 10_000) -> DataFrame:
+    """rows with the columns of their group; ``groups`` has one row per non-NULL key, ``size`` counts its rows.
+
+    A key with more than one in ``hot_share`` of all rows would be one task's work in a shuffle. There are at most
+    ``hot_share`` such keys, so they are broadcast; the rows of all other keys are shuffled. A row without a group
+    gets NULLs. Both tables are read twice and should be written ones.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.col(size) * hot_share > total
+    (mark,) = fresh(rows.join(groups.limit(0), key, "left"), "hot")
+    keys = F.broadcast(groups.filter(hot).withColumn(mark, F.lit(True)))
+    first = rows.join(keys, key, "left")
+    done = first.filter(F.col(mark)).drop(mark)
+    rest = first.filter(F.col(mark).isNull()).select(*[F.col(f"`{c}`") for c in rows.columns]).join(groups.filter(~hot), key, "left")
+    return done.unionByName(rest)
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that the table doesn't have in any letter case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -155,3 +155,109 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from petrichor.llm.site_style import extract
 
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a short ASCII text, bit by bit: DuckDB has no such function."""
+    bits = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: {bits}), CAST(4294967295 AS BIGINT))"
+
+
+def merkle_sql(levels: int = 7, group_levels: int = 3) -> str:
+    """A tree level per pair of tables; enough for 8 ** levels documents of a language and 8 ** group_levels languages."""
+
+    def tree(p: str, n: int) -> list[str]:
+        out = []
+        for k in range(n):
+            run = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+            out.append(
+                f"{p}s{k} AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) > 1 AS up, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                f"coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {p}{k})"
+            )
+            out.append(f"{p}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN bool_and(up) THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h FROM {p}s{k} GROUP BY 1, 2)")
+        return out
+
+    def walk(p: str, n: int, start: str, at: str, g: str) -> list[str]:
+        out, before = [], start
+        for k in range(n):
+            fold = "CASE WHEN s.up THEN sha256(s.l || f || s.r) ELSE f END"
+            out.append(f"{p}w{k} AS (SELECT w.* EXCLUDE (f, proof), {fold} AS f, proof || s.l || s.r AS proof FROM {before} w JOIN {p}s{k} s ON s.g = w.{g} AND s.i = w.{at} // {8**k})")
+            before = f"{p}w{k}"
+        return out
+
+    fields = lambda text: " || ".join(
+        f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)
+    )
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tables = [
+        "lg AS (SELECT lang AS name, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents))",
+        f"d AS (SELECT doc_id, g, sha256({fields('text')}) AS h, CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN sha256({fields(lower)}) END AS other FROM documents JOIN lg ON lang IS NOT DISTINCT FROM name)",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d)",
+        "t0 AS (SELECT g, i, h FROM o)",
+        *tree("t", levels),
+        f"u0 AS (SELECT 0 AS g, g AS i, h FROM t{levels})",
+        *tree("u", group_levels),
+        "a AS (SELECT o.*, 0 AS z, coalesce(other, h) AS f, '' AS proof FROM o)",
+        *walk("t", levels, "a", "i", "g"),
+        *walk("u", group_levels, f"tw{levels - 1}", "g", "z"),
+    ]
+    last = f"uw{group_levels - 1}"
+    return (
+        "WITH " + ",\n".join(tables) + f"\nSELECT w.doc_id, w.h AS leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified "
+        f"FROM {last} w JOIN t{levels} s USING (g), u{group_levels} r"
+    )
+
+
+@query("op12_merkle_manifest", merkle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm import merkle
+
+    mark = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
+    found = merkle.manifest(documents(spark, sf_dir).select(*merkle.LEAF), tampered=mark)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP13_SQL = (
+    r"""WITH RECURSIVE p AS (SELECT conv_id, turn, coalesce(role, ' ') AS r0, coalesce(text, ' ') AS t0, """
+    + crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    + r""" % 20 AS c FROM conversations),
+m AS (SELECT conv_id, turn, CASE c WHEN 4 THEN 'user' ELSE r0 END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t0, '[.!?]', '', 'g') ELSE t0 END AS text,
+ unnest(range(CASE c WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last FROM m),
+f AS (SELECT *, left(role, 1) AS x, CASE WHEN last = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+ count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+ FROM (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair FROM f) GROUP BY conv_id),
+nxt AS (SELECT * FROM (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')) AS n0(p, q, role)),
+ins AS (SELECT p, p AS q, 0 AS c, '' AS a, '' AS l FROM nxt UNION ALL SELECT p, q, 2, 'I', chr(10) || role || ':' FROM nxt
+ UNION ALL SELECT x.p, y.q, 4, 'II', chr(10) || x.role || ':' || chr(10) || y.role || ':' FROM nxt x JOIN nxt y ON x.q = y.p),
+best AS (
+ SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS q, {'c': CAST(0 AS BIGINT), 'a': '', 'l': ''} AS w FROM (SELECT DISTINCT conv_id FROM conversations)
+ UNION ALL
+ SELECT conv_id, i, q, min(w) AS w FROM (
+  SELECT b.conv_id, f.i, mv.q, {'c': CAST(b.w.c + ins.c + mv.c + CASE WHEN f.fault = 't' AND mv.a <> 'D' THEN 1 ELSE 0 END AS BIGINT), 'a': b.w.a || ins.a || mv.a,
+   'l': b.w.l || ins.l || CASE mv.a WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || mv.role || ':' || f.text ELSE chr(10) || f.role || ':' || f.text END} AS w
+  FROM best b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1 JOIN ins ON ins.p = b.q
+  JOIN (SELECT p, p AS q, 3 AS c, 'D' AS a, '' AS role, '' AS x FROM nxt UNION ALL SELECT p, q, 2, 'R', role, '' FROM nxt UNION ALL SELECT p, q, 0, 'K', '', q FROM nxt UNION ALL SELECT '', 's', 0, 'K', '', 's') mv
+   ON mv.p = ins.q AND (mv.a = 'D' OR f.fault NOT IN ('b', 'd')) AND (mv.a <> 'K' OR mv.x = f.x)) GROUP BY conv_id, i, q),
+z AS (SELECT b.conv_id, min({'c': b.w.c + ins.c, 'a': b.w.a || ins.a, 'l': b.w.l || ins.l}) AS w FROM best b LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id JOIN ins ON ins.p = b.q
+ WHERE b.i = coalesce(g.n, 0) AND ins.q IN ('', 'a') GROUP BY b.conv_id)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(z.w.c AS BIGINT) AS cost, z.w.a AS audit, sha256(substr(z.w.l, 2)) AS repaired_sha256 FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id"""
+)
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from petrichor.llm import conversations
+
+    return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
