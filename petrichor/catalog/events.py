@@ -292,6 +292,21 @@ def _(spark, sf):
     return rounded(climate.nearest_in_time(left, right, cube=PX, time="t", right_time="rt", values=["v"]), "v")
 
 
+_CAUSAL = """l AS (SELECT px, t, id FROM ev WHERE cube = 'click'), r AS (SELECT px, t AS rt, max(v) AS v FROM ev WHERE cube = 'view' GROUP BY ALL)"""
+
+
+@query(
+    "causal_time_join",
+    f"WITH {EV}, {_CAUSAL} SELECT l.id, l.px, l.t, CASE WHEN epoch_us(l.t) - epoch_us(rt) <= 259200000000 THEN rt END AS matched_time, {rnd('CASE WHEN epoch_us(l.t) - epoch_us(rt) <= 259200000000 THEN r.v END', 'v')} FROM l ASOF LEFT JOIN r ON l.px = r.px AND l.t >= r.rt",
+)
+def _(spark, sf):
+    """What was known at each click: the last view of the three days before it, never a later one."""
+    ev = V.event_obs(spark, sf)
+    left = ev.filter("cube = 'click'").select("id", "px", "t")
+    right = ev.filter("cube = 'view'").select("px", F.col("t").alias("rt"), "v")
+    return rounded(climate.nearest_in_time(left, right, cube=PX, time="t", right_time="rt", values=["v"], tolerance_days=3, direction="backward"), "v")
+
+
 # ---- radar limits ----------------------------------------------------------------------------------
 _LIMIT = "lim AS (SELECT quantile_cont(v, 0.995) AS m FROM evm WHERE mask_strict = 1)"
 

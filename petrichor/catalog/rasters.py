@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from petrichor.catalog import query, rnd, rounded
-from petrichor.catalog.sql import BANDS, CLEAN, IMG, INDEX, hash32
+from petrichor.catalog.sql import BANDS, CLEAN, IMG, INDEX, hash32, order_hash
 from petrichor.functions import indices
 from petrichor.operators import masks, metrics, quality, radar, scoring, tiles
 from petrichor.plans import views as V
@@ -305,6 +305,29 @@ def _(spark, sf):
     return tiles.choose_patch(_scored(spark, sf), cube=["cube"])
 
 
+_CHOSEN = """r AS (SELECT *, row_number() OVER (PARTITION BY cube ORDER BY accepted DESC, CASE WHEN accepted = 1 THEN attempt END, score DESC, target_valid DESC, attempt) AS o FROM scored WHERE target_valid > 0 AND cube % 3 <> 1),
+ ch AS (SELECT c.cube, attempt, top, lft, CASE WHEN r.cube IS NULL THEN 'resample' WHEN accepted = 1 THEN 'accepted' ELSE 'fallback' END AS how FROM (SELECT DISTINCT cube FROM scored) c LEFT JOIN (SELECT * FROM r WHERE o = 1) r USING (cube))"""
+
+
+@query(
+    "patch_retry",
+    f"""WITH {IMG}, {_SCORE}, {_CHOSEN}, ring AS (SELECT *, row_number() OVER (ORDER BY {order_hash(5, 'cube')}, cube) - 1 AS i, count(*) OVER () AS n FROM ch),
+ good AS (SELECT *, row_number() OVER (ORDER BY {order_hash(5, 'cube')}, cube) - 1 AS i, count(*) OVER () AS n FROM ch WHERE how <> 'resample'),
+ dr AS (SELECT cube, k, {hash32("'5'", "'cube'", 'cube', 'k')} % n AS i FROM ring, (SELECT unnest(range(1, 3)) AS k) WHERE how = 'resample'),
+ srv AS (SELECT d.cube, k, r.cube AS src, r.attempt, r.top, r.lft, r.how FROM dr d JOIN ring r ON r.i = d.i AND r.how <> 'resample'
+  UNION ALL SELECT q.cube, 3, g.cube, g.attempt, g.top, g.lft, g.how FROM ring q JOIN good g ON q.how = 'resample' AND g.i = {hash32("'5'", "'cube'", 'q.cube', "3")} % g.n),
+ ft AS (SELECT * FROM srv QUALIFY row_number() OVER (PARTITION BY cube ORDER BY k) = 1)
+ SELECT cube, cube AS from_cube, attempt, top, lft AS "left", how, 0 AS cube_attempt FROM good UNION ALL
+ SELECT q.cube, src, ft.attempt, ft.top, ft.lft, coalesce(ft.how, 'resample'), CAST(k AS INTEGER) FROM ring q LEFT JOIN ft USING (cube) WHERE q.how = 'resample'""",
+)
+def _(spark, sf):
+    """A third of the cubes has no valid target at all."""
+    scored = _scored(spark, sf)
+    empty = F.col("cube") % 3 == 1
+    scored = scored.withColumns({"target_valid": F.when(empty, 0).otherwise(F.col("target_valid")), "accepted": F.when(empty, 0).otherwise(F.col("accepted"))})
+    return tiles.retry_on_other_cubes(tiles.choose_patch(scored, cube=["cube"]), cube=["cube"], attempts=3, seed=5)
+
+
 @query(
     "random_vegetation_patches",
     f"""WITH {IMG}, {_CAND}, m AS (SELECT cube, y, x, CASE WHEN avg(v) > 0.005 THEN 1 ELSE 0 END AS is_veg FROM img GROUP BY 1, 2, 3), s AS (SELECT c.cube, attempt, top, lft, avg(is_veg) AS veg_share FROM cand c JOIN m ON c.cube = m.cube AND y >= top AND y < top + 4 AND x >= lft AND x < lft + 4 GROUP BY ALL),
@@ -323,7 +346,20 @@ def _(spark, sf):
     return tiles.patch_allocation(_first_layer(spark, sf), cube=["cube"], code="esa_lc", n_patches=20)
 
 
-@query("stratified_patches")
+@query(
+    "stratified_patches",
+    f"""WITH RECURSIVE {CLEAN}, {_LC}, l0 AS (SELECT cube, y, x, arg_min(esa_lc, t) AS esa_lc FROM lc GROUP BY 1, 2, 3),
+ c AS (SELECT cube, esa_lc, count(*) AS n_pixels, count(*) OVER (PARTITION BY cube) AS k, sum(count(*)) OVER (PARTITION BY cube) AS tot FROM l0 WHERE esa_lc IN ({_VEG}) GROUP BY 1, 2),
+ qu AS (SELECT cube, esa_lc, CAST(1 + CASE WHEN 20 - k > 0 THEN round_even(n_pixels / tot::DOUBLE * (20 - k), 0) ELSE 0 END AS BIGINT) AS quota FROM c),
+ co AS (SELECT cube, esa_lc, greatest(0, least(6, y - 1)) AS top, greatest(0, least(6, x - 1)) AS lft, min(md5(concat_ws('|', '0', y, x))) AS h FROM l0 WHERE esa_lc IN ({_VEG}) GROUP BY ALL),
+ od AS (SELECT co.*, quota, row_number() OVER (PARTITION BY cube ORDER BY esa_lc, h) AS i FROM co JOIN qu USING (cube, esa_lc)),
+ walk AS (SELECT cube, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(code INTEGER, top INTEGER, lft INTEGER)[]) AS got FROM (SELECT DISTINCT cube FROM od)
+ UNION ALL SELECT w.cube, od.i, CASE WHEN len(got) < 20 AND len(list_filter(got, lambda g: g.code = od.esa_lc)) < quota
+ AND len(list_filter(got, lambda g: greatest(0, 2 - abs(g.top - od.top)) * greatest(0, 2 - abs(g.lft - od.lft)) > 1)) = 0
+ THEN list_append(got, {{'code': CAST(od.esa_lc AS INTEGER), 'top': CAST(od.top AS INTEGER), 'lft': CAST(od.lft AS INTEGER)}}) ELSE got END FROM walk w JOIN od ON od.cube = w.cube AND od.i = w.i + 1),
+ fin AS (SELECT cube, arg_max(got, i) AS got FROM walk GROUP BY 1)
+ SELECT cube, got[n].code AS code, got[n].top AS top, got[n].lft AS "left", CAST(n AS INTEGER) AS patch_no FROM (SELECT cube, got, unnest(range(1, len(got) + 1)) AS n FROM fin)""",
+)
 def _(spark, sf):
     return tiles.stratified_patches(_first_layer(spark, sf), cube=["cube"], y="y", x="x", code="esa_lc", n_patches=20, patch=2, height=8, width=8, max_overlap=0.25)
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from petrichor.functions.scalar import BIN_DAYS, bin_end, clip, flag
+from petrichor.functions.scalar import BIN_DAYS, bin_end, clip, flag, fold_all
 from petrichor.operators.order_stats import ranked_percentiles
 
 
@@ -117,24 +117,42 @@ def reindex_exact(bins: DataFrame, series: DataFrame, *, cube: list[str], bin_co
 
 
 def nearest_in_time(
-    left: DataFrame, right: DataFrame, *, cube: list[str], time: str, right_time: str, values: list[str], tolerance_days: int = 1
+    left: DataFrame, right: DataFrame, *, cube: list[str], time: str, right_time: str, values: list[str], tolerance_days: int = 1, direction: str = "nearest"
 ) -> DataFrame:
-    """Nearest right row within the tolerance, the later one on a tie.
-
-    Only distinct left times are matched. The right side is copied to the days it can serve, which makes it
-    an equi-join on (cube, day) plus a filter; the result goes back to the rows on (cube, time).
+    """Left rows with ``matched_time`` and ``values`` of the nearest right row within the tolerance, the later one on a
+    tie; ``direction`` "backward" looks at right rows up to the left time only (a causal as-of join), "forward" at
+    those from it on.
+
+    Both sides are merged, not paired: one union, laid out by (cube, time range), in which a window carries the
+    last right row forward and another the next one back. A range is 16 tolerances long, so a hot cube is split
+    into many tasks, and only right rows within the tolerance of a border are copied to the neighbour. Of right rows
+    with the same time the one with the largest values counts. A NULL cube or time matches nothing.
     """
+    if direction not in ("nearest", "backward", "forward"):
+        raise ValueError(f"unknown direction {direction}")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    steps = left.select(*cube, time).distinct().withColumn("_day", F.to_date(time))
-    reach = F.sequence(F.lit(-tolerance_days), F.lit(tolerance_days))
-    served = right.select(*cube, F.col(right_time).alias("_rt"), *values).withColumn("_off", F.explode(reach))
-    served = served.withColumn("_day", F.date_add(F.to_date("_rt"), F.col("_off"))).drop("_off")
-    gap = F.abs(micros(time) - micros("_rt"))
-    pairs = steps.join(served, [*cube, "_day"]).filter(gap <= tolerance_days * 86_400_000_000)
-    best = pairs.groupBy(*cube, time).agg(
-        F.min_by(F.struct(F.col("_rt").alias("matched_time"), *values), F.struct(gap, -micros("_rt"))).alias("_m")
-    )
-    return left.join(best.select(*cube, time, "_m.*"), [*cube, time], "left")
+    reach = tolerance_days * 86_400_000_000
+    span = max(16 * reach, 86_400_000_000)
+    piece = lambda t: F.floor(t / F.lit(span)).cast("long")
+    found = F.struct(F.col(right_time).alias("matched_time"), *values)
+    kept = F.struct(*[F.col(c) for c in left.columns])
+    spread = -(1 << 40) - F.pmod(F.xxhash64("_l"), F.lit(1 << 20))  # rows without a time have no range
+    a = left.select(*cube, micros(time).alias("_t"), F.lit(1).alias("_side"), kept.alias("_l"))
+    a = a.withColumn("_piece", F.coalesce(piece(F.col("_t")), spread))
+    b = right.filter(fold_all([F.col(c).isNotNull() for c in [*cube, right_time]])).select(*cube, micros(right_time).alias("_t"), F.lit(0).alias("_side"), found.alias("_r"))
+    b = b.withColumn("_piece", F.explode(F.sequence(piece(F.col("_t") - reach), piece(F.col("_t") + reach))))
+    both = a.unionByName(b, allowMissingColumns=True)
+    line = Window.partitionBy(*cube, "_piece")
+    carried = lambda *order: F.last("_r", ignorenulls=True).over(line.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_p", carried(F.col("_t").asc(), "_side", "_r")).withColumn("_n", carried(F.col("_t").desc(), "_side", "_r"))
+    rows = both.filter("_side = 1")
+    gap = lambda c: F.abs(F.col("_t") - F.unix_micros(F.col(f"{c}.matched_time").cast("timestamp")))
+    near = {c: F.when(gap(c) <= reach, F.col(c)) for c in ("_p", "_n")}
+    if direction == "nearest":
+        pick = F.when(near["_p"].isNull() | (gap("_n") <= gap("_p")), near["_n"]).otherwise(near["_p"])
+    else:
+        pick = near["_p"] if direction == "backward" else near["_n"]
+    return rows.select("_l.*", pick.alias("_m")).select(*[F.col(f"`{c}`") for c in left.columns], "_m.*")
 
 
 # ---- scaling and attachment ------------------------------------------------------------------------

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions.scalar import flag, n_rows, reasons
-from petrichor.operators.order_stats import numbered
-
+from petrichor.operators.order_stats import numbered, ranked_in_order
 
 
 def train_test(df: DataFrame, *, unique: str, test_share: float = 0.15, seed: int = 42) -> DataFrame:
@@ -76,28 +72,53 @@ def spacetime_folds(
     return out.withColumn("subset", role).drop("_k", *[f"_f_{c}" for c in units])
 
 
+def _turns(loads: list[int], size: int) -> list[tuple[int, list[int]]]:
+    """Who gets which of any number of groups of one size, each going to the lightest fold: (first group, folds that
+    take turns from there on).
+
+    Fold f's j-th group makes its load ``loads[f] + j * size`` before, so the groups take these numbers in ascending
+    order, ties by fold. Counted in whole sizes, a fold takes part from the level ``loads[f] // size`` on, and inside
+    a level the remainder and then the index decide: water filling with one step per fold that joins in.
+    """
+    level, rest = [n // size for n in loads], [n % size for n in loads]
+    out = []
+    for at in sorted(set(level)):
+        joined = sorted((f for f in range(len(loads)) if level[f] <= at), key=lambda f: (rest[f], f))
+        out.append((sum(at - level[f] for f in joined), joined))
+    return out
+
+
+def _filled(loads: list[int], size: int, groups: int, turns: list[tuple[int, list[int]]]) -> list[int]:
+    loads = list(loads)
+    for i, (first, joined) in enumerate(turns):
+        upto = min(groups, turns[i + 1][0]) if i + 1 < len(turns) else groups
+        whole, more = divmod(max(0, upto - first), len(joined))
+        for place, f in enumerate(joined):
+            loads[f] += size * (whole + (place < more))
+    return loads
+
+
 def balanced_group_folds(df: DataFrame, *, group: list[str], k: int) -> DataFrame:
-    """Group k-fold: groups by descending size, each to the lightest fold (lowest index on a tie).
+    """Group k-fold: groups by descending size, each to the lightest fold (lowest index on a tie); groups of one size
+    go by their label.
 
-    The rule is sequential, but only over the table of group sizes: that table is sorted and streamed once
-    with k running loads as state. The rows themselves only join the outcome.
+    Only the distinct sizes are sequential. There are at most sqrt(2 * rows) of them, as their sum can't exceed the
+    rows; they come to the driver as (size, number of groups), and for each the folds' turns follow in closed form.
+    A group finds its fold from its number among the groups of its size, which are spread over tasks.
     """
     label = F.concat_ws("_", *[F.col(c).cast("string") for c in group])
     tagged = df.withColumn("cv_group", label)
-    sizes = tagged.groupBy("cv_group").agg(n_rows().alias("n"))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loads = [0] * k
-        for pdf in batches:
-            chosen = []
-            for n in pdf["n"]:
-                fold = loads.index(min(loads))
-                loads[fold] += int(n)
-                chosen.append(fold)
-            yield pd.DataFrame({"cv_group": pdf["cv_group"], "fold": chosen})
-
-    ordered = sizes.repartition(1).sortWithinPartitions(F.desc("n"), "cv_group")
-    return tagged.join(ordered.mapInPandas(deal, "cv_group string, fold int"), "cv_group")
+    sizes = ranked_in_order(tagged.groupBy("cv_group").agg(n_rows().alias("_n")), ["_n"], ["cv_group"], out="_i")
+    loads, turns = [0] * k, []
+    for n, groups in sorted(map(tuple, sizes.groupBy("_n").agg(n_rows()).collect()), reverse=True):
+        own = _turns(loads, n)
+        turns.append((n, own))
+        loads = _filled(loads, n, groups, own)
+    plan = df.sparkSession.createDataFrame(turns, "_n bigint, _turns array<struct<first: bigint, folds: array<int>>>")
+    now = F.element_at(F.filter("_turns", lambda t: t["first"] <= F.col("_i")), -1)
+    dealt = sizes.join(plan, "_n").withColumn("_now", now)
+    place = F.pmod(F.col("_i") - F.col("_now.first"), F.size("_now.folds")).cast("int")
+    return tagged.join(dealt.select("cv_group", F.get("_now.folds", place).alias("fold")), "cv_group")
 
 
 def _roles(df: DataFrame, chosen_space: DataFrame, chosen_time: DataFrame, *, space: str, time: str, by: list[str]) -> DataFrame:

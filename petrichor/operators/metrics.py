@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions import labels as L
 from petrichor.functions.scalar import count_true, direction, flag, n_rows, null_if_nan, reasons, rows_signature, safe_ratio
+from petrichor.operators.tiles import with_halo
 
 TINY = 1e-12
 
@@ -343,18 +344,22 @@ def with_deltas(df: DataFrame, *, cube: list[str], pixel: list[str], step: str =
 
 def gradient_errors(
     df: DataFrame, *, cube: list[str], y: str = "y", x: str = "x", step: str = "step",
-    alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0, keys: list[str] = (),
+    alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0, keys: list[str] = (), block: int = 256,
 ) -> DataFrame:
     """Value, temporal-delta and spatial-gradient errors (L1) and their weighted sum.
 
-    The delta rows are laid out by image once; both neighbour windows refine that partitioning.
+    The delta rows are laid out once by blocks of an image, each with the first row and column of the next blocks; both
+    neighbour windows refine that partitioning, so no task holds an image, and ``block`` doesn't change the
+    result. A pixel whose neighbour is missing has no gradient there, and its mask does not count either.
     """
-    d = with_deltas(df, cube=cube, pixel=[y, x], step=step).repartition(*cube, step)
-    wx, wy = Window.partitionBy(*cube, step, y).orderBy(x), Window.partitionBy(*cube, step, x).orderBy(y)
-    for name, w in (("x", wx), ("y", wy)):
-        d = d.withColumn(f"_g{name}", F.abs((F.lead("d_pred").over(w) - F.col("d_pred")) - (F.lead("d_true").over(w) - F.col("d_true"))))
-        # the last pixel of a line has no gradient and its mask does not count either
-        d = d.withColumn(f"_m{name}", F.when(F.lead(F.lit(1)).over(w).isNotNull(), F.col("mask_delta").cast("double")))
+    d = with_deltas(df, cube=cube, pixel=[y, x], step=step)
+    d = with_halo(d, y=y, x=x, block=block, before=0, after=1).repartition(*cube, step, "_by", "_bx")
+    for name, line, along in (("x", y, x), ("y", x, y)):
+        w = Window.partitionBy(*cube, step, "_by", "_bx", line).orderBy(along)
+        next_ = F.lead(along).over(w) == F.col(along) + 1
+        gap = F.abs((F.lead("d_pred").over(w) - F.col("d_pred")) - (F.lead("d_true").over(w) - F.col("d_true")))
+        d = d.withColumns({f"_g{name}": F.when(next_, gap), f"_m{name}": F.when(next_, F.col("mask_delta").cast("double"))})
+    d = d.filter("_own")
     err = F.abs(F.col("pred").cast("double") - F.col("true").cast("double"))
     out = d.groupBy(*keys).agg(
         _masked_ratio(err, F.col("mask").cast("double")).alias("value_error"),

@@ -5,6 +5,7 @@ group in one task. Both are right for small groups. Here a group may hold a thir
 
 * percentiles of hot groups take two steps: a mergeable sketch gives a narrow value bracket around the
   wanted rank, then rows below the bracket are counted and only rows inside it are ranked;
+* groups are routed by their counted rows;
 * row numbers are the sum of an offset (rows of the group in earlier hash buckets, a plain count) and
   the rank inside one hash bucket.
 """
@@ -14,8 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions.scalar import as_text, fold_all, hash_text
+from petrichor.session import stored
 
 ALL = "_all"
+#: Rows of one group that a task may sort.
+TASK_ROWS = 2_000_000
 
 
 def _join_keys(
@@ -134,18 +138,15 @@ def group_percentiles(
     values: list[str],
     probs: list[float],
     extra: list[Column] = (),
-    hot_rows: int = 2_000_000,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Exact percentiles per group: keys + ``<value>_p<i>`` (+ ``extra`` aggregates, any mergeable ones).
 
-    Groups around or above ``hot_rows`` rows take the two-step ranking, all others one shuffle. Hot groups are
-    found from a content-hashed thousandth of a hot group's rows: a pure function of the data, hence the same
-    on every re-execution, and both ways are exact, so the estimate only steers the work.
+    The rows of every group are counted, which combines before the shuffle: groups of more than ``task_rows`` rows
+    take the two-step ranking, all others one shuffle. Both ways are exact; the counts only route the rows.
     """
-    rate = max(1, hot_rows // 1000)
-    content = F.xxhash64(*[F.col(c) for c in df.columns])
-    picked = df.filter(F.pmod(content, F.lit(rate)) == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = picked.filter(F.col("_n") * rate > hot_rows).drop("_n")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > task_rows).drop("_n")
     cold_rows = _join_keys(df, hot, keys, "left_anti")
     cold = sorted_percentiles(cold_rows, keys, values, probs, list(extra))
     hot_rows_df = _join_keys(df, hot, keys, "left_semi")
@@ -204,6 +205,24 @@ def numbered(
     return placed.drop("_h", "_b", "_off", "_g")
 
 
+def ranked_in_order(df: DataFrame, keys: list[str], order: list[str], *, out: str = "rank", size: str | None = None) -> DataFrame:
+    """0-based row number per group in the order of ``order`` (NULL first), for groups of any size.
+
+    Rows are dealt to tasks by range of (keys, order) and stored once. A rank is the number of the group's rows in
+    earlier tasks plus the place in the task; only counts per (group, task) are added up. Rows that agree in
+    ``order`` are numbered in some order of their own. ``size`` adds the group's row count.
+    """
+    by = [*keys, *order]
+    rows = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranked")
+    rows = rows.withColumn("_g", F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0))  # a struct: NULL keys compare equal
+    counts = rows.groupBy("_g", "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    group = Window.partitionBy("_g")
+    earlier = F.coalesce(F.sum("_n").over(group.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_g", "_task", "_first", earlier.alias("_earlier"), *([F.sum("_n").over(group).alias(size)] if size else []))
+    placed = rows.join(offsets, ["_g", "_task"]).withColumn(out, F.col("_earlier") + F.col("_at") - F.col("_first"))
+    return placed.drop("_g", "_task", "_at", "_first", "_earlier")
+
+
 def rank_table(df: DataFrame, value: str, *, keys: list[str] = ()) -> DataFrame:
     """(keys, value, lower, count, n, avg_rank) per distinct value of a column of any size.
 

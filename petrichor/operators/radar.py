@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from petrichor.functions import labels as L
 from petrichor.functions.scalar import clip, flag
 from petrichor.operators.order_stats import ranked_percentiles
+from petrichor.operators.tiles import with_halo
 
 
 def clip_values(df: DataFrame, *, bands: list[str], veg: str = "is_veg", prob: float = 0.995) -> DataFrame:
@@ -38,29 +39,32 @@ def to_unit_decibel(df: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def lee_filter(
-    df: DataFrame, *, image: list[str], y: str, x: str, value: str, size: int = 7, cu: float = 0.25
+    df: DataFrame, *, image: list[str], y: str, x: str, value: str, size: int = 7, cu: float = 0.25, block: int = 256
 ) -> DataFrame:
     """Speckle filter over a ``size`` x ``size`` box of every image (one cube and time).
 
-    Box sums are separable: along rows, then along columns. Both windows refine the ``image`` partitioning,
-    so the data moves once. Images must be dense in (y, x), missing pixels as NULL rows (``grid_check``).
+    An image of any size is cut into blocks of ``block`` x ``block`` pixels, with the pixels up to half a box around a
+    block copied to it, so that a task holds a block and never an image. Box sums are separable: along rows,
+    then along columns, and both windows refine the block partitioning, so the data moves once. The
+    result doesn't depend on the block size. Missing pixels are NULL rows or no rows.
     """
     half = size // 2
     v = F.col(value).cast("double")
-    base = df.repartition(*image).withColumns({"_s": F.coalesce(v, F.lit(0.0)), "_k": v.isNotNull().cast("int")})
+    base = with_halo(df, y=y, x=x, block=block, before=half, after=half).repartition(*image, "_by", "_bx")
+    base = base.withColumns({"_s": F.coalesce(v, F.lit(0.0)), "_k": v.isNotNull().cast("int")})
     base = base.withColumn("_q", F.col("_s") * F.col("_s"))
-    along_x = Window.partitionBy(*image, y).orderBy(x).rangeBetween(-half, half)
-    along_y = Window.partitionBy(*image, x).orderBy(y).rangeBetween(-half, half)
+    along_x = Window.partitionBy(*image, "_by", "_bx", y).orderBy(x).rangeBetween(-half, half)
+    along_y = Window.partitionBy(*image, "_by", "_bx", x).orderBy(y).rangeBetween(-half, half)
     for w in (along_x, along_y):
         base = base.withColumns({c: F.sum(c).over(w) for c in ("_s", "_q", "_k")})
     n = F.greatest(F.col("_k").cast("double"), F.lit(1e-9))
-    stats = base.withColumns({"_m": F.col("_s") / n, "_q": F.col("_q") / n})
+    stats = base.filter("_own").withColumns({"_m": F.col("_s") / n, "_q": F.col("_q") / n})
     stats = stats.withColumn("_var", F.greatest(F.lit(0.0), F.col("_q") - F.col("_m") * F.col("_m")))
     noise = (cu * F.col("_m")) * (cu * F.col("_m"))
     weight = clip(F.col("_var") / (F.col("_var") + noise + 1e-9), 0.0, 1.0)
     weight = F.when(F.col("_var") < noise, 0.0).otherwise(weight)
     smooth = F.when(F.col(value).isNotNull(), F.col("_m") + weight * (v - F.col("_m")))
-    return stats.withColumn(f"{value}_lee", smooth).drop("_s", "_k", "_q", "_m", "_var")
+    return stats.withColumn(f"{value}_lee", smooth).drop("_s", "_k", "_q", "_m", "_var", "_own", "_by", "_bx")
 
 
 def grid_check(df: DataFrame, *, image: list[str], y: str, x: str) -> DataFrame:

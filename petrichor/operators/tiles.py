@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from petrichor.functions import labels as L
-from petrichor.functions.scalar import draw, flag, hash_text
+from petrichor.functions.scalar import draw, flag, fold_all, hash_text
 from petrichor.operators.order_stats import numbered
+from petrichor.session import stored
 
 
 # ---- grid ------------------------------------------------------------------------------------------
@@ -59,6 +60,14 @@ def rotate(df: DataFrame, *, patch: int, turns: int | Column, row: str = "row",
     return df.withColumns({row: new_row, col: new_col})
 
 
+def with_halo(df: DataFrame, *, y: str, x: str, block: int, before: int, after: int) -> DataFrame:
+    """Pixels laid out by blocks of ``block`` x ``block``: one row per block that needs the pixel, its own (``_own``) and
+    those it lies up to ``before`` pixels in front of or ``after`` pixels behind. Adds _by, _bx, _own."""
+    needed = lambda c: F.explode(F.sequence(F.floor((F.col(c) - after) / F.lit(block)), F.floor((F.col(c) + before) / F.lit(block))))
+    out = df.withColumn("_by", needed(y)).withColumn("_bx", needed(x))
+    return out.withColumn("_own", (F.col("_by") == F.floor(F.col(y) / F.lit(block))) & (F.col("_bx") == F.floor(F.col(x) / F.lit(block))))
+
+
 # ---- stitching -------------------------------------------------------------------------------------
 def stitch(tiles: DataFrame, *, cube: list[str], step: str = "step", y: str = "y", x: str = "x", extra: list[str] = ()) -> DataFrame:
     """Mean of overlapping predictions; the last tile wins for everything else. ``coverage`` counts tiles."""
@@ -152,6 +161,34 @@ def choose_patch(scored: DataFrame, *, cube: list[str]) -> DataFrame:
     return out.select(*cube, pick["attempt"].alias("attempt"), pick["top"].alias("top"), pick["left"].alias("left"), how.alias("how"))
 
 
+def retry_on_other_cubes(chosen: DataFrame, *, cube: list[str], attempts: int = 8, seed: int = 0) -> DataFrame:
+    """``choose_patch`` with the 'resample' cubes served from other cubes: adds from_<cube> and ``cube_attempt``, 0 for a
+    patch of the cube itself.
+
+    Such a cube draws ``attempts`` - 1 cubes by hash, itself possibly among them, and takes the patch of the first one
+    that has any. If none of them has one, a last draw goes to the cubes that do, so 'resample' is left only
+    where no cube at all has a usable patch. Everything is one plan: the draws are numbers of cubes in hash order,
+    and they are spread evenly over the cubes.
+    """
+    ring = numbered(chosen, [], cube, seed, out="_i", size="_n")
+    patch = F.struct(*[F.col(c).alias(f"from_{c}") for c in cube], "attempt", "top", "left", "how").alias("_p")
+    usable = ring.filter(F.col("how") != "resample")
+    ids = [F.col(c) for c in cube]
+    wanting = ring.filter(F.col("how") == "resample").select(*cube, "_n")
+    draws = wanting.withColumn("cube_attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts - 1)))) if attempts > 1 else wanting.withColumn("cube_attempt", F.lit(1)).limit(0)
+    draws = draws.withColumn("_i", draw(F.col("_n"), seed, "cube", *ids, F.col("cube_attempt")))
+    last = numbered(usable.drop("_i", "_n"), [], cube, seed, out="_i", size="_n")
+    count = last.agg(F.max("_n").alias("n")).select("n").scalar()
+    final = wanting.select(*cube, F.lit(attempts).alias("cube_attempt"), draw(count, seed, "cube", *ids, F.lit(attempts)).alias("_i"))
+    named = lambda df: df.select("_i", patch)
+    served = draws.drop("_n").join(named(usable), "_i").unionByName(final.join(named(last), "_i"))
+    first = served.groupBy(*cube).agg(F.min_by(F.struct("_p", "cube_attempt"), "cube_attempt").alias("_s"))
+    own = usable.select(*cube, patch, F.lit(0).alias("cube_attempt"))
+    other = wanting.select(*cube).join(first, cube, "left").select(*cube, F.col("_s._p").alias("_p"), F.col("_s.cube_attempt").alias("cube_attempt"))
+    out = own.unionByName(other).select(*cube, "_p.*", "cube_attempt")
+    return out.withColumn("how", F.coalesce("how", F.lit("resample")))
+
+
 def random_vegetation_patches(candidates: DataFrame, veg_pixels: DataFrame, *, cube: list[str], patch: int, min_share: float = 0.7, n: int = 20, y: str = "y", x: str = "x", veg: str = "is_veg") -> DataFrame:
     """First ``n`` attempts per cube whose vegetation share reaches ``min_share``."""
     hits = _inside_candidates(veg_pixels, candidates, cube=cube, patch=patch, y=y, x=x)
@@ -169,6 +206,32 @@ def patch_allocation(df: DataFrame, *, cube: list[str], code: str, n_patches: in
     return counts.withColumn("n_patches", (1 + extra).cast("bigint"))
 
 
+def _shared_area(patch: int, a: str, b: str) -> Column:
+    side = lambda c: F.greatest(F.lit(0), patch - F.abs(F.col(f"{a}_{c}") - F.col(f"{b}_{c}")))
+    return side("top") * side("left")
+
+
+def _around(df: DataFrame, size: int) -> DataFrame:
+    """A row per neighbouring bucket, its own included."""
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    out = df.withColumn("_by", F.explode(F.transform(step, lambda i: F.floor(F.col("top") / F.lit(size)) + i)))
+    return out.withColumn("_bx", F.explode(F.transform(step, lambda i: F.floor(F.col("left") / F.lit(size)) + i)))
+
+
+def _free_of(pool: DataFrame, picks: DataFrame, *, cube: list[str], size: int, patch: int, allowed: float | None) -> DataFrame:
+    """Corners that clash with none of the picks, as a pick does with itself. A clash reaches no further than the next
+    bucket. If whole patches may overlap, only the same corner clashes."""
+    own = pool.withColumns({"_by": F.floor(F.col("top") / F.lit(size)), "_bx": F.floor(F.col("left") / F.lit(size)), "_a_top": F.col("top"), "_a_left": F.col("left")})
+    near = _around(picks.select(*cube, "top", "left"), size).withColumnsRenamed({"top": "_b_top", "left": "_b_left"})
+    if allowed is None or allowed >= patch * patch:
+        clash = (F.col("_a_top") == F.col("_b_top")) & (F.col("_a_left") == F.col("_b_left"))
+    else:
+        clash = _shared_area(patch, "_a", "_b") > allowed
+    near = near.select(*[F.col(c).alias(f"_c_{c}") for c in cube], F.col("_by").alias("_c_by"), F.col("_bx").alias("_c_bx"), "_b_top", "_b_left")
+    same = fold_all([F.col(c) == F.col(f"_c_{c}") for c in cube] + [F.col("_by") == F.col("_c_by"), F.col("_bx") == F.col("_c_bx")])
+    return own.join(near, same & clash, "left_anti").select(*pool.columns)
+
+
 def stratified_patches(
     df: DataFrame, *, cube: list[str], y: str, x: str, code: str, n_patches: int, patch: int, height: int, width: int,
     max_overlap: float | None = 0.05, seed: int = 0,
@@ -176,40 +239,54 @@ def stratified_patches(
     """Centres drawn per class in hash order, clamped to the cube, greedily kept when they overlap earlier
     ones by at most ``max_overlap`` (``None``: merely distinct corners).
 
-    Whether a corner fits depends on all corners chosen before, so a cube is walked in order by one task.
-    To bound that task, a corner is first reduced to its earliest pixel in (class, hash) order — later
-    pixels with the same corner can never be taken — which leaves at most one row per corner and class.
+    The greedy walk is done in rounds of picks that can't clash. Corners lie in buckets as wide as a clash reaches; one
+    that comes before all others in its own and the eight buckets around it is what the walk would take, whatever
+    else it takes. Each round takes all of these in all cubes, then drops the corners they clash with and those
+    that come after the class's quota of picks. So a class needs few rounds, a cube is spread over as many tasks
+    as it has buckets, and the result is that of the walk. Classes follow one another. Rounds are stored, and
+    the driver sees counts only.
     """
-    quota = patch_allocation(df, cube=cube, code=code, n_patches=n_patches)
+    quota = patch_allocation(df, cube=cube, code=code, n_patches=n_patches).select(*cube, F.col(code).alias("code"), F.col("n_patches").alias("quota"))
     clamp = lambda c, size: F.greatest(F.lit(0), F.least(F.lit(size - patch), F.col(c) - patch // 2)).cast("int")
     corners = df.filter(F.col(code).isin(L.VEGETATION_CODES)).select(
         *cube, F.col(code).alias("code"), clamp(y, height).alias("top"), clamp(x, width).alias("left"), hash_text(seed, F.col(y), F.col(x)).alias("h")
     ).groupBy(*cube, "code", "top", "left").agg(F.min("h").alias("h"))
-    rows = corners.join(quota.select(*cube, F.col(code).alias("code"), F.col("n_patches").alias("quota")), [*cube, "code"])
+    corners, quota = stored(corners, "corners"), stored(quota, "quotas")
     allowed = patch * patch * max_overlap if max_overlap is not None else None
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["code", "h"], kind="stable")
-        chosen: list[tuple[int, int]] = []
-        out, taken = [], {}
-        for code_, quota_, top, left in zip(pdf["code"], pdf["quota"], pdf["top"], pdf["left"]):
-            if len(chosen) >= n_patches:
+    size = patch if max_overlap is not None else 1
+    clashes = dict(cube=cube, size=size, patch=patch, allowed=allowed)
+    order = Window.partitionBy(*cube).orderBy("h", "top", "left")
+    done: list[DataFrame] = []
+    for kind in (r.code for r in quota.select("code").distinct().orderBy("code").collect()):  # the vegetation classes met
+        left = quota.filter(F.col("code") == kind)
+        pool = corners.filter(F.col("code") == kind)
+        if done:
+            chosen = reduce(DataFrame.unionByName, done)
+            pool = _free_of(pool, chosen, **clashes)
+            left = left.join(chosen.groupBy(*cube).agg(F.count(F.lit(1)).alias("_t")), cube, "left")
+            left = left.withColumn("quota", F.least("quota", n_patches - F.coalesce("_t", F.lit(0))))
+        state = pool.join(left.filter("quota > 0").select(*cube, F.least("quota", F.lit(n_patches)).alias("_q")), cube).withColumn("_picked", F.lit(False))
+        while True:
+            state = stored(_round(state, order, cube=cube, clashes=clashes), "patch-round")
+            if not state.filter("NOT _picked").limit(1).count():
                 break
-            if taken.get(code_, 0) >= quota_:
-                continue
-            if allowed is None:
-                clash = (top, left) in chosen
-            else:
-                clash = any(max(0, patch - abs(top - a)) * max(0, patch - abs(left - b)) > allowed for a, b in chosen)
-            if not clash:
-                chosen.append((top, left))
-                taken[code_] = taken.get(code_, 0) + 1
-                out.append((*key, int(code_), int(top), int(left), len(chosen)))
-        return pd.DataFrame(out, columns=[*cube, "code", "top", "left", "patch_no"])
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in cube) + ", code int, top int, left int, patch_no int"
-    return rows.groupBy(*cube).applyInPandas(walk, schema)
+        done.append(state.filter("_picked").select(*cube, "code", "top", "left", "h"))
+    if not done:
+        return corners.limit(0).select(*cube, "code", "top", "left", F.lit(0).alias("patch_no"))
+    number = F.row_number().over(Window.partitionBy(*cube).orderBy("code", "h")).cast("int")
+    return reduce(DataFrame.unionByName, done).select(*cube, F.col("code").cast("int").alias("code"), "top", "left", number.alias("patch_no"))
+
+
+def _round(state: DataFrame, order: WindowSpec, *, cube: list[str], clashes: dict) -> DataFrame:
+    """The corners of one class after one more round: picked ones, and those that may still be picked."""
+    size, pool = clashes["size"], state.filter("NOT _picked")
+    first = _around(pool, size).groupBy(*cube, "_by", "_bx").agg(F.min(F.struct("h", "top", "left", "code", "_q")).alias("_m"))
+    own = (F.floor(F.col("_m.top") / F.lit(size)) == F.col("_by")) & (F.floor(F.col("_m.left") / F.lit(size)) == F.col("_bx"))
+    new = first.filter(own).select(*cube, "_m.*").withColumn("_picked", F.lit(True))
+    picks = state.filter("_picked").unionByName(new).withColumn("_o", F.row_number().over(order)).filter("_o <= _q").drop("_o")
+    full = picks.groupBy(*cube).agg(F.count(F.lit(1)).alias("_n"), F.max("h").alias("_h"), F.max("_q").alias("_all")).filter("_n = _all").select(*cube, "_h")
+    rest = _free_of(pool, picks, **clashes).join(full, cube, "left").filter(F.col("_h").isNull() | (F.col("h") < F.col("_h"))).drop("_h")
+    return picks.unionByName(rest.select(*picks.columns))
 
 
 # ---- channels --------------------------------------------------------------------------------------

@@ -42,8 +42,9 @@ def spread(df: DataFrame, rows: int = 64) -> DataFrame:
     return df.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the one that driver and executors share (``spark.checkpoint.dir``).
+def scratch_root(spark: SparkSession) -> str:
+    """The folder below which this application's intermediate tables lie: one per run, below the folder that driver
+    and executors share (``spark.checkpoint.dir``).
 
     Only a local session without that setting gets a temporary folder of its own.
     """
@@ -53,4 +54,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/petrichor-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the run's root."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Drop all intermediate tables of this application; for the caller, once its results are written elsewhere."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """The table as Parquet in the shared folder, read again: lineage ends here, and its files outlive any executor."""
+    path = shared_folder(df.sparkSession, name)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

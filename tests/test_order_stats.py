@@ -47,7 +47,7 @@ def test_global_percentiles(skewed):
 @pytest.mark.parametrize("hot", [100, 1500, 10**9])
 def test_group_percentiles_hot_and_cold_agree(skewed, hot):
     pdf, df = skewed
-    got = group_percentiles(df, ["g"], ["v"], [0.5], [F.count(F.lit(1)).alias("n")], hot_rows=hot).collect()
+    got = group_percentiles(df, ["g"], ["v"], [0.5], [F.count(F.lit(1)).alias("n")], task_rows=hot).collect()
     want = expected(pdf, [0.5])
     assert sorted(r.g or "none" for r in got) == sorted(want)
     for r in got:
