@@ -6,9 +6,10 @@ becomes a link only after a comparison of the full shingle sets.
 
 Documents with equal sets are one class from the start. In a bucket every class is compared with the bucket's
 smallest one only, and the links found make components. Where a bucket still holds several, its classes are also
-compared with one of the largest other component. What is then left from different components is compared
-pairwise, but only where the triangle inequality of the Jaccard distance, with both pivots, leaves room for a
-link. So thousands of copies cost a few comparisons each, and no link that could join two components is left out.
+compared with one of the largest other component. The classes of buckets that are still mixed get a second circulant
+signature with longer bands, which texts well below the threshold hardly ever share; there, too, only pairs whose
+signatures agree nearly as often as a link's do become rows, and these are compared exactly. So thousands of copies
+cost a few comparisons each. Links that are missed are those that miss the bands, with the probabilities below.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from petrichor.llm.common import small_or_not, written
+from petrichor.llm.common import join_groups, small_or_not, written
 from petrichor.llm.shingles import shingle_sets, slices, small_batches
 
 #: 64 bands of 8: a pair at similarity 0.8 misses all of them with probability (1 - 0.8^8)^64, about 8e-6, and one at 0.5,
 #: as texts around a common passage are, meets in one with probability 0.2.
 BANDS, ROWS = 64, 8
+#: The second, longer banding: a pair at 0.8 misses all bands with probability (1 - 0.8^16)^300, about 2e-4; one at 0.6 meets
+#: in one with probability 0.08, against 0.66 in the first. Only classes of buckets that stay mixed get it.
+LONG_BANDS, LONG_ROWS = 300, 16
+#: Coordinates of which 4 bits are compared inside the join.
+PIECES = 512
 
 
 def _second_permutation(x: np.ndarray, spare: np.ndarray) -> None:
@@ -151,6 +157,51 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(keys, "key", "left_semi")
 
 
+def _long_signatures(sets: DataFrame) -> DataFrame:
+    """(rep, pieces, bands) of sets (doc_id, shingles): 512 coordinates at 4 bits each, and the keys of the long bands."""
+    schema = pa.schema([("rep", pa.int64()), ("pieces", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                all_ = circulant_signatures([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")], LONG_BANDS * LONG_ROWS)
+                nibbles = (all_[:, :PIECES] >> np.uint32(28)).astype(np.uint8)
+                pieces = np.ascontiguousarray(nibbles[:, 0::2] << 4 | nibbles[:, 1::2]).view(np.int64)
+                columns = [part.column("doc_id"), pa.array(list(pieces), pa.list_(pa.int64())), pa.array(list(_band_keys(all_, LONG_BANDS, LONG_ROWS)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return sets.select("doc_id", "shingles").mapInArrow(sign, "rep bigint, pieces array<bigint>, bands array<bigint>")
+
+
+def _long_pairs(far: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members (rep, component, n, pieces, bands) of different components that share a long band and whose
+    pieces agree as often as a link's would, less four standard errors.
+
+    One side of a pair lies outside its bucket's largest component, so that the many members of one component aren't
+    held against each other; the agreement is part of the join's condition, so a hopeless pair never is a row.
+    """
+    met = written(far.select("rep", "component", F.explode("bands").alias("key")), "long-buckets")
+    parts = met.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    met = written(met.join(main.select("key", "main"), "key").join(far.select("rep", "n", "pieces"), "rep"), "long-members")
+    side = lambda s, df: df.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("rep", "component", "n", "pieces")])
+    x, y = side("x", met), side("y", met.filter("component <> main")).withColumnRenamed("key", "y_key")
+    agree = (1 + 15 * percent / 100) / 16
+    most = PIECES * (1 - agree) + 4 * (PIECES * agree * (1 - agree)) ** 0.5
+    differing = F.lit(0)
+    for i in range(PIECES // 16):
+        bits = F.col("x_pieces")[i].bitwiseXOR(F.col("y_pieces")[i])
+        any_ = bits
+        for shift in (1, 2, 3):
+            any_ = any_.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        differing = differing + F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
+    sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    apart = (F.col("x_component") != F.col("y_component")) & sized & (differing <= int(most))
+    near = x.join(y, (F.col("key") == F.col("y_key")) & apart)
+    return near.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
+
+
 def _linked(compared: DataFrame, percent: int) -> DataFrame:
     return compared.filter(F.col("same") * 100 >= F.col("total") * percent).select("a", "b")
 
@@ -171,10 +222,10 @@ def near_duplicates(
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(texts, words=words, bands=bands, rows=rows), "signatures")
     named = signed.filter("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = written(named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("group_size")), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    members = written(buckets.join(leaders, "key"), "members")
+    leaders = written(buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "leaders")
+    members = written(join_groups(buckets, leaders, "key", "m").filter("leader IS NOT NULL").drop("m"), "members")
     pairs = written(members.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
     wanted = texts.filter("doc_id IS NOT NULL").join(small_or_not(ids, ids.count()), "doc_id", "left_semi")
@@ -194,31 +245,17 @@ def near_duplicates(
     links = links.unionByName(_linked(second, percent))
     labels = components(links)
 
-    # what is left: pairs from different components whose distances to both pivots leave room for a link
-    reach = 1 - percent / 100
-    known = first.unionByName(second).select("a", "b", (1 - F.col("same") / F.col("total")).alias("d"))
-    far = _mixed(far, labels)
-    for name, other in (("d1", "leader"), ("d2", "pivot")):
-        ends = known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("d").alias(name))
-        far = far.withColumns({"_x": F.greatest("rep", other), "_y": F.least("rep", other)}).join(ends, (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left")
-        far = far.drop("_x", "_y", "_a", "_b").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    cell = lambda d: F.floor(F.col(d) / (reach + 1e-9))
-    far = written(far.select("key", "rep", "component", "n", "d1", "d2", cell("d1").alias("c1"), cell("d2").alias("c2")), "distances")
-    side = lambda p: far.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "component", "n", "d1", "d2", "c1", "c2")])
-    around = lambda c, offsets: F.explode(F.array(*[F.col(c) + i for i in offsets]))
-    x = side("x").withColumn("c1", around("x_c1", (0, 1))).withColumn("c2", around("x_c2", (-1, 0, 1)))
-    y = side("y").withColumns({"c1": F.col("y_c1"), "c2": F.col("y_c2")})
-    near = x.join(y, ["key", "c1", "c2"]).filter("x_component <> y_component AND (x_c1 < y_c1 OR x_rep < y_rep)")
-    near = near.filter((F.abs(F.col("x_d1") - F.col("y_d1")) <= reach + 1e-9) & (F.abs(F.col("x_d2") - F.col("y_d2")) <= reach + 1e-9))
-    near = near.filter(F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
-    rest = near.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).filter("a <> b").distinct()
-    rest = written(rest.join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest-pairs")
+    # what is left: members of mixed buckets meet again under longer bands, unless their signatures rule a link out
+    far = written(_mixed(members, labels).select("rep", "component", "n").distinct(), "mixed-members")
+    reps = far.select(F.col("rep").alias("doc_id"))
+    long_ = written(_long_signatures(sets.join(small_or_not(reps, far.count()), "doc_id", "left_semi")), "long-signatures")
+    rest = written(_long_pairs(far.join(long_, "rep"), percent).join(first.unionByName(second).select("a", "b"), ["a", "b"], "left_anti"), "rest-pairs")
     if rest.count():
         more = written(_linked(_compared(rest, sets), percent), "rest-links")
         if more.count():
             labels = components(links.unionByName(more))
 
-    by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("class", F.coalesce("component", "rep").alias("component"))
-    found = signed.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
+    by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("class", "group_size", F.coalesce("component", "rep").alias("component"))
+    found = join_groups(signed.select("doc_id", "n_shingles", "class"), written(by_class, "class-components"), "class", "group_size")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
