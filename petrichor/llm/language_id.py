@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from petrichor.llm.common import written
 from petrichor.llm.shingles import small_batches
 
 BUCKETS = 1 << 16
@@ -50,11 +51,12 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (mixed >> np.uint32(16))[inside].astype(np.int64), word[:-1][inside], np.array(counts, np.int64)
 
 
-def learn(df: DataFrame, *, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
+def learn(df: DataFrame, *, text_col: str, lang_col: str, max_languages: int = 500) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability per language and trigram bucket) from all given rows.
 
     Each task counts into 65,536 buckets per language and hands over the ones it has met; the sums go to the
-    driver, 65,536 numbers per language at most. Rows without text or language teach nothing.
+    driver, 65,536 numbers per language at most, and only after the languages were counted: more than ``max_languages``
+    are an error. Rows without text or language teach nothing.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
 
@@ -76,7 +78,9 @@ def learn(df: DataFrame, *, text_col: str, lang_col: str) -> tuple[list[str], np
         yield from flush()
 
     small_batches(df.sparkSession)
-    counts = rows.mapInPandas(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = written(rows.mapInPandas(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    if (n := counts.select("lang").distinct().count()) > max_languages:
+        raise ValueError(f"{n} languages in {lang_col}, at most {max_languages} can be told apart")
     table = counts.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns")).orderBy("lang").collect()
     logs = np.full((len(table), BUCKETS), 0.5)
     for i, row in enumerate(table):
@@ -93,10 +97,12 @@ def _fit(likely: np.ndarray, owner: np.ndarray, edges: np.ndarray, shares: np.nd
     return shares, np.add.reduceat(np.log((likely * shares[owner]).sum(axis=1)), edges[:-1])
 
 
-def mixtures(texts: list[str], logs: np.ndarray, *, rounds: int = 12, penalty: float = 2.0) -> np.ndarray:
+def mixtures(texts: list[str], logs: np.ndarray, *, rounds: int = 8, penalty: float = 2.0) -> np.ndarray:
     """(texts, languages) shares; all zero for a text without a letter.
 
-    From one language on, the next one by share is let in as long as it gains more than ``penalty`` * log(words).
+    The set starts with the likeliest language. As long as some other language raises the penalised likelihood
+    (``penalty`` * log(words) a language), the one that raises it most is let in. A text's result depends on that
+    text alone, whatever the others of its batch do.
     """
     bucket, word, counts = _trigrams(texts)
     out = np.zeros((len(texts), len(logs)))
@@ -109,19 +115,35 @@ def mixtures(texts: list[str], logs: np.ndarray, *, rounds: int = 12, penalty: f
     sizes = counts[full]
     edges = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(full)), sizes)
-    shares, _ = _fit(likely, owner, edges, np.full((len(full), len(logs)), 1 / len(logs)), rounds)
-    order = np.argsort(-shares, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    best = np.where(rank == 0, 1.0, 0.0)
-    best_value = np.add.reduceat(np.log((likely * best[owner]).sum(axis=1)), edges[:-1])
+    singles = np.add.reduceat(np.log(likely), edges[:-1], axis=0)
+    chosen = np.zeros(singles.shape, bool)
+    chosen[np.arange(len(full)), singles.argmax(axis=1)] = True
+    best, value = chosen.astype(float), singles.max(axis=1)
+    live = np.arange(len(full))  # the texts whose set may still grow
     for k in range(2, len(logs) + 1):
-        start = np.where(rank < k, np.maximum(shares, 1e-6), 0.0)
-        tried, value = _fit(likely, owner, edges, start / start.sum(axis=1, keepdims=True), rounds // 2)
-        value = value - (k - 1) * penalty * np.log(sizes)
-        better = value > best_value
-        if not better.any():
+        if not len(live):
             break
-        best[better], best_value[better] = tried[better], value[better]
+        if len(live) < len(sizes):
+            mine = np.isin(owner, live)
+            words, n = likely[mine], sizes[live]
+        else:
+            words, n = likely, sizes
+        ends = np.concatenate([[0], np.cumsum(n)])
+        whose = np.repeat(np.arange(len(live)), n)
+        top, top_shares, which = value[live], best[live], np.full(len(live), -1)
+        for lang in range(len(logs)):
+            start = chosen[live].astype(float)
+            absent = start[:, lang] == 0
+            start[:, lang] = 1
+            tried, gained = _fit(words, whose, ends, start / start.sum(axis=1, keepdims=True), rounds)
+            gained = gained - (k - 1) * penalty * np.log(n)
+            better = absent & (gained > top)
+            top[better], which[better] = gained[better], lang
+            top_shares[better] = tried[better]
+        grown = which >= 0
+        live, which = live[grown], which[grown]
+        best[live], value[live] = top_shares[grown], top[grown]
+        chosen[live, which] = True
     out[full] = best
     return out
 
