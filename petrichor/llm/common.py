@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from petrichor.session import shared_folder, stored as written  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 #: One word: a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the one that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """The table as Parquet in the shared folder, read again: lineage ends here and its size is known."""
-    path = shared_folder(df.sparkSession, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_or_not(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
     """Broadcast hint for a table whose counted rows are few; any larger one is joined by a shuffle."""
     return F.broadcast(df) if rows <= limit else df

@@ -13,9 +13,10 @@ block with the path above it; leaves are never joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from petrichor.llm.common import small_or_not, written
+from petrichor.operators.order_stats import ranked_in_order
 
 #: Digits grouped away per round: a block holds fan ** DEPTH leaves, 4096 with the default fan of 8.
 DEPTH = 4
@@ -37,22 +38,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """Rows of (``group``, ``order``, ...) with ``rank`` from 0 and ``n``, the rows of the group; written.
-
-    The rows are dealt to tasks by range, so a large group spreads over many tasks. A rank is the number of the
-    group's rows in earlier tasks plus the place within the task; only counts per (group, task) are added up.
-    """
-    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    rows = written(dealt.withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), name)
-    counts = rows.groupBy(group, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    inside = Window.partitionBy(group)
-    earlier = F.coalesce(F.sum("_n").over(inside.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = written(counts.select(group, "_task", "_first", earlier.alias("_earlier"), F.sum("_n").over(inside).alias("n")), f"{name}-offsets")
-    joined = rows.join(small_or_not(offsets, offsets.count()), [group, "_task"])
-    return joined.withColumn("rank", F.col("_earlier") + F.col("_at") - F.col("_first")).drop("_task", "_at", "_first", "_earlier")
-
-
 def _levels(n: Column, fan: int) -> Column:
     """How many of a round's levels a group of n nodes takes: none for one node, DEPTH for more than a block."""
     out = F.lit(0)
@@ -142,13 +127,13 @@ def manifest(
     rows = df.select(value(group_col).alias("group"), value(id_col).alias("id"), leaf.alias("digest"), F.when(mark, other).alias("other"))
 
     groups = written(rows.groupBy("group").agg(F.count(F.lit(1)).alias("members")), "merkle-groups")
-    numbered = ranked(groups.withColumn("all", F.lit(0)), "all", ["group"], "merkle-group-ranks").select("group", F.col("rank").alias("g"), F.col("n").alias("n_groups"))
+    numbered = ranked_in_order(groups, [], ["group"], size="n").select("group", F.col("rank").alias("g"), F.col("n").alias("n_groups"))
     numbered = written(numbered, "merkle-group-numbers")
     n_groups = numbered.count()
     names = numbered.select("g", F.col("group").alias("named"))
     rows = rows.join(small_or_not(names, n_groups), F.col("group").eqNullSafe(F.col("named"))).drop("named")
 
-    leaves = ranked(rows, "g", ["id", "digest"], "merkle-leaves")
+    leaves = ranked_in_order(rows, ["g"], ["id", "digest"], size="n")
     body = F.struct("id", "group", "rank", "other").alias("body")
     tops, rounds = rolled_up(leaves.select("g", "rank", "n", "digest", body), "merkle", fan=fan)
     tops = written(tops, "merkle-subroots")
