@@ -21,7 +21,9 @@ from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from petrichor.llm.common import join_groups, small_or_not, written
 from petrichor.llm.shingles import small_batches
@@ -184,44 +186,50 @@ def damaged(df: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(~F.col("gone"), F.col("text"))).drop("_copy")
 
 
-def blocks(df: DataFrame, key: str, order: list[str], items: list[str], name: str) -> DataFrame:
-    """Rows as (key, task, seq, rows): runs of at most RUN rows of one key, in order; written.
-
-    Rows are dealt to tasks by range of (key, order), so a key that holds a third of all rows spreads over
-    many tasks, and every task cuts its sorted rows as they pass by. (task, seq) orders a key's blocks.
-    """
-    fields = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in items)
-    sorted_ = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).select(key, *items)
+def _runs(df: DataFrame, key: str, items: list[str], fn, schema: str) -> DataFrame:
+    """fn(block) of every block of a sorted table: at most RUN rows of one key, as {key, task, seq, rows}; (task, seq)
+    orders a key's blocks. Rows are cut as they pass by; ``gone`` ones only make their key known."""
+    arrow = _arrow(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq, now, own = TaskContext.get().partitionId(), 0, None, None
 
-        def out(k, rows):
+        def out() -> dict:
             nonlocal seq
             seq += 1
-            return {"key": k, "task": task, "seq": seq, "rows": rows}
+            return fn({"key": now, "task": task, "seq": seq, "rows": own})
 
-        schema = None
+        done = []
         for batch in batches:
-            if schema is None:
-                inner = pa.struct([batch.schema.field(c) for c in items])
-                schema = pa.schema([("key", pa.string()), ("task", pa.int32()), ("seq", pa.int64()), ("rows", pa.list_(inner))])
-            done = []
             for row in batch.to_pylist():
                 k = row.pop(key)
                 if own is not None and (k != now or len(own) == RUN):
-                    done.append(out(now, own))
+                    done.append(out())
                     own = None
                 if own is None:
                     now, own = k, []
                 if not row.get("gone"):
                     own.append(row)
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=schema)
+                if len(done) == 64:
+                    yield pa.RecordBatch.from_pylist(done, schema=arrow)
+                    done = []
         if own is not None:
-            yield pa.RecordBatch.from_pylist([out(now, own)], schema=schema)
+            done.append(out())
+        yield pa.RecordBatch.from_pylist(done, schema=arrow)
 
-    return written(sorted_.mapInArrow(cut, f"key string, task int, seq bigint, rows array<struct<{fields}>>"), name)
+    return df.select(key, *items).mapInArrow(cut, schema)
+
+
+def blocks(df: DataFrame, key: str, order: list[str], items: list[str], name: str) -> DataFrame:
+    """The blocks (key, task, seq, rows) of long keys; written. Rows are dealt to tasks by range of (key, order), so a key
+    that holds a third of all rows spreads over many tasks."""
+    fields = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in items)
+    dealt = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    return written(_runs(dealt, key, items, lambda block: block, f"key string, task int, seq bigint, rows array<struct<{fields}>>"), name)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 TABLE = "cost array<bigint>, rank array<int>, blank bigint, duplicate bigint, truncated bigint, illegal bigint, turns bigint, low bigint, high bigint, first_turn bigint, last_turn bigint, first_role string, last_role string, messages bigint"
@@ -304,10 +312,7 @@ def _result(key: str, s: dict, cost: int, audit: str, sha: str) -> dict:
 
 def _per_batch(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn(row as dict) -> dict or list of dicts, over Arrow batches."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,7 +366,7 @@ def _long(parts: DataFrame) -> DataFrame:
         runs.append(blocks(ups[-1], "key", ["task", "seq"], columns, "table-runs"))
         ups.append(written(_per_batch(runs[-1], _run_table, f"{AT}, {TABLE}"), "run-tables"))
         if not ups[-1].groupBy("key").count().filter("count > 1").limit(1).count():
-            break
+            break  # every conversation is one block
 
     def closed(row: dict) -> dict:
         end, cost, more = closing((tuple(row["cost"]), tuple(row["rank"])))
@@ -416,19 +421,23 @@ def repair(df: DataFrame) -> DataFrame:
     have been replaced (``damaged`` does). A NULL conv_id is a conversation of its own. A conversation without rows has
     zeros, an empty audit and the hash of the empty string. Other columns are ignored, and an empty table gives no rows.
 
-    Tasks hold at most RUN messages of a conversation. The one thing a long conversation does in a single task is
+    Conversations of up to RUN messages are dealt out by hash and repaired as they pass by. Longer ones, found by their
+    counts, are cut into blocks over many tasks. The one thing a long conversation does in a single task is
     its result's own hash and audit: SHA-256 is a chain, so the repaired lines stream through it block by block.
     """
     small_batches(df.sparkSession)
     kind = df.schema["conv_id"].dataType
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     rows = df.select(key.alias("key"), "turn", "role", "text", "gone")
-    found = blocks(rows, "key", ["turn", "role", "text"], ["turn", "role", "text", "gone"], "conversation-blocks")
-    counts = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "long-conversations")
+    order, items = ["turn", "role", "text"], ["turn", "role", "text", "gone"]
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > RUN)
+    counts = written(counts.select("key"), "long-conversations")
     n_long = counts.count()
-    keys = small_or_not(counts.select("key"), n_long)
-    out = _per_batch(found.join(keys, "key", "left_anti") if n_long else found, _whole, RESULT)
+    keys = small_or_not(counts, n_long)
+    short = rows.join(keys, "key", "left_anti") if n_long else rows
+    out = _runs(short.repartition("key").sortWithinPartitions("key", *order), "key", items, _whole, RESULT)
     if n_long:
-        out = out.unionByName(_long(found.join(keys, "key", "left_semi")).select(*out.columns))
+        long_ = blocks(rows.join(keys, "key", "left_semi"), "key", order, items, "conversation-blocks")
+        out = out.unionByName(_long(long_).select(*out.columns))
     conv = F.when(F.col("key") != "", F.expr("substring(key, 2)").cast(kind))
     return out.select(conv.alias("conv_id"), *out.columns[1:])
