@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from petrichor.catalog import query, rnd, rounded
 from petrichor.catalog.sql import BIN, EV, EV5, EVG, EVM
 from petrichor.operators import baselines, climate, masks, quality, radar, selection, timegrid
 from petrichor.plans import views as V
+from petrichor.session import shared_folder, stored
+from petrichor.streaming import bins
 
 CUBE, PX = ["cube"], ["px"]
 END = "DATE '2024-01-16'"
@@ -56,6 +60,39 @@ def _(spark, sf):
     return rounded(V.event_bins(spark, sf), "v")
 
 
+def _replayed(spark, sf):
+    """The masked events as files that arrive in six parts, each row up to five days late, so that bins are updated out
+    of order."""
+    ev = V.event_masked(spark, sf).select("cube", "px", "t", "v", "mask_strict")
+    arrival = F.unix_seconds(F.col("t").cast("timestamp")) + F.pmod(F.xxhash64("px", "t"), F.lit(5 * 86_400))
+    span = ev.agg(F.min(arrival).alias("a"), F.max(arrival).alias("z"))
+    a, z = span.select("a").scalar(), span.select("z").scalar()
+    part = F.floor((arrival - a) * 6 / (z - a + 1)).cast("int")
+    rows, root = stored(ev.withColumn("part", part), "arrivals", partition_by="part"), shared_folder(spark, "replay")
+    for i in range(6):
+        rows.filter(F.col("part") == i).drop("part").write.mode("append").parquet(root)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 3).parquet(root)
+
+
+def _streamed(spark, binned, keys):
+    log = shared_folder(spark, "bin-log")
+    bins.start_log(binned, log, f"{log}-state").awaitTermination()
+    return bins.newest(spark, log, binned, keys)
+
+
+@query("streamed_5d_median", f"WITH {EV5} SELECT cube, px, bin, {rnd('v')}, n FROM ev5")
+def _(spark, sf):
+    """The same bins as ``resample_5d_median``, from the replayed stream."""
+    binned = bins.streamed_median(_replayed(spark, sf), cube=["cube"], pixel=["px"], time="t", values=["v"], origin=datetime.date.fromisoformat(V.ORIGIN), mask="mask_strict")
+    return rounded(_streamed(spark, binned, ["cube", "px", "bin"]), "v")
+
+
+@query("streamed_5d_mean_min_max", f"WITH {EV} SELECT cube, {BIN} AS bin, {rnd('avg(v)', 'v_mean', 4)}, {rnd('min(v)', 'v_min', 4)}, {rnd('max(v)', 'v_max', 4)} FROM ev GROUP BY ALL")
+def _(spark, sf):
+    binned = bins.streamed_stats(_replayed(spark, sf), cube=["cube"], time="t", values=["v"], origin=datetime.date.fromisoformat(V.ORIGIN))
+    return rounded(_streamed(spark, binned, ["cube", "bin"]), "v_mean", "v_min", "v_max", digits=4)  # sums in another order
+
+
 @query("dense_5d_grid", f"WITH {EVG} SELECT cube, px, bin, {rnd('v')}, n FROM evg")
 def _(spark, sf):
     return rounded(V.event_grid(spark, sf), "v")

@@ -389,20 +389,40 @@ def _(spark, sf):
     return rounded(out.drop("target_mask", "mask_s1", "is_veg"), "v", "b", "r")
 
 
-@query(
-    "channel_vectors",
-    f"WITH {CLEAN}, {_LC}, c AS (SELECT cube, t, y, x, [kndvi, B05, B06, " + ", ".join(f"CASE WHEN esa_lc = {v} THEN 1 ELSE 0 END" for v in _CODES) + f", B07, B04, B08, B11, 1, 1, 1] AS ch FROM (SELECT *, {INDEX['kNDVI']} AS kndvi FROM clean) JOIN (SELECT cube, t, y, x, esa_lc FROM lc) USING (cube, t, y, x)) SELECT cube, t, y, x, CAST(len(ch) AS INTEGER) AS n_channels, " + rnd("CAST(ch[1] AS FLOAT)", "first_channel", 4) + ", " + rnd("list_sum([CAST(CAST(c AS FLOAT) AS DOUBLE) for c in ch])", "channel_sum", 4) + " FROM c",
-)
-def _(spark, sf):
-    """Context vectors summarised to their length, first channel and sum."""
+def _float_sum(*cols: str) -> str:
+    return " + ".join(f"coalesce(CAST(CAST({c} AS FLOAT) AS DOUBLE), 0)" for c in cols)
+
+
+_KNOWN = f"CASE WHEN esa_lc IN ({', '.join(map(str, _CODES))}) THEN 1 ELSE 0 END"
+
+
+def _vectors(spark, sf, part):
     df = indices.add_indices(_landcover(spark, sf), ["kNDVI"]).withColumns({m: F.lit(1) for m in ("mask_target", "mask_s2", "mask_s1")})
     df = df.select("*", *tiles.one_hot_landcover(F.col("esa_lc")))
     layout = tiles.channel_layout(_OPT, _RAD, _CLI, _STA)
-    out = tiles.channel_vectors(df, layout, part="context", expected=len(layout["context"]))
+    out = tiles.channel_vectors(df, layout, part=part, expected=len(layout[part]))
     total = F.aggregate(F.transform("channels", lambda c: F.coalesce(c.cast("double"), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
     return rounded(out.select("cube", "t", "y", "x", F.size("channels").alias("n_channels"), F.col("channels")[0].alias("first_channel"), total.alias("channel_sum")), "first_channel", "channel_sum", digits=4)
 
 
+@query(
+    "channel_vectors",
+    f"WITH {CLEAN}, {_LC}, l AS (SELECT cube AS c, t AS tt, y AS yy, x AS xx, {_KNOWN} AS hot FROM lc), k AS (SELECT *, {INDEX['kNDVI']} AS kndvi FROM clean) SELECT cube, t, y, x, CAST(22 AS INTEGER) AS n_channels, {rnd('CAST(kndvi AS FLOAT)', 'first_channel', 4)}, {rnd(_float_sum('kndvi', 'B05', 'B06', 'hot', 'B07', 'B04', 'B08', 'B11') + ' + 3', 'channel_sum', 4)} FROM k JOIN l ON c = cube AND tt = t AND yy = y AND xx = x",
+)
+def _(spark, sf):
+    """Context vectors summarised to their length, first channel and sum."""
+    return _vectors(spark, sf, "context")
+
+
+@query(
+    "future_channel_vectors",
+    f"WITH {CLEAN}, {_LC}, l AS (SELECT cube AS c, t AS tt, y AS yy, x AS xx, {_KNOWN} AS hot FROM lc) SELECT cube, t, y, x, CAST(16 AS INTEGER) AS n_channels, 0.0::DOUBLE AS first_channel, {rnd(_float_sum('B05', 'B06', 'hot', 'B07'), 'channel_sum', 4)} FROM clean JOIN l ON c = cube AND tt = t AND yy = y AND xx = x",
+)
+def _(spark, sf):
+    """Future vectors: a placeholder for the target, then the channels that are known ahead."""
+    return _vectors(spark, sf, "future")
+
+
 _SIGNED = "md5(concat_ws('|', t, y, x, coalesce(CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR), '<null>'), CASE WHEN v IS NULL THEN 0 ELSE 1 END, 0))"
 
 

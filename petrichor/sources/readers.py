@@ -40,6 +40,19 @@ def read_cubes(spark: SparkSession, roots: list[str], ddl: str) -> tuple[DataFra
     return nan_to_null(df), [r for r in roots if r not in there]
 
 
+def read_listed_cubes(spark: SparkSession, root: str, ddl: str, ids: DataFrame, *, cube: str = "cube_id") -> tuple[DataFrame, DataFrame]:
+    """(rows of the cubes listed in a table, listed cubes that have no rows). The list is joined, never collected, and
+    prunes the cube folders while the query runs."""
+    df = read_table(spark, root, ddl)
+    wanted = ids.select(cube).distinct()
+    return df.join(wanted, cube, "left_semi"), wanted.join(df.select(cube).distinct(), cube, "left_anti")
+
+
+def read_split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``writers.write_splits`` as (fold, subset, file)."""
+    return spark.read.schema("fold int, subset string, block bigint, files array<string>").json(path).select("fold", "subset", F.explode("files").alias("file"))
+
+
 def _common_root(paths: list[str]) -> str:
     """Folder above the first partition directory (name=value)."""
     parts = paths[0].rstrip("/").split("/")

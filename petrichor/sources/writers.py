@@ -3,31 +3,94 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from petrichor.sources.readers import _exists
 
 
-def write_cubes(df: DataFrame, root: str, *, chunk: int = 250, time: str = "t", files_per_cube: int = 16, rows_per_file: int = 10_000_000, overwrite_cubes_only: bool = False) -> None:
-    """Partitioned by split and cube, clustered by (time, spatial chunk) for row-group pruning.
+def z_order(row: Column, column: Column) -> Column:
+    """Morton key of two chunk numbers below 65,536: neighbours in both directions lie near each other in its order."""
 
-    A cube is spread over ``files_per_cube`` tasks by its chunk, so that one large cube is not one task; a task
-    starts a new file after ``rows_per_file`` rows.
+    def spread(c: Column) -> Column:
+        c = c.cast("long").bitwiseAND(F.lit(0xFFFF))
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    return F.shiftleft(spread(row), 1).bitwiseOR(spread(column))
+
+
+def _dealt(df: DataFrame, keys: list, rows_per_file: int) -> DataFrame:
+    """Rows in as many ranges of the keys as their number asks for, sorted inside: a large cube gets many files, small
+    ones share a task."""
+    files = max(1, -(-df.count() // rows_per_file))
+    return df.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+
+
+def write_cubes(df: DataFrame, root: str, *, chunk: int = 250, time: str = "t", rows_per_file: int = 10_000_000, row_group_bytes: int = 32 << 20, overwrite_cubes_only: bool = False) -> None:
+    """Partitioned by split and cube; inside, rows lie by time and along a space-filling curve over the spatial chunks.
+
+    The number of files follows from the counted rows, and tasks take ranges of (cube, time, curve), so no cube is one
+    task's work. A box of pixels at some times is a few neighbouring row groups, whose minima and maxima rule
+    out the others.
     """
-    ty, tx = F.floor(F.col("y") / chunk), F.floor(F.col("x") / chunk)
-    spread = F.pmod(F.hash(ty, tx, F.col(time)), F.lit(files_per_cube))
-    out = df.repartition("split", "cube_id", spread).sortWithinPartitions("split", "cube_id", time, ty, tx)
-    writer = out.write.mode("overwrite").partitionBy("split", "cube_id").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
+    curve = z_order(F.floor(F.col("y") / F.lit(chunk)), F.floor(F.col("x") / F.lit(chunk)))
+    out = _dealt(df, [F.col("split"), F.col("cube_id"), F.col(time), curve], rows_per_file)
+    writer = out.write.mode("overwrite").partitionBy("split", "cube_id").option("compression", "zstd").option("parquet.block.size", row_group_bytes)
     if overwrite_cubes_only:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(root)
 
 
-def write_predictions(df: DataFrame, root: str, *, files_per_cube: int = 4) -> None:
-    parts = ["configuration", "stage", "cube_id"]
-    out = df.repartition(*parts, F.pmod(F.hash("step", "y", "x"), F.lit(files_per_cube))).sortWithinPartitions(*parts, "step")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).option("compression", "zstd").parquet(root)
+PARTS = ["configuration", "stage", "cube_id"]
+
+
+def write_predictions(df: DataFrame, root: str, *, rows_per_file: int = 10_000_000, chunk: int = 250) -> None:
+    """Cubes of predictions, each replaced as a whole; laid out like ``write_cubes``. Not yet valid: see ``commit``."""
+    curve = z_order(F.floor(F.col("y") / F.lit(chunk)), F.floor(F.col("x") / F.lit(chunk)))
+    out = _dealt(df, [*[F.col(c) for c in PARTS], F.col("step"), curve], rows_per_file)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).option("compression", "zstd").parquet(root)
+
+
+def commit(df: DataFrame, root: str) -> None:
+    """Second phase of a write: one marker per cube with the rows it must hold, counted from what was to be written.
+
+    Markers lie beside the data (``<root>.commits``) and are only ever added; the newest of a cube counts. A job that dies between
+    the phases, or while it replaces a cube, leaves rows that no marker vouches for.
+    """
+    now = F.lit(datetime.now(timezone.utc).isoformat())
+    df.groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("committed_at", now).write.mode("append").parquet(f"{root}.commits")
+
+
+def commit_state(spark: SparkSession, root: str) -> DataFrame:
+    """(configuration, stage, cube_id, n_rows, n_stored, state) of every cube that is stored or has a marker: complete,
+    truncated (rows differ from the marker's), missing (a marker without rows) or uncommitted. Stored rows are counted without
+    reading a column."""
+    kinds = ", ".join(f"{c} string" for c in PARTS)
+    stored_ = spark.createDataFrame([], f"{kinds}, n_stored bigint")
+    if _exists(spark, root):
+        stored_ = spark.read.schema(f"step int, {kinds}").parquet(root).groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n_stored"))
+    marks = spark.createDataFrame([], f"{kinds}, n_rows bigint")
+    if _exists(spark, f"{root}.commits"):
+        found = spark.read.schema(f"{kinds}, n_rows bigint, committed_at string").parquet(f"{root}.commits")
+        marks = found.groupBy(*PARTS).agg(F.max_by("n_rows", "committed_at").alias("n_rows"))
+    state = F.when(F.col("n_rows").isNull(), "uncommitted").when(F.col("n_stored").isNull(), "missing").when(F.col("n_rows") == F.col("n_stored"), "complete").otherwise("truncated")
+    return marks.join(stored_, PARTS, "full").select(*PARTS, "n_rows", "n_stored", state.alias("state"))
+
+
+def complete_cubes(spark: SparkSession, root: str) -> DataFrame:
+    """The cubes that a resumed export needn't write again: ``existing`` of ``export_state`` and ``remaining``."""
+    return commit_state(spark, root).filter("state = 'complete'").select(*PARTS)
+
+
+def write_splits(files: DataFrame, path: str, *, block: int = 10_000) -> None:
+    """(fold, subset, file) as JSON lines, each a block of files of one side of a fold: no list holds a whole side."""
+    blocks = F.floor(F.pmod(F.xxhash64("file"), F.lit(1 << 30)) / F.ceil(F.lit(1 << 30) / F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block)))))
+    sizes = files.groupBy("fold", "subset").agg(F.count(F.lit(1)).alias("_n"))
+    lines = files.join(sizes, ["fold", "subset"]).groupBy("fold", "subset", blocks.alias("block")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    lines.write.mode("overwrite").json(path)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -57,7 +120,8 @@ def manifest_table(rows: DataFrame) -> DataFrame:
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
-    manifest_table(rows).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """In order: the parts, by name, follow one another."""
+    manifest_table(rows).write.mode("overwrite").option("header", True).csv(path)
 
 
 def remaining(work: DataFrame, done: DataFrame, *, cube: str = "cube_id") -> DataFrame:

@@ -1,5 +1,2 @@
-"""The domain has no stateful stream operator (the 5-day bins are batch bins anchored on an event).
-
-The row-wise operators of ``petrichor.operators.masks`` and ``petrichor.functions.indices`` contain
-no aggregation, so they run unchanged on a ``readStream`` frame; ``tests/test_streaming.py`` does so.
-"""
+"""Structured Streaming: the stateful 5-day bins (``bins``). The row-wise operators of ``petrichor.operators.masks`` and
+``petrichor.functions.indices`` contain no aggregation, so they run unchanged on a ``readStream`` frame."""

@@ -281,3 +281,32 @@ def test_signature_ignores_order_and_sees_changes(spark):
 
 def test_all_landcover_groups_are_vegetation():
     assert {c for g in L.LANDCOVER_GROUPS.values() for c in g} <= set(L.VEGETATION_CODES)
+
+
+def test_contrasts_share_their_draws(spark):
+    """Masks of missing values, estimates and intervals against numpy with the same weights."""
+    rng = np.random.default_rng(2)
+    rows = [(f"c{i}", c, i % 2, None if rng.random() < 0.2 else float(rng.normal(j)), float(rng.normal())) for i in range(30) for j, c in enumerate("xyz") if rng.random() < 0.95]
+    df = spark.createDataFrame(rows, "cube_id string, configuration string, fold int, nnse double, mae double")
+    out = {(r.left_configuration, r.right_configuration, r.metric): r for r in stats.paired_contrasts(df, metrics=("nnse", "mae"), n_boot=300).collect()}
+    assert len(out) == 6
+    values = {(r[0], r[1]): r for r in rows}
+    for (a, b, m), r in out.items():
+        k = 3 if m == "nnse" else 4
+        per = {f: [values[c, b][k] - values[c, a][k] for c in sorted({x[0] for x in rows if x[2] == f}) if (c, a) in values and (c, b) in values and None not in (values[c, a][k], values[c, b][k])] for f in (0, 1)}
+        assert abs(r.estimate - np.mean([np.mean(v) for v in per.values()])) < 1e-9
+        assert r.n_cubes == sum(map(len, per.values())) and r.higher_is_better == (m != "mae")
+        assert r.ci_low < r.estimate < r.ci_high
+    # shared draws: the contrasts of a cycle close in every replicate, so without gaps the interval of a constant shift is a point
+    full = spark.createDataFrame([(f"c{i}", c, i % 2, float(i % 7) + j, 0.0) for i in range(20) for j, c in enumerate("xy")], df.schema)
+    same = stats.paired_contrasts(full, metrics=("nnse",), n_boot=50).first()
+    assert (same.ci_low, same.estimate, same.ci_high) == (1.0, 1.0, 1.0)
+    assert stats.paired_contrasts(full.filter("configuration = 'x'"), metrics=("nnse",), n_boot=5).count() == 0
+    with pytest.raises(ValueError, match="configurations"):
+        stats.paired_contrasts(full, max_configurations=1)
+
+
+def test_stage_report(spark):
+    df = spark.createDataFrame([("a", "oof"), ("a", "oof"), ("b", "oof"), ("b", "holdout"), ("b", None)], "configuration string, stage string")
+    got = {r.configuration: (r.n_rows, r.n_wrong, r.stages, r.accepted) for r in stats.stage_report(df, stage="oof").collect()}
+    assert got == {"a": (2, 0, "", 1), "b": (3, 2, "<missing>;holdout", 0)}

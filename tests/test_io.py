@@ -18,7 +18,7 @@ def obs(spark):
 
 def test_cube_round_trip_prunes_and_drops_nan(spark, tmp_path):
     root = str(tmp_path / "obs")
-    writers.write_cubes(obs(spark), root, chunk=2, files_per_cube=3)
+    writers.write_cubes(obs(spark), root, chunk=2, rows_per_file=5)
     df = readers.read_table(spark, root, S.OBS_RADAR)
     assert df.count() == 36 and df.filter("vv is null").count() == 12
     one = df.filter("cube_id = '2020-0001-ABC'").select("vv")
@@ -135,3 +135,62 @@ def test_climate_scan(spark, tmp_path):
         spark.createDataFrame([(1.0, 2.0, var, float("nan") if i else 3.0)], "lat double, lon double, var string, value double").withColumn("day", F.lit("2024-01-01").cast("date")).write.parquet(str(tmp_path / var))
     got = readers.read_climate(spark, [str(tmp_path / "pei_30"), str(tmp_path / "t2m")])
     assert sorted((r.var, r.value) for r in got.collect()) == [("pei_30", 3.0), ("t2m", None)]
+
+
+def test_a_box_reads_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    px = spark.range(12 * 64 * 64).select(
+        F.lit("train").alias("split"), F.lit("c").alias("cube_id"), (F.col("id") / 4096).cast("bigint").alias("t"), (F.col("id") / 64 % 64).cast("int").alias("y"), (F.col("id") % 64).cast("int").alias("x"), F.rand(1).alias("v")
+    )
+    root = str(tmp_path / "cubes")
+    writers.write_cubes(px, root, chunk=8, rows_per_file=4000, row_group_bytes=4096)
+    files = list((tmp_path / "cubes").rglob("*.parquet"))
+    assert len(files) >= 10  # one cube, many tasks
+    all_, hit = 0, 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        for g in range(meta.num_row_groups):
+            stat = {n: meta.row_group(g).column(i).statistics for i, n in enumerate(names)}
+            all_ += 1
+            hit += stat["t"].min <= 5 <= stat["t"].max and all(stat[c].min < 16 for c in "yx")  # t = 5, y and x below 16
+    assert all_ >= 24 and hit <= all_ / 8
+    back = spark.read.parquet(root)
+    assert back.count() == 12 * 64 * 64 and back.filter("t = 5 AND y < 16 AND x < 16").count() == 256
+
+
+def test_z_order_is_morton(spark):
+    got = spark.range(64).select((F.col("id") / 8).cast("int").alias("r"), (F.col("id") % 8).cast("int").alias("c")).withColumn("z", writers.z_order(F.col("r"), F.col("c"))).collect()
+    for r in got:
+        bits = "".join(a + b for a, b in zip(f"{r.r:03b}", f"{r.c:03b}"))
+        assert r.z == int(bits, 2)
+
+
+def test_commit_markers(spark, tmp_path):
+    root = str(tmp_path / "out")
+    assert writers.commit_state(spark, root).count() == 0
+    rows = [("k", "oof", c, s, y, 0, 0.5) for c in "abc" for s in range(2) for y in range(3)]
+    df = spark.createDataFrame(rows, "configuration string, stage string, cube_id string, step int, y int, x int, pred double")
+    writers.write_predictions(df, root)
+    state = lambda: {r.cube_id: (r.n_rows, r.n_stored, r.state) for r in writers.commit_state(spark, root).collect()}
+    assert set(state().values()) == {(None, 6, "uncommitted")}
+    writers.commit(df.filter("cube_id <> 'c'"), root)
+    assert state() == {"a": (6, 6, "complete"), "b": (6, 6, "complete"), "c": (None, 6, "uncommitted")}
+    writers.write_predictions(df.filter("cube_id = 'b' AND step = 0"), root)  # a job that dies after half a cube
+    assert state()["b"] == (6, 3, "truncated")
+    assert sorted(r.cube_id for r in writers.remaining(df.select("cube_id").distinct(), writers.complete_cubes(spark, root)).collect()) == ["b", "c"]
+    redo = df.filter("cube_id = 'b' AND step = 0")
+    writers.commit(redo, root)  # the newest marker counts
+    assert state()["b"] == (3, 3, "complete")
+    writers.commit(df.withColumn("cube_id", F.lit("gone")), root)
+    assert state()["gone"] == (18, None, "missing")
+
+
+def test_split_lines(spark, tmp_path):
+    files = spark.range(250).select((F.col("id") % 2).cast("int").alias("fold"), F.when(F.col("id") < 200, "train").otherwise("val").alias("subset"), F.col("id").cast("string").alias("file"))
+    writers.write_splits(files, str(tmp_path / "s"), block=20)
+    lines = spark.read.json(str(tmp_path / "s"))
+    assert lines.count() > 8 and lines.selectExpr("max(size(files)) AS n").first().n < 60
+    back = readers.read_split_lines(spark, str(tmp_path / "s"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, files.collect()))
