@@ -2,10 +2,11 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from petrichor.llm import minhash, mixing
+from petrichor.llm import exact_dedup as exact_dedup_module, minhash, mixing
 from petrichor.llm.exact_dedup import exact_dedup
 from petrichor.llm.line_dedup import duplicate_lines, line_dedup
 
@@ -18,8 +19,8 @@ def test_exact_dedup(spark, corpus):
     groups = collections.defaultdict(list)
     for i, t in rows_of(corpus):
         groups[t or ""].append(i)
-    for bits in (1 << 27, 64):  # a filter that lets everything through changes nothing
-        got = exact_dedup(corpus, filter_bits=bits)
+    for size in (32 << 20, 8):  # without a second filter, which may take no more bytes, all rows are grouped
+        got = exact_dedup(corpus, filter_bytes=size)
         assert {"row", "_h", "a.b", "keep_id", "group_size", "kept", "text_sha256"} <= set(got.columns)
         for r in got.collect():
             ids = groups[r["text"] or ""]
@@ -29,6 +30,50 @@ def test_exact_dedup(spark, corpus):
     assert exact_dedup(corpus.limit(0)).count() == 0
 
 
+def test_filters_of_tasks_merge(spark, monkeypatch):
+    """Every repeated hash is found, whichever tasks and flushes saw it, and hardly any single one is let through."""
+    rng = random.Random(2)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    rows = hashes + hashes[:500] + [hashes[0]] * 2000 + [0, 0, -1, (1 << 63) - 1, -(1 << 63)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(h,) for h in rows], "h bigint").repartition(7)
+    for flush in (1 << 22, 50):
+        monkeypatch.setattr(exact_dedup_module, "FLUSH", flush)
+        slots, bits = exact_dedup_module.repeated_slots(df, "h", rows=len(rows))
+        found = {int(p) for r in slots.collect() for p in exact_dedup_module._unpacked(r["places"], r["n"])}
+        place = lambda h: (h + (1 << 64)) % (1 << 64) >> (64 - bits)
+        times = collections.Counter(map(place, rows))
+        assert found == {p for p, n in times.items() if n > 1}
+        words, size = exact_dedup_module.bloom_filter(slots)
+        passes = lambda h: all(int(words[int(p) >> 6]) >> (int(p) & 63) & 1 for p in (q[0] for q in exact_dedup_module._probes(np.array([place(h)], np.uint64), size)))
+        count = collections.Counter(rows)
+        assert all(passes(h) for h, n in count.items() if n > 1)
+        assert sum(passes(h) for h, n in count.items() if n == 1) < 0.1 * len(count)
+    assert exact_dedup_module.bloom_filter(slots, filter_bytes=8) is None
+
+
+def test_near_duplicates_in_a_group_of_edited_copies(spark):
+    """Hundreds of copies edited on their own, 0.5 to 0.9 alike, and copies of these: no link is lost to the buckets."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(120)]
+
+    def edited(w, k):
+        w = list(w)
+        for _ in range(k):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        return w
+
+    texts = [base] + [edited(base, rng.choice([3, 8, 11, 13, 15, 18])) for _ in range(250)]
+    texts += [edited(rng.choice(texts), rng.choice([2, 4, 6])) for _ in range(60)] + [[rng.choice(words) for _ in range(90)] for _ in range(60)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
+    want = {i: c for i, _, c in brute_components(rows, 2, 80)}
+    assert len(set(want.values())) > 80
+    assert sum(r.component_id != want[r.doc_id] for r in got) <= 0.01 * len(rows)
+
+
 def brute_components(rows, words, percent):
     def shingles(t):
         w = (t or "").encode().lower().split()

@@ -33,6 +33,53 @@ def test_em_finds_planted_shares(prose, spark, corpus):
     assert np.allclose(language_id.mixtures(texts[1:2], logs), shares[1:2])  # a text's result doesn't depend on its batch
 
 
+def test_language_sets_are_the_best_and_independent(prose, spark, corpus):
+    """Against EM over all sets of four languages; alone, in any batch and in any order a text has the same shares."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    learned = [(prose(lang, 400, 900 + i), lang) for i, lang in enumerate(["en", "fr", "de"])]
+    mixed_up = " ".join(w for pair in zip(prose("en", 400, 31).split(), prose("fr", 400, 32).split()) for w in (pair[0][:3] + pair[1][-3:],))
+    learned.append((mixed_up, "xx"))  # a sibling of two others
+    languages, logs = language_id.learn(spark.createDataFrame(learned, "text string, lang string"), text_col="text", lang_col="lang")
+    assert len(languages) == 4
+    texts = [" ".join(prose(lang, rng.randint(3, 30), 50 + i) for lang in rng.sample(["en", "fr", "de"], rng.randint(1, 3))) for i in range(60)] + [mixed_up[:200], "", "12 !"]
+    whole = language_id.mixtures(texts, logs)
+    for i, t in enumerate(texts):
+        assert np.allclose(language_id.mixtures([t], logs)[0], whole[i], atol=1e-12)
+    order = rng.sample(range(len(texts)), len(texts))
+    assert np.allclose(language_id.mixtures([texts[i] for i in order], logs), whole[order], atol=1e-12)
+
+    agree = total = 0
+    for t, shares in zip(texts, whole):
+        bucket, word, counts = language_id._trigrams([t])
+        if not counts[0]:
+            assert not shares.any()
+            continue
+        likely = np.array([[sum(row[b] for b, w in zip(bucket, word) if w == k) for row in logs] for k in sorted(set(word))], float)
+        likely = np.maximum(np.exp(likely - likely.max(axis=1, keepdims=True)), 1e-9)
+        best = None
+        for k in range(1, 5):
+            for own in itertools.combinations(range(4), k):
+                s = np.full(k, 1 / k)
+                for _ in range(8):
+                    part = likely[:, own] * s
+                    s = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+                value = np.log((likely[:, own] * s).sum(axis=1)).sum() - (k - 1) * 2.0 * np.log(counts[0])
+                if best is None or value > best[0]:
+                    best = (value, own, s)
+        full = np.zeros(4)
+        full[list(best[1])] = best[2]
+        total += 1
+        agree += bool(np.allclose(full, shares, atol=1e-6))
+    assert agree >= 0.95 * total
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learn(spark.createDataFrame(learned, "text string, lang string"), text_col="text", lang_col="lang", max_languages=3)
+
+
 def test_quality(spark, prose):
     r = random.Random(4)
     rows = []
