@@ -85,12 +85,13 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, keep_doc, keep_line, near) for every line to drop.
+    """(doc_id, line_no, line_hash, keep_doc, keep_line, near) for every line to drop.
 
     Lines are compared without white space at their ends; empty ones are left alone. Of equal lines the earliest
     by (doc_id, line_no) stays, NULL ids first. A line of ``min_words`` words or more, as single spaces part them,
     goes as well if an earlier line, itself kept or not, is one word edit away; shorter lines only if equal. So
-    the order of work doesn't matter. Ids are integers. Rows with the same id are one document.
+    the order of work doesn't matter. Ids are integers. Repeated rows are one document. Rows with one id and different
+    texts stand at the same places; what is dropped at a place is told by the line's hash.
     """
     lines = _lines(df, id_col, text_col)
     counted = lines.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
@@ -123,20 +124,23 @@ def duplicate_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     every = lines.select(*_ID, "doc_id", "line_no", _place().alias("here")).join(small_or_not(known, known.count()), _ID)
     later = every.filter("lead IS NOT NULL OR here <> at").withColumn("keep", F.coalesce("lead", "at"))
     keep_line = F.col("keep") - F.coalesce(_document(F.col("keep")).cast("decimal(20,0)") * F.lit(_STEP), F.lit(_NULL))
-    return later.select("doc_id", "line_no", _document(F.col("keep")).alias("keep_doc"), keep_line.cast("int").alias("keep_line"), F.col("lead").isNotNull().alias("near")).distinct()
+    return later.select("doc_id", "line_no", F.col("h1").alias("line_hash"), _document(F.col("keep")).alias("keep_doc"), keep_line.cast("int").alias("keep_line"), F.col("lead").isNotNull().alias("near")).distinct()
 
 
 def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) per row: the text without the lines that ``duplicate_lines`` names.
 
     A NULL text stays NULL and has no lines; a text that loses all its lines is empty; an empty table gives no rows.
+    A row loses a line only if that very line is named at its place, so rows that share an id don't lose each other's
+    lines. Other columns aren't returned.
     """
     dropped = duplicate_lines(df, id_col=id_col, text_col=text_col, min_words=min_words)
-    per = written(dropped.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("line_no").alias("drop")), "dropped-lines")
+    per = written(dropped.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("line_no", "line_hash")).alias("drop")), "dropped-lines")
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.join(small_or_not(per, per.count()), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
     rows = rows.withColumn("lines", F.split("text", "\n"))
-    kept = F.filter("lines", lambda line, i: ~F.array_contains(F.col("drop"), i))
+    hashed = lambda line: F.xxhash64(F.trim(line, F.lit(" \t\x0b\x0c\r")))
+    kept = F.filter("lines", lambda line, i: ~F.array_contains(F.col("drop"), F.struct(i.alias("line_no"), hashed(line).alias("line_hash"))))
     rows = rows.withColumn("kept", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept))
     n, left = F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(F.size("kept"), F.lit(0))
     count = lambda c: F.when(F.col("text").isNull(), F.lit(0)).otherwise(c).cast("long")

@@ -167,6 +167,16 @@ def test_line_dedup(spark, prose):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_rows_with_one_id(spark, prose):
+    """Rows that share an id lose their own repeated lines only; repeated rows and very long lines are no trouble."""
+    long_ = prose("en", 4000, 77)
+    rows = [(1, "X\nA"), (1, "A\nY unique"), (2, "A"), (3, long_), (4, long_ + " more"), (5, "R\nS"), (5, "R\nS")]
+    out = collections.Counter((r["doc_id"], r["text"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert sum(out.values()) == len(rows)
+    assert any(i == 1 and t.endswith("Y unique") for i, t in out) and any(i == 1 and t.startswith("X") for i, t in out)
+    assert out[2, ""] == 1 and out[3, long_] == 1 and out[4, ""] == 1 and out[5, "R\nS"] == 2
+
+
 def seats(target, house):
     won = [0] * len(target)
     for _ in range(house):
