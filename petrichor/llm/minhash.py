@@ -30,8 +30,8 @@ BANDS, ROWS = 64, 8
 #: The second, longer banding: a pair at 0.8 misses all bands with probability (1 - 0.8^16)^300, about 2e-4; one at 0.6 meets
 #: in one with probability 0.08, against 0.66 in the first. Only classes of buckets that stay mixed get it.
 LONG_BANDS, LONG_ROWS = 300, 16
-#: Coordinates of which 4 bits are compared inside the join.
-PIECES = 512
+#: Coordinates of which one bit is compared inside the join.
+PIECES = 4096
 
 
 def _second_permutation(x: np.ndarray, spare: np.ndarray) -> None:
@@ -158,7 +158,9 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _long_signatures(sets: DataFrame) -> DataFrame:
-    """(rep, pieces, bands) of sets (doc_id, shingles): 512 coordinates at 4 bits each, and the keys of the long bands."""
+    """(rep, pieces, bands) of sets (doc_id, shingles): one bit of 4096 coordinates, and the keys of the long bands.
+
+    A coordinate is a minimum, whose high bits are all but zero; the bit is folded from lower ones."""
     schema = pa.schema([("rep", pa.int64()), ("pieces", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +168,8 @@ def _long_signatures(sets: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 all_ = circulant_signatures([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")], LONG_BANDS * LONG_ROWS)
-                nibbles = (all_[:, :PIECES] >> np.uint32(28)).astype(np.uint8)
-                pieces = np.ascontiguousarray(nibbles[:, 0::2] << 4 | nibbles[:, 1::2]).view(np.int64)
+                bits = all_[:, :PIECES] ^ (all_[:, :PIECES] >> np.uint32(5)) ^ (all_[:, :PIECES] >> np.uint32(11))
+                pieces = np.packbits((bits & np.uint32(1)).astype(bool), axis=1).view(np.int64)
                 columns = [part.column("doc_id"), pa.array(list(pieces), pa.list_(pa.int64())), pa.array(list(_band_keys(all_, LONG_BANDS, LONG_ROWS)), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -187,15 +189,11 @@ def _long_pairs(far: DataFrame, percent: int) -> DataFrame:
     met = written(met.join(main.select("key", "main"), "key").join(far.select("rep", "n", "pieces"), "rep"), "long-members")
     side = lambda s, df: df.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("rep", "component", "n", "pieces")])
     x, y = side("x", met), side("y", met.filter("component <> main")).withColumnRenamed("key", "y_key")
-    agree = (1 + 15 * percent / 100) / 16
+    agree = (1 + percent / 100) / 2
     most = PIECES * (1 - agree) + 4 * (PIECES * agree * (1 - agree)) ** 0.5
     differing = F.lit(0)
-    for i in range(PIECES // 16):
-        bits = F.col("x_pieces")[i].bitwiseXOR(F.col("y_pieces")[i])
-        any_ = bits
-        for shift in (1, 2, 3):
-            any_ = any_.bitwiseOR(F.shiftrightunsigned(bits, shift))
-        differing = differing + F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
+    for i in range(PIECES // 64):
+        differing = differing + F.bit_count(F.col("x_pieces")[i].bitwiseXOR(F.col("y_pieces")[i]))
     sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
     apart = (F.col("x_component") != F.col("y_component")) & sized & (differing <= int(most))
     near = x.join(y, (F.col("key") == F.col("y_key")) & apart)
