@@ -19,6 +19,8 @@ from petrichor.llm.common import written
 from petrichor.llm.shingles import small_batches
 
 BUCKETS = 1 << 16
+#: Characters whose words are weighed at once; a word takes some hundred bytes.
+BATCH_CHARS = 400_000
 RESULT = "lang_pred string, score double, languages array<string>, shares array<double>"
 UNKNOWN = "und"
 
@@ -51,6 +53,18 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (mixed >> np.uint32(16))[inside].astype(np.int64), word[:-1][inside], np.array(counts, np.int64)
 
 
+def _parts(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in runs of at most so many characters, one text at least."""
+    at = 0
+    while at < len(texts):
+        upto, total = at, 0
+        while upto < len(texts) and (upto == at or total + len(texts[upto]) <= chars):
+            total += len(texts[upto])
+            upto += 1
+        yield texts[at:upto]
+        at = upto
+
+
 def learn(df: DataFrame, *, text_col: str, lang_col: str, max_languages: int = 500) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability per language and trigram bucket) from all given rows.
 
@@ -71,8 +85,8 @@ def learn(df: DataFrame, *, text_col: str, lang_col: str, max_languages: int = 5
 
         for pdf in batches:
             for lang, own in pdf.groupby("lang"):
-                bucket, _, _ = _trigrams(own["text"].tolist())
-                seen[lang] = seen.get(lang, 0) + np.bincount(bucket, minlength=BUCKETS)
+                for part in _parts(own["text"].tolist(), BATCH_CHARS):
+                    seen[lang] = seen.get(lang, 0) + np.bincount(_trigrams(part)[0], minlength=BUCKETS)
                 if len(seen) > 64:
                     yield from flush()
         yield from flush()
@@ -148,7 +162,7 @@ def mixtures(texts: list[str], logs: np.ndarray, *, rounds: int = 8, penalty: fl
     return out
 
 
-def identify(df: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
+def identify(df: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text", batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Every row with lang_pred, score, languages and shares; columns of these names are replaced.
 
     lang_pred has the largest share of the text's words (ties: the first language in order), score is that share;
@@ -159,14 +173,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: st
 
     @pandas_udf(RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        texts, found, at = texts.fillna("").tolist(), [], 0
-        while at < len(texts):
-            upto, total = at, 0
-            while upto < len(texts) and (upto == at or total + len(texts[upto]) <= batch_chars):
-                total += len(texts[upto])
-                upto += 1
-            found.append(mixtures(texts[at:upto], logs))
-            at = upto
+        found = [mixtures(part, logs) for part in _parts(texts.fillna("").tolist(), batch_chars)]
         shares = np.concatenate(found) if found else np.zeros((0, len(logs)))
         order = np.argsort(-shares, axis=1, kind="stable")
         rows = []
