@@ -27,11 +27,11 @@ from petrichor.llm.shingles import shingle_sets, slices, small_batches
 #: 64 bands of 8: a pair at similarity 0.8 misses all of them with probability (1 - 0.8^8)^64, about 8e-6, and one at 0.5,
 #: as texts around a common passage are, meets in one with probability 0.2.
 BANDS, ROWS = 64, 8
-#: The second, longer banding: a pair at 0.8 misses all bands with probability (1 - 0.8^16)^300, about 2e-4; one at 0.6 meets
-#: in one with probability 0.08, against 0.66 in the first. Only classes of buckets that stay mixed get it.
-LONG_BANDS, LONG_ROWS = 300, 16
+#: The second, longer banding: a pair at 0.8 misses all bands with probability (1 - 0.8^14)^180, about 3e-4; one at 0.6 meets
+#: in one with probability 0.13, against 0.66 in the first. Only classes of buckets that stay mixed get it.
+LONG_BANDS, LONG_ROWS = 180, 14
 #: Coordinates of which one bit is compared inside the join.
-PIECES = 4096
+PIECES = 2496
 
 
 def _second_permutation(x: np.ndarray, spare: np.ndarray) -> None:
@@ -158,7 +158,7 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _long_signatures(sets: DataFrame) -> DataFrame:
-    """(rep, pieces, bands) of sets (doc_id, shingles): one bit of 4096 coordinates, and the keys of the long bands.
+    """(rep, pieces, bands) of sets (doc_id, shingles): one bit of 2496 coordinates, and the keys of the long bands.
 
     A coordinate is a minimum, whose high bits are all but zero; the bit is folded from lower ones."""
     schema = pa.schema([("rep", pa.int64()), ("pieces", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
