@@ -181,23 +181,29 @@ def _long_pairs(far: DataFrame, percent: int) -> DataFrame:
     pieces agree as often as a link's would, less four standard errors.
 
     One side of a pair lies outside its bucket's largest component, so that the many members of one component aren't
-    held against each other; the agreement is part of the join's condition, so a hopeless pair never is a row.
+    held against each other; the agreement is part of the join's condition, so a hopeless pair never is a row. A member
+    carries the keys of its shared buckets, ``LONG_BANDS`` at most, and a pair is made in the least one both have,
+    once, however many bands it shares.
     """
     met = written(far.select("rep", "component", F.explode("bands").alias("key")), "long-buckets")
     parts = met.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    met = written(met.join(main.select("key", "main"), "key").join(far.select("rep", "n", "pieces"), "rep"), "long-members")
-    side = lambda s, df: df.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("rep", "component", "n", "pieces")])
-    x, y = side("x", met), side("y", met.filter("component <> main")).withColumnRenamed("key", "y_key")
+    met = written(met.join(main.select("key", "main"), "key"), "long-shared")
+    own = met.groupBy("rep").agg(F.collect_list("key").alias("keys"))
+    met = written(met.join(far.select("rep", "n", "pieces").join(own, "rep"), "rep").withColumn("is_main", F.col("component") == F.col("main")), "long-members")
+    side = lambda s, df: df.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("rep", "component", "is_main", "n", "pieces", "keys")])
+    x, y = side("x", met), side("y", met.filter("NOT is_main")).withColumnRenamed("key", "y_key")
     agree = (1 + percent / 100) / 2
     most = PIECES * (1 - agree) + 4 * (PIECES * agree * (1 - agree)) ** 0.5
     differing = F.lit(0)
     for i in range(PIECES // 64):
         differing = differing + F.bit_count(F.col("x_pieces")[i].bitwiseXOR(F.col("y_pieces")[i]))
     sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
-    apart = (F.col("x_component") != F.col("y_component")) & sized & (differing <= int(most))
-    near = x.join(y, (F.col("key") == F.col("y_key")) & apart)
-    return near.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
+    once = F.col("x_is_main") | (F.col("x_rep") < F.col("y_rep"))
+    apart = (F.col("x_component") != F.col("y_component")) & once & sized & (differing <= int(most))
+    first = F.col("key") == F.array_min(F.array_intersect("x_keys", "y_keys"))
+    near = x.join(y, (F.col("key") == F.col("y_key")) & apart & first)
+    return near.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b"))
 
 
 def _linked(compared: DataFrame, percent: int) -> DataFrame:
