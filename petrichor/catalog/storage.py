@@ -10,7 +10,7 @@ from petrichor.catalog.sql import IMG, PRED
 from petrichor.operators import climate
 from petrichor.plans import views as V
 from petrichor.session import shared_folder
-from petrichor.sources import readers, writers
+from petrichor.sources import readers, statistics, writers
 
 
 @query("cube_round_trip", f"WITH {IMG} SELECT CASE WHEN cube % 2 = 0 THEN 'train' ELSE 'val' END AS split, CAST(cube AS VARCHAR) AS cube_id, t, y, x, {rnd('v')} FROM img")
@@ -84,6 +84,26 @@ def _(spark, sf):
     return rounded(limits, "p_low", "p_high")
 
 
+BINNED = "(floor(CAST(l_extendedprice AS DOUBLE) / 25) + 0.5) * 25"
+
+
+@query(
+    "refreshed_limits",
+    f"SELECT 'v' || l_linenumber AS var, count(*) AS n, {rnd(f'quantile_cont({BINNED}, 0.0001)', 'p_low')}, {rnd(f'quantile_cont({BINNED}, 0.9999)', 'p_high')}, "
+    f"abs(quantile_cont({BINNED}, 0.0001) - quantile_cont(l_extendedprice, 0.0001)) <= 12.5 AND abs(quantile_cont({BINNED}, 0.9999) - quantile_cont(l_extendedprice, 0.9999)) <= 12.5 AS within_bound FROM lineitem GROUP BY 1",
+)
+def _(spark, sf):
+    """Stored counts of every second cube, refreshed by the others; the limits against the exact ones."""
+    li = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cube_id"), F.concat(F.lit("v"), "l_linenumber").alias("var"), F.col("l_extendedprice").cast("double").alias("value"))
+    path = shared_folder(spark, "bins")
+    for part in (li.filter("cube_id % 2 = 0"), li):
+        statistics.refresh(part, path, cube="cube_id", keys=["var"], value="value", width=25)
+    limits = statistics.percentiles(statistics.stored_counts(spark, path, width=25), keys=["var"], width=25, probs=[0.0001, 0.9999])
+    exact = climate.global_percentiles(li).withColumnsRenamed({"p_low": "low", "p_high": "high"})
+    near = (F.abs(F.col("p0") - F.col("low")) <= 12.5) & (F.abs(F.col("p1") - F.col("high")) <= 12.5)
+    return rounded(limits.join(exact, "var").select("var", "n", F.col("p0").alias("p_low"), F.col("p1").alias("p_high"), near.alias("within_bound")), "p_low", "p_high")
+
+
 @query("limits_document", f"SELECT 'v' || l_linenumber AS var, {rnd('min(l_extendedprice)', 'p_low')}, {rnd('max(l_extendedprice)', 'p_high')} FROM lineitem GROUP BY 1")
 def _(spark, sf):
     """Limits as a stored JSON document."""
