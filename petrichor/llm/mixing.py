@@ -4,7 +4,8 @@ Every source is a cyclic stream: its documents in seeded hash order, repeated pa
 of equal length. The apportionment gives each (shard, source) an integer number of blocks; a shard takes the next
 blocks of the stream. Since the documents lie in seeded order, a run of blocks is a random choice that cuts at
 most two documents. No block is ever a row: a source's share is one number, and the place in the hash order where
-its last pass ends is found from counts.
+its last pass ends is found from counts (``mix``); ``mix_by_shard`` places every document in its source's stream and
+says which shards take which part of it.
 """
 
 from __future__ import annotations
@@ -142,3 +143,41 @@ def mix(
         *[F.col(f"`{c}`") for c in df.columns], F.col(size).alias("size"), F.col(f"{p}.source_size").alias("source_size"), F.col(f"{p}.target").alias("target"),
         (F.col(f"{p}.passes") * F.col(size) + last).cast("long").alias("taken"),
     )
+
+
+def mix_by_shard(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
+    block: int = 64, shards: int = 16, seed: int = 7,
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, shards) per row: ``shards`` lists (shard, words), the words of
+    the row that go to each shard, ascending, without those that take none.
+
+    A shard's blocks of a source are the run of the source's stream after the runs of earlier shards, as long as its
+    quota; only the last run is cut where ``repeats`` passes end. Rows are placed in the stream by a window over
+    (source, 1/4096 of the key range), so a hot source is many tasks; texts aren't shuffled. ``taken`` is the sum over the shards.
+    NULL texts have no words and NULL is a source of its own. Rows with the same id stand side by side, the
+    shorter first; rows without an id are such rows. An empty table gives no rows; other columns aren't returned.
+    """
+    options = dict(id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
+    plan = mixing_plan(df, weights=weights, repeats=repeats, block=block, shards=shards, **options)
+    upto = lambda i: F.aggregate(F.slice("quotas", 1, i), F.lit(0).cast("long"), lambda n, q: n + q["blocks"]) * block
+    run = lambda q, i: F.struct(q["shard"].alias("shard"), upto(i).alias("lo"), F.least(upto(i + 1), F.col("source_taken")).alias("hi"))
+    no_runs = F.array().cast("array<struct<shard:int,lo:bigint,hi:bigint>>")
+    runs = plan.select("source", "source_size", "target", "passes", F.coalesce(F.transform("quotas", run), no_runs).alias("runs"))
+    rows = _keyed(df, id_col, text_col, source_col, seed).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    rows = written(rows, "mix-rows")
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket"))).withColumn("before", F.col("before") + F.col("start"))
+    packed = runs.select(F.struct(*runs.columns).alias("p"))
+    placed = placed.join(small_or_not(packed, plan.count()), F.col("source").eqNullSafe(F.col("p.source")))
+    passes = F.sequence(F.lit(0).cast("long"), F.col("p.passes"))
+    overlap = lambda r, at: F.greatest(F.least(r["hi"], at + F.col("size")) - F.greatest(r["lo"], at), F.lit(0).cast("long"))
+    words = lambda r: F.aggregate(passes, F.lit(0).cast("long"), lambda n, i: n + overlap(r, i * F.col("p.source_size") + F.col("before")))
+    parts = F.filter(F.transform("p.runs", lambda r: F.struct(r["shard"].alias("shard"), words(r).alias("words"))), lambda x: x["words"] > 0)
+    placed = placed.select(F.col("id").alias("doc_id"), "source", "size", F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), parts.alias("shards"))
+    taken = F.aggregate("shards", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shards")

@@ -36,19 +36,25 @@ levels AS (SELECT a.r, a.most / a.w AS fills, CAST(t.total - (SELECT coalesce(su
   / (t.weight - (SELECT coalesce(sum(b.w), 0) FROM s b WHERE b.most / b.w < a.most / a.w)) AS level FROM s a, t),
 cut AS (SELECT arg_min(level, fills) AS level FROM levels WHERE fills >= level),
 g AS (SELECT s.*, least(w * level, CAST(most AS DOUBLE)) AS target FROM s, cut),
-house AS (SELECT CAST(floor(round(sum(target) / 64)) AS BIGINT) AS seats FROM g),
-won AS (SELECT r, count(*) AS blocks FROM (SELECT r, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, r) AS place FROM (SELECT r, target, unnest(range(0, seats)) AS i FROM g, house WHERE target > 0)), house WHERE place <= seats GROUP BY 1),
-p AS (SELECT g.source, g.n, g.target, least(coalesce(blocks, 0) * 64, most) AS words FROM g LEFT JOIN won USING (r)),
-o AS (SELECT d.doc_id, d.size, d.source, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
-SELECT o.doc_id, o.size, p.n AS source_size, p.target, CAST(CASE WHEN p.n = 0 THEN 0 ELSE (p.words // p.n) * o.size + greatest(0, least(o.size, p.words % p.n - o.before)) END AS BIGINT) AS taken
-FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source"""
+house AS (SELECT CAST(round(sum(target) / 64) AS BIGINT) AS seats FROM g),
+ends AS (SELECT h, CAST(floor(seats * (h + 1) / 16) AS BIGINT) AS upto, CAST(floor(seats * h / 16) AS BIGINT) AS since FROM house, (SELECT unnest(range(0, 16)) AS h)),
+won AS (SELECT r, h, count(*) AS blocks FROM (SELECT r, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, r) AS place FROM (SELECT r, target, unnest(range(0, seats)) AS i FROM g, house WHERE target > 0)) JOIN ends ON place > since AND place <= upto GROUP BY 1, 2),
+runs AS (SELECT r, h, CAST(64 * (sum(blocks) OVER o - blocks) AS BIGINT) AS lo, CAST(64 * sum(blocks) OVER o AS BIGINT) AS hi FROM won WINDOW o AS (PARTITION BY r ORDER BY h)),
+o AS (SELECT d.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+parts AS (SELECT o.doc_id, runs.h, CAST(sum(greatest(0, least(runs.hi, g.most, i * g.n + o.before + o.size) - greatest(runs.lo, i * g.n + o.before))) AS BIGINT) AS words
+  FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source JOIN runs USING (r), (SELECT unnest(range(0, 3)) AS i) GROUP BY 1, 2),
+per AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS taken, string_agg(h || ':' || words, ',' ORDER BY h) AS shard_words FROM parts WHERE words > 0 GROUP BY 1)
+SELECT o.doc_id, o.size, g.n AS source_size, g.target, coalesce(taken, 0) AS taken, coalesce(shard_words, '') AS shard_words
+FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source LEFT JOIN per ON per.doc_id IS NOT DISTINCT FROM o.doc_id"""
 
 
 @query("op9_mixing", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from petrichor.llm.mixing import mix
+    from petrichor.llm.mixing import mix_by_shard
 
-    return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix_by_shard(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    listed = F.array_join(F.transform("shards", lambda x: F.concat_ws(":", x["shard"], x["words"])), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", listed.alias("shard_words"))
 
 
 OP5_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -88,7 +94,9 @@ i AS (SELECT id, w, len(w) AS n, least(len(w), 5) AS k FROM n WHERE w <> ['']),
 ish AS (SELECT id, n, k, o, array_to_string(w[o + 1 : o + k], ' ') AS g FROM (SELECT *, unnest(range(0, n - k + 1)) AS o FROM i)),
 d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 dsh AS (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM ish))),
-wn AS (SELECT DISTINCT doc_id, greatest(p - o, 0) AS a, least(p - o + n, len(w)) AS z FROM dsh JOIN ish USING (g, k) JOIN d USING (doc_id)),
+hit AS (SELECT DISTINCT doc_id, p, k, o, n, len(w) AS l FROM dsh JOIN ish USING (g, k) JOIN d USING (doc_id)),
+wn AS (SELECT doc_id, greatest(p - o, 0) AS a, least(p - o + n, l) AS z FROM hit UNION SELECT doc_id, 0, l FROM hit WHERE l < n
+  UNION SELECT doc_id, a, a + n FROM (SELECT DISTINCT doc_id, n, unnest(range(greatest(p + k - n, 0), least(p, l - n) + 1)) AS a FROM (SELECT DISTINCT doc_id, p, k, n, l FROM hit WHERE l >= n))),
 wsh AS (SELECT doc_id, a, z, k, array_to_string(w[p + 1 : p + k], ' ') AS g FROM (SELECT wn.*, w, k, unnest(range(a, z - k + 1)) AS p FROM wn JOIN d USING (doc_id), (SELECT DISTINCT k FROM ish))),
 wc AS (SELECT doc_id, a, z, k, g, count(*) AS c FROM wsh GROUP BY ALL), ws AS (SELECT doc_id, a, z, k, sum(c) AS size FROM wc GROUP BY ALL),
 ic AS (SELECT id, k, g, count(*) AS c FROM ish GROUP BY ALL), isz AS (SELECT id, sum(c) AS size FROM ic GROUP BY 1),

@@ -227,3 +227,31 @@ def test_mixing(spark, corpus):
     assert all(abs(taken[s] - target[s]) <= 9 for s in names)
     assert mixing.mix(corpus.limit(0)).count() == 0
     assert mixing.mix(corpus.filter("text IS NULL")).select("taken").collect()[0][0] == 0
+
+
+def test_mixing_by_shard(spark, corpus):
+    """Words per shard against streams dealt word by word; the quotas hold, and the shards' number matters."""
+    rows = [(i, f"{'w ' * (3 + 7 * i % 23)}", [None, "a", "b", "c"][i % 4]) for i in range(90)] + [(90, "hot " * 700, "a"), (91, None, "c"), (92, " ", "d")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    whole = {r["doc_id"]: r["taken"] for r in mixing.mix(df, block=8, shards=5).collect()}
+    seen = {}
+    for shards in (1, 5):
+        got = mixing.mix_by_shard(df, block=8, shards=shards).collect()
+        assert {r["doc_id"]: r["taken"] for r in got} == whole
+        plan = {p["source"]: p for p in mixing.mixing_plan(df, block=8, shards=shards).collect()}
+        for source, p in plan.items():
+            docs = sorted((hashlib.md5(f"7|{d}".encode()).hexdigest(), d, len((t or "").split())) for d, t, s in rows if s == source)
+            stream = [d for _, d, n in docs for _ in range(n)] * 3
+            want, at = collections.Counter(), 0
+            for q in p["quotas"] or []:
+                run = stream[at : at + 8 * q["blocks"]]
+                at += 8 * q["blocks"]
+                want.update((d, q["shard"]) for d in run)
+            mine = {(r["doc_id"], x["shard"]): x["words"] for r in got if r["source"] == source for x in r["shards"]}
+            assert mine == want
+        seen[shards] = {r["doc_id"]: r["shards"] for r in got}
+    assert seen[1] != seen[5]
+    odd = mixing.mix_by_shard(corpus, block=8, shards=3).collect()
+    assert len(odd) == corpus.count() and all(r["taken"] <= 3 * r["size"] and r["taken"] == sum(x["words"] for x in r["shards"]) for r in odd)
+    assert collections.Counter(r["source"] for r in odd) == collections.Counter(r["source"] for r in corpus.collect())
+    assert mixing.mix_by_shard(corpus.limit(0)).count() == 0

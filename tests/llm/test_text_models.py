@@ -138,11 +138,13 @@ def brute_passages(docs, items):
             v = words(t)
             k = min(5, len(v))
             own = collections.Counter(shingles(v, k)) if v else None
-            for p in range(len(w) if own else 0):
-                for at in {p - o for o, g in enumerate(shingles(v, k)) if g == tuple(w[p : p + k])}:
-                    part = collections.Counter(shingles(w[max(at, 0) : at + len(v)], k)) if at + len(v) > 0 else collections.Counter()
-                    if part and sum((own & part).values()) >= 0.8 * sum((own | part).values()):
-                        found[d].add(i)
+            starts = set(range(max(len(w) - len(v), 0) + 1)) if own and w else set()
+            for p in range(len(w) if own else 0):  # windows cut by an end of the document, aligned with a shingle
+                starts |= {p - o for o, g in enumerate(shingles(v, k)) if g == tuple(w[p : p + k])}
+            for at in starts:
+                part = collections.Counter(shingles(w[max(at, 0) : at + len(v)], k)) if at + len(v) > 0 else collections.Counter()
+                if part and sum((own & part).values()) >= 0.8 * sum((own | part).values()):
+                    found[d].add(i)
     return found
 
 
