@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petrichor.functions.scalar import count_true, flag, n_rows, null_if_nan, reasons, rows_signature
 from petrichor.operators.meta import predictor_set
+from petrichor.session import reused
 
 
 
@@ -25,6 +26,18 @@ def refit_epochs(median_epoch: Column) -> Column:
     return (F.bround(median_epoch, 0) + 1).cast("int")
 
 
+#: Files that one task holds while it looks for repeated ones.
+TASK_FILES = 500_000
+
+
+def _distinct_files(val: DataFrame) -> DataFrame:
+    """(run_dir, _d_val): distinct files per run. All but a few files are distinct, so nothing is combined before the
+    shuffle, which has as many parts as the counted rows ask for."""
+    named = val.select("run_dir", "file").filter("file IS NOT NULL")
+    parts = 1 + named.count() // TASK_FILES
+    return named.repartition(parts, "run_dir", "file").groupBy("run_dir", "file").agg(n_rows()).groupBy("run_dir").agg(n_rows().alias("_d_val"))
+
+
 def audit_runs(runs: DataFrame, folds: DataFrame, files: DataFrame, *, n_folds: int = 3) -> DataFrame:
     """One row per run: recomputed scores, epochs, notes, and every protocol rule it breaks (``reason``)."""
     epoch = F.coalesce(F.col("best_epoch"), F.expr("try_cast(nullif(regexp_extract(best_checkpoint, 'epoch=([0-9]+)', 1), '') AS int)"))
@@ -40,12 +53,13 @@ def audit_runs(runs: DataFrame, folds: DataFrame, files: DataFrame, *, n_folds:
     )
     val = files.filter(F.col("subset") == "val")
     split = val.groupBy("run_dir").agg(
-        F.count_distinct("fold").alias("_split_folds"), n_rows().alias("_n_val"), F.count_distinct("file").alias("_d_val"),
-        count_true(~F.col("fold").between(0, n_folds - 1)).alias("_extra_folds"),
+        n_rows().alias("_n_val"), count_true(~F.col("fold").between(0, n_folds - 1)).alias("_extra_folds"),
         # order-free signature of the validation sets
         rows_signature(F.col("fold"), F.col("file")).alias("split_signature"),
     )
-    out = runs.join(per_run, "run_dir", "left").join(split, "run_dir", "left")
+    split_folds = val.groupBy("run_dir", "fold").agg(n_rows()).groupBy("run_dir").agg(F.count("fold").alias("_split_folds"))
+    out = runs.join(per_run, "run_dir", "left").join(split, "run_dir", "left").join(split_folds, "run_dir", "left")
+    out = out.join(_distinct_files(val), "run_dir", "left").withColumn("_d_val", F.when(F.col("_n_val").isNotNull(), F.coalesce("_d_val", F.lit(0))))
     recomputed = F.abs(F.col("mean_val_score") - F.col("mean_score")) > F.greatest(1e-9 * F.greatest(F.abs("mean_val_score"), F.abs("mean_score")), F.lit(1e-12))
     robust = [F.col(c).isNull() for c in ("min_valid_target_coverage", "min_valid_target_count", "min_target_variance")]
     unknown = lambda c: F.coalesce(c, F.lit(True))
@@ -83,6 +97,7 @@ def newest_runs(runs: DataFrame, *, signature: list[str], ts: str = "run_ts", ti
 
     A maximum per signature is enough, so no group is sorted.
     """
+    runs = reused(runs)  # read for the best ones and for all
     best = runs.groupBy(*signature).agg(F.min_by(tie, F.struct(-F.unix_micros(F.col(ts).cast("timestamp")), F.col(tie))).alias("_best"))
     out = runs.join(best, signature)
     return out.withColumn("status", F.when(F.col(tie) == F.col("_best"), "active").otherwise("superseded")).drop("_best")
@@ -106,6 +121,7 @@ def final_selection(audit: DataFrame, *, expected: DataFrame | None = None) -> D
     Raises when the grid is incomplete, the active runs use several metrics or modes, or their validation
     sets differ.
     """
+    audit = reused(audit)  # a row per run, read for every check
     accepted = newest_runs(audit.filter("valid = 1"), signature=["model_type", "predictor_set"])
     active = accepted.filter(F.col("status") == "active")
     checks = active.agg(

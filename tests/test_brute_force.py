@@ -348,3 +348,16 @@ def test_replicates_split_a_group_by_themselves():
         counts = stats._drawn_counts(start, 0, path, 100_000, np.arange(200))
         want = [np.random.Generator(np.random.Philox(key=np.array([start << 32 | rep, 0], np.uint64))).binomial(100_000, 0.5) for rep in range(200)]
         assert counts.tolist() == want and len(set(want)) > 100
+
+
+def test_audit_counts_distinct_files_in_parts(spark, monkeypatch):
+    """Repeated, missing and extra files and folds are noted, however many parts the files are counted in."""
+    monkeypatch.setattr(selection, "TASK_FILES", 3)
+    runs = spark.createDataFrame([(r, "A", ["NDMI"], "nnse", "max", 2, True, False, 0.1, 1, 0.1, None, None) for r in "abcd"], "run_dir string, model_type string, s2_vars array<string>, monitor_metric string, monitor_mode string, k_folds int, cv_enabled boolean, refit_enabled boolean, min_valid_target_coverage double, min_valid_target_count int, min_target_variance double, mean_val_score double, recommended_final_refit_epochs int")
+    scores = spark.createDataFrame([(r, f, 0.5, 3, "x") for r in "abcd" for f in (0, 1)], "run_dir string, fold int, best_score double, best_epoch int, best_checkpoint string")
+    val = [(r, f, "val", f"f{f}-{i}") for r in "abc" for f in (0, 1) for i in range(5)] + [("b", 1, "val", "f0-1"), ("c", 7, "val", None)]
+    files = spark.createDataFrame(val, "run_dir string, fold int, subset string, file string")
+    out = selection.audit_runs(runs, scores, files, n_folds=2)
+    got = {r.run_dir: r.reason for r in out.collect()}
+    assert got == {"a": "", "b": "validation cubes overlap", "c": "validation splits incomplete;validation cubes overlap", "d": "validation splits incomplete"}
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
