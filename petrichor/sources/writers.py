@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from petrichor.sources.readers import _exists
 
 
+#: A task sorts the rows of one file in memory, some 130 bytes each, and writes its cubes one after the other.
+ROWS_PER_FILE = 1_000_000
+
+
 def z_order(row: Column, column: Column) -> Column:
     """Morton key of two chunk numbers below 65,536: neighbours in both directions lie near each other in its order."""
 
@@ -29,7 +33,7 @@ def _dealt(df: DataFrame, keys: list, rows_per_file: int) -> DataFrame:
     return df.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
 
 
-def write_cubes(df: DataFrame, root: str, *, chunk: int = 250, time: str = "t", rows_per_file: int = 10_000_000, row_group_bytes: int = 32 << 20, overwrite_cubes_only: bool = False) -> None:
+def write_cubes(df: DataFrame, root: str, *, chunk: int = 250, time: str = "t", rows_per_file: int = ROWS_PER_FILE, row_group_bytes: int = 32 << 20, overwrite_cubes_only: bool = False) -> None:
     """Partitioned by split and cube; inside, rows lie by time and along a space-filling curve over the spatial chunks.
 
     The number of files follows from the counted rows, and tasks take ranges of (cube, time, curve), so no cube is one
@@ -47,7 +51,7 @@ def write_cubes(df: DataFrame, root: str, *, chunk: int = 250, time: str = "t",
 PARTS = ["configuration", "stage", "cube_id"]
 
 
-def write_predictions(df: DataFrame, root: str, *, rows_per_file: int = 10_000_000, chunk: int = 250) -> None:
+def write_predictions(df: DataFrame, root: str, *, rows_per_file: int = ROWS_PER_FILE, chunk: int = 250) -> None:
     """Cubes of predictions, each replaced as a whole; laid out like ``write_cubes``. Not yet valid: see ``commit``."""
     curve = z_order(F.floor(F.col("y") / F.lit(chunk)), F.floor(F.col("x") / F.lit(chunk)))
     out = _dealt(df, [*[F.col(c) for c in PARTS], F.col("step"), curve], rows_per_file)

@@ -194,3 +194,11 @@ def test_split_lines(spark, tmp_path):
     assert lines.count() > 8 and lines.selectExpr("max(size(files)) AS n").first().n < 60
     back = readers.read_split_lines(spark, str(tmp_path / "s"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, files.collect()))
+
+
+def test_tasks_of_a_write_stay_small(spark, tmp_path):
+    """Without a size asked for, 2.5 million rows of one cube are several tasks' work."""
+    df = spark.range(2_500_000).select(F.lit("train").alias("split"), F.lit("c").alias("cube_id"), F.col("id").alias("t"), F.lit(0).alias("y"), F.lit(0).alias("x"))
+    writers.write_cubes(df, str(tmp_path / "big"))
+    assert len(list((tmp_path / "big").rglob("*.parquet"))) >= 3
+    assert spark.read.parquet(str(tmp_path / "big")).count() == 2_500_000
