@@ -78,19 +78,25 @@ def _masks(radius: int) -> list[tuple[int, int]]:
 
 def links(prints: DataFrame, *, radius: int = 2) -> DataFrame:
     """(a, b, bits) over a table (print, rep) of distinct fingerprints: pairs of reps whose fingerprints differ in at
-    most ``radius`` bits, enough of them to connect all that are connected."""
+    most ``radius`` bits, enough of them to connect all that are connected.
+
+    Rows become 28 entries and up to 17 centres each, but Spark takes an exploded table for no larger than the one
+    before: it would broadcast it by way of the driver, and explode all of it in the few tasks that read the fingerprints.
+    So the joins of entries are merge joins by name, and the fingerprints are dealt out first.
+    """
     if radius != 2:
         raise ValueError("a crowded entry names the values one bit away, which is exact for radius 2 only")
     masks = _masks(radius)
     least = 8 - radius
     entry = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col("print").bitwiseAND(F.lit(m)).alias("bytes")) for n, m in masks])).alias("entry")
-    postings = prints.select("print", "rep", entry).select("print", "rep", "entry.n", "entry.bytes")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = prints.repartition(parts, "print").select("print", "rep", entry).select("print", "rep", "entry.n", "entry.bytes")
     lists = postings.groupBy("n", "bytes").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    lists = written(postings.join(lists, ["n", "bytes"]), "byte-postings")
+    lists = written(postings.join(lists.hint("merge"), ["n", "bytes"]), "byte-postings")
 
     few = lists.filter(F.col("m") <= PAIRS)
     x, y = (few.select("n", "bytes", F.col("print").alias(f"{s}_print"), F.col("rep").alias(f"{s}_rep")) for s in "xy")
-    met = x.join(y, ["n", "bytes"]).filter("x_rep > y_rep")
+    met = x.join(y.hint("merge"), ["n", "bytes"]).filter("x_rep > y_rep")
     tally = met.groupBy("x_rep", "y_rep", "x_print", "y_print").agg(F.count(F.lit(1)).alias("entries"))
     # s shared bytes meet in C(s, least) entries; entries with many members are left out, so this is a lower bound
     shared = F.lit(0)
@@ -105,7 +111,7 @@ def links(prints: DataFrame, *, radius: int = 2) -> DataFrame:
     centres = F.concat(F.array("print"), F.transform(free, lambda bit: F.col("print").bitwiseXOR(bit)))
     named = many.select("n", "print", "rep", F.explode(centres).alias("centre"))
     least_of = named.groupBy("n", "centre").agg(F.min(F.struct("rep", "print")).alias("low"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    hung = named.join(least_of, ["n", "centre"]).filter("rep > low.rep")
+    hung = named.join(least_of.hint("merge"), ["n", "centre"]).filter("rep > low.rep")
     hung = hung.select(F.col("rep").alias("a"), F.col("low.rep").alias("b"), F.bit_count(F.col("print").bitwiseXOR(F.col("low.print"))).alias("bits"))
     return pairs.unionByName(hung).filter(F.col("bits") <= radius).distinct()
 

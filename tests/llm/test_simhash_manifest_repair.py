@@ -95,6 +95,24 @@ def test_simhash_links_in_crowded_entries(spark, monkeypatch, pairs):
 
 
 # ---- Merkle manifest -------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("pairs", [1, 32])
+def test_simhash_entries_are_not_broadcast(spark, monkeypatch, pairs):
+    """The fingerprints are small enough for a broadcast, their 28 entries each are not."""
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    rng = random.Random(11)
+    bases = [rng.getrandbits(63) for _ in range(3000)]
+    near = [0, 1, 3, 1 << 40]
+    df = spark.createDataFrame([(p ^ x, 4 * i + j) for i, p in enumerate(bases) for j, x in enumerate(near)], "print bigint, rep bigint")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")  # a broadcast of more fails
+    try:
+        found = simhash.links(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert all(r.a // 4 == r.b // 4 and r.bits == (near[r.a % 4] ^ near[r.b % 4]).bit_count() <= 2 for r in found)
+    got = {(r.a, r.b) for r in found}
+    assert len(got) == len(found) and all({(4 * i + 1, 4 * i), (4 * i + 3, 4 * i)} <= got and got & {(4 * i + 2, 4 * i), (4 * i + 2, 4 * i + 1)} for i in range(len(bases)))
+
+
 def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
