@@ -2,13 +2,16 @@
 
 import hashlib
 import itertools
+import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from petrichor.catalog import load
 from petrichor.functions import labels as L
 from petrichor.operators import climate, folds, meta, metrics, scoring, selection, stats, tiles
 
@@ -190,6 +193,26 @@ def test_strict_searches(cubes):
         folds.random_strict_folds(cubes, space="loc", time="sea", k=2, min_val_share=0.9, tries=5).collect()
 
 
+@pytest.mark.parametrize("seed,found", [(0, [0, 2]), (2, [])])
+def test_strict_search_query_leaves_out_what_its_sql_does(spark, tmp_path, seed, found):
+    """Cubes spread evenly over locations and seasons: few draws are large enough, and some folds have none."""
+    rng = random.Random(seed)
+    cells = [(n, s) for n in range(25) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY") for _ in range(round(rng.gauss(40, 1.5)))]
+    tables = {
+        "customer": spark.createDataFrame([(i, n, s, 0.0) for i, (n, s) in enumerate(cells)], "c_custkey bigint, c_nationkey int, c_mktsegment string, c_acctbal double"),
+        "nation": spark.createDataFrame([(n, f"N{n}", n % 5) for n in range(25)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": spark.createDataFrame([(r, f"R{r}") for r in range(5)], "r_regionkey int, r_name string"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    query, sql = load()["random_strict_folds"]
+    got = sorted(map(tuple, query(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(sql).fetchall())
+    assert sorted({fold for _, fold, _ in got}) == found and len(got) == len(found) * len(cells)
+
+
 def test_group_balance(cubes):
     out = folds.balanced_group_folds(cubes, group=["loc", "sea"], k=4).toPandas()
     assert (out.groupby("cv_group").fold.nunique() == 1).all()
